@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, ogg, warc
+from . import html, ogg, toxicity, warc
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derived_digests(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ogg_media, op6_html_extraction, op9_warc_derivatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_ogg_media, op6_html_extraction, op9_warc_derivatives)}
 ORACLE_SQL: dict[str, str] = {}
