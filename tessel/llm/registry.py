@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, ogg, toxicity, warc
+from . import html, ogg, suffix, toxicity, warc
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derived_digests(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_ogg_media, op6_html_extraction, op9_warc_derivatives)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_ogg_media, op6_html_extraction, op9_warc_derivatives, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
