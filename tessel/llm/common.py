@@ -71,3 +71,50 @@ class Scratch:
 def crc_mod(column: str, n: int):
     """crc32 of an id's decimal text, modulo n (null id: of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+class WordHash(dict):
+    """64-bit hashes of words, remembered; forgets all beyond MOST words."""
+
+    MOST = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def mix64(h):
+    """A bijection on 64-bit numpy integers that spreads their bits."""
+    import numpy as np
+
+    u = np.uint64
+    h = (h ^ (h >> u(32))) * u(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> u(29))) * u(0xBF58476D1CE4E5B9)
+    return h ^ (h >> u(32))
+
+
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) for every node of the edges (u, v): root is the smallest node of its component, by alternating stars.
+
+    Every round halves the paths to the roots at least; rows stay at two an edge, and hubs are joined, not gathered.
+    """
+    now = scratch.write(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    mark = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+        new = scratch.write(small.distinct(), "edges")
+        scratch.drop(now, large)
+        now = new
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if found == mark:
+            break
+        mark = found
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

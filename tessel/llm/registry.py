@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, ogg, suffix, toxicity, warc
-from .common import table
+from . import html, jaccard, ogg, suffix, toxicity, warc
+from .common import Scratch, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derived_digests(table(spark, sf_dir, "pages"))
 
@@ -30,5 +34,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_ogg_media, op6_html_extraction, op9_warc_derivatives, op10_suffix_array_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_ogg_media, op6_html_extraction, op8_ngram_jaccard_join, op9_warc_derivatives, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
