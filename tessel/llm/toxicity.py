@@ -176,7 +176,7 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is below the threshold, all their columns."""
     out = score(documents, learn(documents, labels), documents.columns, "__toxicity")
     return out.where(F.col("__toxicity") < threshold).drop("__toxicity")
