@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, lines, mixing, ogg, suffix, toxicity, warc
+from . import decontaminate, html, jaccard, lines, mixing, ogg, rnnlm, suffix, toxicity, warc
 from .common import Scratch, table
 
 
@@ -26,6 +26,10 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnnlm.scored(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -46,5 +50,5 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_ogg_media, op3_decontamination, op4_soft_mixing, op6_html_extraction, op7_line_dedup, op8_ngram_jaccard_join, op9_warc_derivatives, op10_suffix_array_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_ogg_media, op3_decontamination, op4_soft_mixing, op5_recurrent_lm, op6_html_extraction, op7_line_dedup, op8_ngram_jaccard_join, op9_warc_derivatives, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
