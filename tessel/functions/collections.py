@@ -166,7 +166,7 @@ def ltree_is_ancestor(a: Column, b: Column) -> Column:
 
 
 def box_of(poly: Column) -> Column:
-    xs, ys = (F.transform(poly, lambda p, c=c: p[c]) for c in ("x", "y"))
+    xs, ys = F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
 
 

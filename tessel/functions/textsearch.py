@@ -34,6 +34,15 @@ def to_tsvector(text: Column, config: str = "simple") -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(placed, lambda x: x["w"] == k), lambda x: x["p"])))
 
 
+def tsvector_rows(df, id_column: str, text_column: str, config: str = "simple"):
+    """(id, lexeme, positions) by explode and one aggregation: the form to use for whole tables of long texts, linear in them."""
+    words = df.select(id_column, F.posexplode(F.filter(F.split(F.lower(text_column), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("p", "w"))
+    if config == "english":
+        words = words.where(~F.col("w").isin(STOP))
+    out = words.select(id_column, lexeme(F.col("w"), config).alias("lexeme"), (F.col("p") + 1).alias("p"))
+    return out.groupBy(id_column, "lexeme").agg(F.array_sort(F.collect_list("p")).alias("positions"))
+
+
 def strip(vector: Column) -> Column:
     return F.map_keys(vector)
 
@@ -63,6 +72,19 @@ class Query:
         count = lambda n: 0 if n is None else 1 if n[0] == "word" else 1 + sum(count(x) for x in n[1:] if isinstance(x, tuple))
         return count(self.node)
 
+    def matches_text(self, text: Column) -> Column:
+        """The same answer without building a vector: one pass over the text's words (simple configuration, no phrases)."""
+        words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+        def at(n) -> Column:
+            if n[0] == "word":
+                return F.exists(words, lambda w: F.startswith(w, F.lit(n[1]))) if n[2] else F.array_contains(words, n[1])
+            if n[0] == "phrase":
+                raise ValueError("phrases need a vector's positions")
+            return ~at(n[1]) if n[0] == "not" else at(n[1]) & at(n[2]) if n[0] == "and" else at(n[1]) | at(n[2])
+
+        return at(self.node) if self.node else F.lit(False)
+
     def matches(self, vector: Column) -> Column:
         def at(n) -> Column:
             if n[0] == "word":

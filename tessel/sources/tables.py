@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def zoned(df: DataFrame) -> DataFrame:
+    """Timestamps without zone taken as UTC instants (streams and microsecond functions need instants)."""
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+
+
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.sources.tables import zoned
+
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     """A file stream; path is a folder or a glob of Parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return zoned(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path))
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
