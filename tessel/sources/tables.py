@@ -32,7 +32,7 @@ def scan(parent: DataFrame, *children: DataFrame) -> DataFrame:
 def write_columnar(df: DataFrame, path: str, partition_by: list[str] | None = None, sort_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """LZ4 Parquet; sorting inside files makes the row groups' minima and maxima narrow, so scans can skip them."""
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
-    writer = out.write.mode(mode).option("compression", "lz4raw")
+    writer = out.write.mode(mode).option("compression", "lz4_raw")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
