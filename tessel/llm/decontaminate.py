@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased (A-Z), stripped of ASCII punctuation and hashed. A first pass counts in how many documents each
-n-gram of the benchmark occurs. An item's seeds are its n-grams in at most RARE of all documents, and in any case the
-rarer half of them, so an item copied everywhere keeps seeds. In a second pass each seed found in a document opens a
+n-gram of the benchmark occurs. An item's seeds are its n-grams in at most RARE of all documents or FLOOR documents, and in
+any case those in at most twice as many as the item's median n-gram, so an item copied everywhere keeps seeds, also those
+that edited copies have in common. In a second pass each seed found in a document opens a
 window of the item's length and half of it on either side; overlapping windows of an item merge. A window with SEEDS
 different seeds (one, for items with fewer than 3 * SEEDS n-grams) is aligned with the item (match +2, mismatch and gap
 -1); the score is the best local alignment over the item's score with itself.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, mix64
 
-N, RARE, SEEDS, THRESHOLD, BLOCK, BYTES, BATCH = 3, 0.0005, 2, 0.5, 20_000, 16 << 20, 1024
+N, RARE, FLOOR, SEEDS, THRESHOLD, BLOCK, BYTES, BATCH = 3, 0.0005, 50, 2, 0.5, 20_000, 16 << 20, 1024
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PUNCTUATION = string.punctuation.encode()
 _U = np.uint64
@@ -205,10 +206,9 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, threshold: float = THRE
         seeds: dict[int, list[tuple[int, int]]] = {}
         for i, g in enumerate(each):
             place = np.searchsorted(keys, g)
-            ranked = np.argsort(df[place], kind="stable")
-            for rank, p in enumerate(ranked.tolist()):
-                if df[place[p]] <= rare * n_docs or 2 * rank < len(g):
-                    seeds.setdefault(int(place[p]), []).append((i, p))
+            most = max(rare * n_docs, FLOOR, 2 * float(np.median(df[place])) if len(g) else 0)
+            for p in np.flatnonzero(df[place] <= most).tolist():
+                seeds.setdefault(int(place[p]), []).append((i, p))
         chosen = sorted(seeds)
         lookup, owners = Lookup(keys[chosen]), [np.array(seeds[k], dtype=np.int64) for k in chosen]
         id_type = pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
