@@ -214,3 +214,88 @@ def _(t):
     changes = events.selectExpr("event_id AS k", "user_id AS v", "CAST(1 AS BIGINT) AS commit_ts", "event_type = 'click' AS deleted")
     EV.apply_changes(changes, f"{folder}/runs", f"{folder}/checkpoint").awaitTermination()
     return merged_scan([t.spark.read.parquet(f"{folder}/runs").drop("run")], ["k"], F.lit(1))
+
+
+# ---------------------------------------------------------------- session, plans and metadata
+
+
+@query("explain_plan")
+def _(t):
+    plan = t.orders.where("o_orderkey < 5").select("o_orderkey")._jdf.queryExecution().explainString(t.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return t.spark.createDataFrame([("PushedFilters" in plan,)], "pushed boolean")
+
+
+@query("cursor_fetch", "SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey LIMIT 2 OFFSET 1")
+def _(t):
+    rows = t.region.orderBy("r_regionkey").toLocalIterator()
+    next(rows)  # MOVE 1, then FETCH 2
+    return t.spark.createDataFrame([next(rows), next(rows)], t.region.schema)
+
+
+@query("catalog_indexes", "SELECT 'public' AS schemaname, 'orders' AS tablename, 'orders_pkey' AS indexname, 'CREATE UNIQUE INDEX orders_pkey ON public.orders USING btree (o_orderkey)' AS indexdef")
+def _(t):
+    from tessel.sources.tables import index_views
+
+    return index_views(t.spark, {"orders_pkey": ("orders", ["o_orderkey"], True)})
+
+
+@query("to_regclass", "SELECT true AS there, false AS missing")
+def _(t):
+    t.region.createOrReplaceTempView("tessel_region")
+    return t.spark.createDataFrame([(t.spark.catalog.tableExists("tessel_region"), t.spark.catalog.tableExists("tessel_no_such_table"))], "there boolean, missing boolean")
+
+
+@query("session_settings", "SELECT 'UTC' AS zone")
+def _(t):
+    return t.spark.range(1).select(F.lit(t.spark.conf.get("spark.sql.session.timeZone")).alias("zone"))
+
+
+@query("statement_insert_select_returning", "SELECT o_orderkey * 10 AS id, o_orderstatus AS s FROM orders WHERE o_orderkey < 200")
+def _(t):
+    rows = t.orders.where("o_orderkey < 200").selectExpr("o_orderkey * 10 AS id", "o_orderstatus AS s")
+    return R.written(rows)  # RETURNING gives the rows as written
+
+
+@query("statement_create_table_as", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def _(t):
+    return R.written(t.customer.where("c_acctbal > 0").groupBy("c_mktsegment").agg(F.count("*").alias("n")))
+
+
+@query("statement_prepared", "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey > 8")
+def _(t):
+    prepared = "SELECT n_name FROM {n} WHERE n_regionkey = ? AND n_nationkey > ?"
+    return t.spark.sql(prepared, args=[2, 8], n=t.nation)
+
+
+@query("kv_compare_and_swap", "SELECT k, CASE WHEN k = 1 THEN 'new' ELSE v END AS v FROM (SELECT r_regionkey AS k, r_name AS v FROM region) AS x")
+def _(t):
+    kv = t.region.selectExpr("r_regionkey AS k", "r_name AS v")
+    seen = kv.where("k = 1").first().v
+    hit = ST.update(kv, (F.col("k") == 1) & (F.col("v") == seen), {"v": F.lit("new")})
+    return ST.update(hit, (F.col("k") == 2) & (F.col("v") == "not this"), {"v": F.lit("never")})
+
+
+@query("aggregate_string_agg_bytes", "SELECT r_regionkey % 2 AS g, string_agg(lower(hex(encode(r_name))), '2c' ORDER BY r_regionkey) AS b FROM region GROUP BY 1")
+def _(t):
+    x = t.region.select((F.col("r_regionkey") % 2).alias("g"), "r_regionkey", F.lower(F.hex(F.encode("r_name", "UTF-8"))).alias("h"))
+    return x.groupBy("g").agg(R.string_agg(F.col("h"), "2c", F.col("r_regionkey")).alias("b"))
+
+
+@query("aggregate_functional_dependency", "SELECT c_custkey, c_name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
+def _(t):
+    joined = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return joined.groupBy("c_custkey").agg(F.first("c_name").alias("c_name"), F.count("o_orderkey").alias("n")).select("c_custkey", "c_name", "n")
+
+
+@query("approx_quantile")
+def _(t):
+    exact = t.lineitem.agg(F.percentile("l_quantity", 0.5).alias("e"), F.percentile_approx("l_quantity", 0.5, 1000).alias("a"))
+    return exact.select((F.abs(F.col("e") - F.col("a")) <= 1).alias("close"))
+
+
+@query("aggregate_median_mode", "SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY 1")
+def _(t):
+    return t.part.groupBy("p_brand").agg(F.median("p_retailprice").alias("m"))
+
+
+sql_query("unpivot", "SELECT c_custkey, k, v FROM {customer} LATERAL VIEW stack(2, 'nation', cast(c_nationkey as string), 'segment', c_mktsegment) s AS k, v", "SELECT c_custkey, 'nation' AS k, CAST(c_nationkey AS VARCHAR) AS v FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer")
