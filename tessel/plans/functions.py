@@ -189,6 +189,17 @@ def _(t):
     return t.spark.range(1).select(C.json_merge_flat(F.lit('{"b":"1","a":"1"}'), F.lit('{"c":"3","a":"2"}')).alias("j"))
 
 
+_DOCS = """(1, '{"a":{"b":[1,2,{"c":null}]},"d":"x"}', '{"a":{"b":[{"c":null},1]}}'), (2, '[1,"y"]', '"y"'), (3, '{"a":true}', '{"a":1}'), (4, 'null', '[]'), (5, NULL, '1')"""
+
+
+@query("jsonb_documents", """SELECT * FROM (VALUES (1, true, 1, '{"a": {"b": [{"c": null}, 1]}, "d": "x"}'), (2, true, 1, '[1, "y", "y"]'), (3, false, 1, '{"a": 1}'), (4, false, 1, '[null]'), (5, NULL, NULL, NULL)) AS v(id, has, cmp, joined)""")
+def _(t):
+    from tessel.functions import jsonb as J
+
+    v = t.values(_DOCS, "id, a, b")
+    return v.select("id", J.jsonb_contains("a", "b").alias("has"), J.jsonb_compare("a", "b").alias("cmp"), J.jsonb_concat("a", "b").alias("joined"))
+
+
 _H = "map('a', '1', 'b', cast(null as string))"
 
 
