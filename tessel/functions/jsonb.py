@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def document_contains(a, b, top: bool = True) -> bool:
@@ -54,16 +55,16 @@ def _each(f, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else f(json.loads(x), json.loads(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def jsonb_contains(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(document_contains, a, b)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def jsonb_compare(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(lambda x, y: (order_key(x) > order_key(y)) - (order_key(x) < order_key(y)), a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def jsonb_concat(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(lambda x, y: text(merge(x, y)), a, b)
