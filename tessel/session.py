@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -10,6 +11,14 @@ from pyspark.sql import SparkSession
 SEMANTICS = {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it; a cluster has it installed or sent with the job."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     """A single-node session; on a cluster take the cluster's own session and apply SEMANTICS."""
     n = cpus or os.cpu_count() or 4
@@ -22,4 +31,5 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
