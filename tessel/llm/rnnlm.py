@@ -84,16 +84,25 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _log_share(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row at one column."""
+    top = x.max(axis=1)
+    own = x[np.arange(len(x)), columns] - top
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
+
+
 def log_probability(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of each target's probability after its state; a tail token's is that of the class."""
     classes = targets // WORDS  # TAIL is number CLASSES
-    out = _log_softmax(states @ p["class_w"] + p["class_b"])[np.arange(len(targets)), classes]
+    out = np.concatenate([_log_share(states[at : at + 2048] @ p["class_w"] + p["class_b"], classes[at : at + 2048]) for at in range(0, len(targets), 2048)]) if len(targets) else np.zeros(0)
     order = np.argsort(classes, kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
-            out[rows] += _log_softmax(states[rows] @ p["word_w"][c] + p["word_b"][c])[np.arange(len(rows)), targets[rows] - c * WORDS]
+            out[rows] += _log_share(states[rows] @ p["word_w"][c] + p["word_b"][c], targets[rows] - c * WORDS)
     return out
 
 
@@ -106,11 +115,33 @@ def _step(p: dict[str, np.ndarray], gx: np.ndarray, h: np.ndarray) -> tuple:
 
 
 class Trainer:
+    """Parameters, gradients and Adam's moments as one array each, seen through p, g and m by name; updates allocate nothing."""
+
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        whole = pack(p)
+        self.flat = [whole, *(np.zeros_like(whole) for _ in range(4))]
+        self.p, self.g, self.m, _, _ = (unpack(x, copy=False) for x in self.flat)
         self.t = 0
 
+    def _adam(self) -> None:
+        p, g, m, v, spare = self.flat
+        kind = p.dtype.type
+        np.multiply(g, g, out=spare)
+        g *= kind(min(1.0, 1.0 / max(math.sqrt(float(spare.sum())), 1e-12)))
+        np.subtract(g, m, out=spare)
+        spare *= kind(0.1)
+        m += spare
+        np.multiply(g, g, out=spare)
+        spare -= v
+        spare *= kind(0.001)
+        v += spare
+        np.sqrt(v, out=spare)
+        spare += kind(1e-8)
+        np.divide(m, spare, out=spare)
+        self.t += 1
+        spare *= kind(RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        p -= spare
+
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
         """One update from steps x lanes of tokens (targets -1: none); returns the loss a token and the state to carry."""
         p, steps = self.p, len(inputs)
@@ -122,7 +153,8 @@ class Trainer:
             h, r, z, n, ghn = _step(p, gx[t], h)
             kept.append((before, r, z, n, ghn))
             states.append(h)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g = self.g
+        self.flat[1].fill(0)
         flat, want = np.concatenate(states), targets.ravel()
         have = np.flatnonzero(want >= 0)
         s, y = flat[have], want[have]
@@ -132,7 +164,7 @@ class Trainer:
         d = np.exp(lp)
         d[np.arange(len(y)), classes] -= 1
         d *= scale
-        g["class_w"], g["class_b"] = s.T @ d, d.sum(axis=0)
+        g["class_w"][:], g["class_b"][:] = s.T @ d, d.sum(axis=0)
         ds = d @ p["class_w"].T
         order = np.argsort(classes, kind="stable")
         bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
@@ -162,20 +194,12 @@ class Trainer:
             g["u"] += before.T @ dgh
             carry = dh * z + dgh @ p["u"].T
         flat_gx = dgx.reshape(-1, 3 * STATE)
-        g["wx"], g["b"] = x.reshape(-1, EMBED).T @ flat_gx, flat_gx.sum(axis=0)
+        g["wx"][:], g["b"][:] = x.reshape(-1, EMBED).T @ flat_gx, flat_gx.sum(axis=0)
         dx, ids = flat_gx @ p["wx"].T, inputs.ravel()
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         g["embed"][ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-12)))
-        self.t += 1
-        rate = np.float32(RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        for k in _NAMES:
-            m, v, x = self.m[k], self.v[k], g[k] * clip
-            m += np.float32(0.1) * (x - m)
-            v += np.float32(0.001) * (x * x - v)
-            p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+        self._adam()
         return loss / max(1, len(have)), h
 
     def run(self, runs: np.ndarray) -> None:
@@ -233,12 +257,12 @@ def pack(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in _NAMES])
 
 
-def unpack(x: np.ndarray) -> dict[str, np.ndarray]:
+def unpack(x: np.ndarray, copy: bool = True) -> dict[str, np.ndarray]:
     shapes = {"embed": (HEAD + 2, EMBED), "wx": (EMBED, 3 * STATE), "u": (STATE, 3 * STATE), "b": (3 * STATE,), "class_w": (STATE, CLASSES + 1), "class_b": (CLASSES + 1,), "word_w": (CLASSES, STATE, WORDS), "word_b": (CLASSES, WORDS)}
     out, at = {}, 0
     for k in _NAMES:
         n = math.prod(shapes[k])
-        out[k] = np.array(x[at : at + n], dtype=np.float32).reshape(shapes[k])
+        out[k] = np.array(x[at : at + n], dtype=np.float32).reshape(shapes[k]) if copy else x[at : at + n].reshape(shapes[k])
         at += n
     return out
 
