@@ -55,7 +55,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *dfs: DataFrame) -> None:
@@ -65,7 +65,11 @@ class Scratch:
             for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
                 path = jvm.org.apache.hadoop.fs.Path(f)
                 path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        jvm.System.gc()
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Shuffle files go once the driver has collected the plans that made them."""
+        self.spark._jvm.System.gc()
 
 
 def crc_mod(column: str, n: int):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected
 
-TAU, SHORTEST = 2, 20
+TAU, SHORTEST, LETTERS = 2, 20, "etaoinsrhldcumpg"
 
 
 def segments(n: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -52,8 +52,24 @@ def probe_keys(line: Column, n: Column, tau: int, shortest: int) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def within(a: str, b: str, tau: int) -> Column:
-    """Is the edit distance of two arrays of characters at most tau? One word a number of errors; bit k is the diagonal k - tau."""
+def letter_counts(line: Column) -> Column:
+    """Sixteen counts of four bits."""
+    out = F.lit(0).cast("bigint")
+    for k, c in enumerate(LETTERS):
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("bigint")
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15), 4 * k))
+    return out
+
+
+def counts_differ(a: str, b: str) -> Column:
+    """A lower bound of the sum of the counts' differences: each is taken around the circle of 16."""
+    gap = [f"(((shiftrightunsigned({a}, {4 * k}) & 15L) - (shiftrightunsigned({b}, {4 * k}) & 15L) + 16L) & 15L)" for k in range(len(LETTERS))]
+    return F.expr(" + ".join(f"least({g}, 16L - {g})" for g in gap))
+
+
+def within(x: str, y: str, tau: int) -> Column:
+    """Is the edit distance of two strings at most tau? One word a number of errors; bit k is the diagonal k - tau."""
+    a, b = "z.a", "z.b"  # the characters, split once a pair
     width = 2 * tau + 1
     band = (1 << width) - 1
     masks = " | ".join(f"if(coalesce(get({a}, j + ({k - tau})), '') = get({b}, j), {1 << k}L, 0L)" for k in range(width))
@@ -69,21 +85,26 @@ def within(a: str, b: str, tau: int) -> Column:
     first = sum((((1 << (d + 1)) - 1) << tau) << (width * d) for d in range(tau + 1))
     advance = f"get(transform(array({masks}), m -> ({new})), 0)"  # m: where the pattern has this character
     final = f"if(size({b}) = 0, {first}L, aggregate(sequence(0, size({b}) - 1), {first}L, (s, j) -> {advance}))"
-    return F.expr(f"if(abs(size({a}) - size({b})) <= {tau}, (shiftright({final}, {width * tau + tau} + size({a}) - size({b})) & 1L) = 1L, false)")
+    test = f"if(abs(size({a}) - size({b})) <= {tau}, (shiftright({final}, {width * tau + tau} + size({a}) - size({b})) & 1L) = 1L, false)"
+    return F.expr(f"get(transform(array(struct(split({x}, '') as a, split({y}, '') as b)), z -> {test}), 0)")
 
 
 def linked_lines(lines: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int = SHORTEST) -> DataFrame:
     """(node, root) for every line hash with links. lines: (line), any number of copies."""
-    own = scratch.write(lines.where(F.char_length("line") >= shortest).select("line").distinct().select(F.xxhash64("line").alias("h"), F.char_length("line").alias("n"), "line"), "lines")
-    index = own.select("h", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probe = own.select("h", F.explode(probe_keys(F.col("line"), F.col("n"), tau, shortest)).alias("key"))
-    right = index.select("key", F.col("h").alias("g"))
-    met = index.unionByName(probe).join(right, "key").where("h != g").select(F.least("h", "g").alias("u"), F.greatest("h", "g").alias("v")).distinct()
+    own = scratch.write(lines.where(F.char_length("line") >= shortest).select("line").distinct().select(F.xxhash64("line").alias("h"), F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("c"), "line"), "lines")
+    scratch.sweep()
+    index = own.select("h", "c", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    probe = own.select("h", "c", F.explode(probe_keys(F.col("line"), F.col("n"), tau, shortest)).alias("key"))
+    right = index.select("key", F.col("h").alias("g"), F.col("c").alias("d"))
+    met = index.unionByName(probe).join(right, "key").where((F.col("h") != F.col("g")) & (counts_differ("c", "d") <= 2 * tau)).select(F.least("h", "g").alias("u"), F.greatest("h", "g").alias("v")).distinct()
     met = scratch.write(met, "candidates")
-    chars = own.select("h", F.split("line", "").alias("c"))
-    pairs = met.join(chars.select(F.col("h").alias("u"), F.col("c").alias("a")), "u").join(chars.select(F.col("h").alias("v"), F.col("c").alias("b")), "v")
+    scratch.sweep()
+    wanted = met.select(F.col("u").alias("h")).unionByName(met.select(F.col("v").alias("h"))).distinct()
+    texts = scratch.write(own.select("h", "line").join(wanted, "h"), "texts")
+    scratch.drop(own)
+    pairs = met.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
     links = scratch.write(pairs.where(within("a", "b", tau)).select("u", "v"), "links")
-    scratch.drop(own, met)
+    scratch.drop(met, texts)
     return connected(links, scratch)
 
 
@@ -101,16 +122,18 @@ def removed_lines(documents: DataFrame, scratch: Scratch, tau: int = TAU, shorte
     at = at.select(F.struct(F.col("__id").isNull().alias("x"), "__id", "__k", "no").alias("at"), F.coalesce("root", "node").alias("root"))
     at = scratch.write(at.distinct(), "occurrences")
     first = at.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select("root", "first")
+    first = scratch.write(first, "first")  # joined from a table, so Spark can split a very common line's rows
     gone = at.join(first, "root").where("at != first").groupBy("at.__k").agg(F.collect_list("at.no").alias("removed"))
     out = scratch.write(gone, "removed")
-    scratch.drop(at, roots)
+    scratch.drop(at, first, roots)
     return out
 
 
 def dedup(documents: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int = SHORTEST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with their removed lines taken out of the text; __lines and __removed count each document's lines."""
     removed = removed_lines(documents, scratch, tau, shortest, id_column, text_column)
-    x = _keyed(documents, id_column, text_column).join(removed, "__k", "left")
+    # a row a document with removals: it grows with the corpus, so it is never broadcast
+    x = _keyed(documents, id_column, text_column).join(removed.hint("merge"), "__k", "left")
     lines = F.split(text_column, "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
     counts = {"__lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "__removed": F.coalesce(F.size("removed"), F.lit(0)).cast("bigint")}

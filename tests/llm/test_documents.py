@@ -145,6 +145,17 @@ def test_edit_join_against_brute_force(spark, tau):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_letter_counts_are_a_bound(spark):
+    r = random.Random(7)
+    rows = []
+    for _ in range(300):
+        a = "".join(r.choice("etgggppp zé") for _ in range(r.randint(1, 120)))
+        b = a[: r.randrange(len(a) + 1)] + r.choice(["", "g", "ee", "x"]) + a[r.randrange(len(a)) :]
+        rows.append((a, b, edit_distance(a, b)))
+    x = spark.createDataFrame(rows, "a string, b string, d int").withColumns({"c": lines.letter_counts(F.col("a")), "e": lines.letter_counts(F.col("b"))})
+    assert not x.where(lines.counts_differ("c", "e") > 2 * F.col("d")).collect()
+
+
 def test_decontamination(spark, docs, none):
     r = random.Random(9)
     item = ["".join(r.choice("klmnop") for _ in range(5)) for _ in range(30)]
