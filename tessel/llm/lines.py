@@ -34,21 +34,22 @@ def segments(n: Column, tau: int) -> list[tuple[Column, Column]]:
     return [((F.lit(i) * q + F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - r))).cast("int"), (q + (F.lit(i) >= F.lit(parts) - r).cast("int")).cast("int")) for i in range(parts)]
 
 
-def index_keys(line: Column, n: Column, tau: int) -> Column:
-    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)) for i, (start, size) in enumerate(segments(n, tau))))
+def index_key(line: Column, n: Column, tau: int, i: int) -> Column:
+    start, size = segments(n, tau)[i]
+    return F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size))
 
 
-def probe_keys(line: Column, n: Column, tau: int, shortest: int) -> Column:
-    """Keys of the substrings that may equal a segment of a line up to tau shorter, without the line's own segments."""
+def probe_keys(line: Column, n: Column, tau: int, i: int, shortest: int) -> Column:
+    """Keys of the substrings that may equal segment i of a line up to tau shorter, without the line's own segment."""
     out = []
     for less in range(tau + 1):
         m = n - less
-        for i, (start, size) in enumerate(segments(m, tau)):
-            for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                if less or shift:
-                    at = start + shift
-                    fits = (m >= shortest) & (at >= 0) & (at + size <= n)
-                    out.append(F.when(fits, F.xxhash64(m, F.lit(i), F.substring(line, at + 1, size))))
+        start, size = segments(m, tau)[i]
+        for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
+            if less or shift:
+                at = start + shift
+                fits = (m >= shortest) & (at >= 0) & (at + size <= n)
+                out.append(F.when(fits, F.xxhash64(m, F.lit(i), F.substring(line, at + 1, size))))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
@@ -93,18 +94,24 @@ def linked_lines(lines: DataFrame, scratch: Scratch, tau: int = TAU, shortest: i
     """(node, root) for every line hash with links. lines: (line), any number of copies."""
     own = scratch.write(lines.where(F.char_length("line") >= shortest).select("line").distinct().select(F.xxhash64("line").alias("h"), F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("c"), "line"), "lines")
     scratch.sweep()
-    index = own.select("h", "c", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probe = own.select("h", "c", F.explode(probe_keys(F.col("line"), F.col("n"), tau, shortest)).alias("key"))
-    right = index.select("key", F.col("h").alias("g"), F.col("c").alias("d"))
-    met = index.unionByName(probe).join(right, "key").where((F.col("h") != F.col("g")) & (counts_differ("c", "d") <= 2 * tau)).select(F.least("h", "g").alias("u"), F.greatest("h", "g").alias("v")).distinct()
-    met = scratch.write(met, "candidates")
-    scratch.sweep()
+    parts = []
+    for i in range(tau + 1):  # a segment at a time, so only one segment's keys are on disk
+        index = own.select("h", "c", index_key(F.col("line"), F.col("n"), tau, i).alias("key"))
+        probe = own.select("h", "c", F.explode(probe_keys(F.col("line"), F.col("n"), tau, i, shortest)).alias("key"))
+        right = index.select("key", F.col("h").alias("g"), F.col("c").alias("d"))
+        met = index.unionByName(probe).join(right, "key").where((F.col("h") != F.col("g")) & (counts_differ("c", "d") <= 2 * tau))
+        parts.append(scratch.write(met.select(F.least("h", "g").alias("u"), F.greatest("h", "g").alias("v")).distinct(), f"candidates{i}"))
+        scratch.sweep()
+    met = parts[0]
+    for x in parts[1:]:
+        met = met.unionByName(x)
+    met = scratch.write(met.distinct(), "candidates")
     wanted = met.select(F.col("u").alias("h")).unionByName(met.select(F.col("v").alias("h"))).distinct()
     texts = scratch.write(own.select("h", "line").join(wanted, "h"), "texts")
     scratch.drop(own)
     pairs = met.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
     links = scratch.write(pairs.where(within("a", "b", tau)).select("u", "v"), "links")
-    scratch.drop(met, texts)
+    scratch.drop(met, texts, *parts)
     return connected(links, scratch)
 
 
