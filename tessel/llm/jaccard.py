@@ -199,20 +199,26 @@ def _cluster(key, table: pa.Table, rank, num: int, den: int) -> pa.Table:
     return pa.table({"u": pa.array([x for x, _ in out], pa.binary()), "v": pa.array([y for _, y in out], pa.binary())})
 
 
-def _lists(sketch: DataFrame, order: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of an order: rows (token, s, n) of short lists, clusters (pivot, s) of long ones, and what to drop later."""
-    entries = sketch.where("n > 0").select(F.explode(f"p{order}").alias("token"), "s", "n")
-    shared = entries.groupBy("token").agg((F.min("s") != F.max("s")).alias("many")).where("many").select("token")
+def _lists(sketch: DataFrame, order: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Of an order: rows (token, i, n) of short lists, clusters (pivot, i) of long ones, and what to drop later.
+
+    Candidates are found by i, a 64-bit hash of the node's key; all nodes of a hash come back when the keys are joined again.
+    Counts are summed before they are shuffled and written before they are joined, so Spark can split a hot token's rows.
+    """
+    entries = sketch.where("n > 0").select(F.explode(f"p{order}").alias("token"), F.xxhash64("s").alias("i"), "n")
+    shared = scratch.write(entries.groupBy("token").agg(F.min("i").alias("a"), F.max("i").alias("b")).where("a != b").select("token"), f"shared{order}")
+    scratch.sweep()
     met = scratch.write(entries.join(shared, "token").distinct(), f"met{order}")
-    sizes = met.groupBy("token").agg(F.count("*").alias("size"), F.min("s").alias("pivot"))
+    sizes = scratch.write(met.groupBy("token").agg(F.count("*").alias("size"), F.min("i").alias("pivot")), f"sizes{order}")
+    scratch.drop(shared)
     sized = met.join(sizes, "token")
-    return sized.where(F.col("size") <= LIST).select("token", "s", "n"), sized.where(F.col("size") > LIST).select("pivot", "s").distinct(), met
+    return sized.where(F.col("size") <= LIST).select("token", "i", "n"), sized.where(F.col("size") > LIST).select("pivot", "i").distinct(), [met, sizes]
 
 
 def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    a, b = (rows.select("token", F.col("s").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
-    near = (den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")) & (F.col("u") < F.col("v"))
-    return a.join(b, "token").where(near).select("u", "v").distinct()
+    a, b = (rows.select("token", F.col("i").alias(f"{x}i"), F.col("n").alias(f"n{x}")) for x in "uv")
+    near = (den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")) & (F.col("ui") < F.col("vi"))
+    return a.join(b, "token").where(near).select("ui", "vi").distinct()
 
 
 def components(documents: DataFrame, scratch: Scratch, size: int = 3, num: int = NUM, den: int = DEN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -229,26 +235,26 @@ def components(documents: DataFrame, scratch: Scratch, size: int = 3, num: int =
     pairs, clusters, met = [], [], []
     for o in range(ORDERS):
         short, long, own = _lists(sketch, o, scratch)
-        met.append(own)
+        met += own
         pairs.append(scratch.write(_pairs(short, num, den), f"pairs{o}"))
         clusters.append(scratch.write(long, f"clusters{o}"))
     scratch.drop(*met)
     kept = pairs[0]
     for o in range(1, ORDERS):
-        in_list = kept.join(pairs[o], ["u", "v"], "left_semi")
-        in_cluster = kept.join(clusters[o].withColumnRenamed("s", "u"), "u").join(clusters[o].withColumnRenamed("s", "v"), ["pivot", "v"]).select("u", "v")
+        in_list = kept.join(pairs[o], ["ui", "vi"], "left_semi")
+        in_cluster = kept.join(clusters[o].withColumnRenamed("i", "ui"), "ui").join(clusters[o].withColumnRenamed("i", "vi"), ["pivot", "vi"]).select("ui", "vi")
         kept = in_list.unionByName(in_cluster).distinct()
-    nodes = sketch.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("bits").alias("bits"))
-    with_bits = kept.join(nodes.select(F.col("s").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u").join(nodes.select(F.col("s").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
-    close = scratch.write(with_bits.mapInArrow(lambda x: _by_bitmap(x, num, den), "u binary, v binary"), "close")
-    wanted = close.select(F.col("u").alias("s")).unionByName(close.select(F.col("v").alias("s"))).unionByName(clusters[0].select("s")).distinct().join(nodes.select("s", "k"), "s")
+    nodes = sketch.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("bits").alias("bits")).withColumn("i", F.xxhash64("s"))
+    with_bits = kept.join(nodes.select(F.col("i").alias("ui"), F.col("s").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "ui").join(nodes.select(F.col("i").alias("vi"), F.col("s").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "vi")
+    close = scratch.write(with_bits.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(lambda x: _by_bitmap(x, num, den), "u binary, v binary"), "close")
+    wanted = close.select(F.col("u").alias("s")).unionByName(close.select(F.col("v").alias("s"))).unionByName(clusters[0].join(nodes, "i").select("s")).distinct().join(nodes.select("s", "k"), "s")
     # one text for each wanted set; texts of equal bytes bring it once each
     sets = scratch.write(keyed.select("k", "b").join(wanted, "k").mapInArrow(lambda x: _whole_sets(x, size), "s binary, tokens binary").groupBy("s").agg(F.min("tokens").alias("tokens")), "sets")
     blocks = clusters[0].groupBy("pivot").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("blocks"))
-    placed = clusters[0].join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
+    placed = clusters[0].join(blocks, "pivot").withColumn("block", F.pmod(F.hash("i"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = placed.withColumn("other", other).select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "s")
-    dense = tasks.join(sets, "s").groupBy("pivot", "x", "y").applyInArrow(lambda k, t: _cluster(k, t, rank, num, den), "u binary, v binary")
+    tasks = placed.withColumn("other", other).select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "i")
+    dense = tasks.join(sets.withColumn("i", F.xxhash64("s")), "i").select("pivot", "x", "y", "s", "tokens").groupBy("pivot", "x", "y").applyInArrow(lambda k, t: _cluster(k, t, rank, num, den), "u binary, v binary")
     first = close.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     found = scratch.write(dense.unionByName(_verified(first, sets, num, den)), "links")
     roots = connected(found, scratch)
