@@ -262,6 +262,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gro
     long = texts.select("k", "b").where(F.length("b") >= length)
     blocks = scratch.write(long.mapInArrow(lambda x: _blocks(x, length), _BLOCK), "blocks")
     anchors = blocks.groupBy("gram").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").select("gram", "mixed")
+    anchors = scratch.write(anchors, "anchors")  # joined from a table, so Spark can split a hot anchor's rows
     met = scratch.write(blocks.join(anchors, "gram"), "met")
     end = (F.col("start") + F.col("count") - 1 + length).alias("end")
     alike = met.where("not mixed").select("k", "start", end)
@@ -278,7 +279,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gro
     partly = mixed.join(runs, ["gram", "whole"]).select("k", "start", F.explode("runs").alias("r")).select("k", (F.col("start") + F.col("r.a")).alias("start"), (F.col("start") + F.col("r.b") + length).alias("end"))
     spans = alike.unionByName(partly).distinct().groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = scratch.write(spans, "spans")
-    scratch.drop(blocks, met, cut, runs)
+    scratch.drop(blocks, anchors, met, cut, runs)
     return out
 
 
