@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,16 +44,14 @@ def features_of(word: str) -> tuple[str, ...]:
 
 
 class _Features(dict):
-    """The features that a white-space delimited token brings, remembered; forgets all beyond MOST tokens."""
+    """The features that a white-space delimited token brings, remembered; forgets all beyond `most` tokens."""
 
-    MOST = 400_000
-
-    def __init__(self, among=None):
+    def __init__(self, among=None, most: int = 400_000):
         super().__init__()
-        self.among = among
+        self.among, self.most = among, most
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) >= self.MOST:
+        if len(self) >= self.most:
             self.clear()
         found = tuple(f for w in _WORD.findall(token) for f in features_of(w) if self.among is None or f in self.among)
         self[token] = found
@@ -92,10 +89,10 @@ class Model:
 class _Rows:
     """Sparse 0/1 rows."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.array([c for r in rows for c in r], dtype=np.int64)
+        self.col = np.concatenate([*rows, np.empty(0, dtype=np.int64)]).astype(np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n)
@@ -110,29 +107,35 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
     if not len(y) or y.min() == y.max():
         share = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Model({}, math.log(share / (1 - share)))
-    bags, pairs, features = [], [], _Features()
+    # features are numbered as they come and a text keeps numbers only: the sample's memory is a few hundred bytes a word
+    features, number, bags, pairs = _Features(most=20_000), {}, [], []
+    numbers = lambda text: np.array(sorted(number.setdefault(f, len(number)) for f in features.of(text)), dtype=np.int32)
     for text in texts:
         low = (text or "").lower()
-        bags.append(features.of(low))
+        bags.append(numbers(low))
         if any(w in low for w in _GROUP):
             for sentence in _SENTENCE.split(low):
                 words = _WORD.findall(sentence)
-                pairs += [(" ".join(words), " ".join(x)) for x in swaps(words)]
-    seen = [Counter(), Counter()]
-    for bag, label in zip(bags, labels, strict=True):
-        seen[label].update(bag)
+                pairs += [(numbers(" ".join(words)), numbers(" ".join(x))) for x in swaps(words)]
+    seen = [np.bincount(np.concatenate([x for x, k in zip(bags, labels, strict=True) if k == label]), minlength=len(number)).astype(float) for label in (0, 1)]
     n1, n0 = y.sum(), len(y) - y.sum()
-    ranked = []
-    for f in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][f], seen[0][f]
-        p = (a + b) / len(y)
-        if a + b >= 3 and p < 1 and abs(z := (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))) >= LEAST_Z:
-            ranked.append((-abs(z), f))
-    named = {f for w in _GROUP for f in features_of(w)} & (seen[0].keys() | seen[1].keys())
-    place = {f: i for i, f in enumerate([*sorted(named), *(f for _, f in sorted(ranked)[:FEATURES] if f not in named)])}
-    at = lambda bag: sorted(place[f] for f in bag if f in place)
+    df, p = seen[0] + seen[1], (seen[0] + seen[1]) / len(y)
+    z = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(np.where((p > 0) & (p < 1), p * (1 - p), np.inf) * (1 / n1 + 1 / n0))
+    good = np.flatnonzero((df >= 3) & (z >= LEAST_Z))
+    swapped = np.array(sorted(number[f] for w in _GROUP for f in features_of(w) if f in number), dtype=np.int64)
+    good = good[np.argsort(-z[good], kind="stable")][:FEATURES]
+    chosen = np.unique(np.concatenate([swapped, good]))
+    column = np.full(len(number), -1)
+    column[chosen] = np.arange(len(chosen))
+    names = [""] * len(chosen)
+    for f, i in number.items():
+        if column[i] >= 0:
+            names[column[i]] = f
+    place = {f: i for i, f in enumerate(names)}
+    number.clear()
+    at = lambda ids: column[ids][column[ids] >= 0]
     x = _Rows([at(b) for b in bags], len(place))
-    one, two = (_Rows([at(features.of(p[k])) for p in pairs], len(place)) for k in (0, 1))
+    one, two = (_Rows([at(p[k]) for p in pairs], len(place)) for k in (0, 1))
     w, bias = np.zeros(len(place)), math.log(n1 / n0)
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
     for t in range(1, ROUNDS + 1):
