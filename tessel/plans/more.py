@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -183,7 +183,7 @@ def _(t):
 
 def _stream(t):
     schema = table(t.spark, t.sf_dir, "events").schema
-    return EV.read_events(t.spark, f"{t.sf_dir}/events.parquet*", schema), tempfile.mkdtemp(prefix="tessel-stream-")
+    return EV.read_events(t.spark, f"{t.sf_dir}/events.parquet*", schema), f"{R.shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("streaming_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
