@@ -102,7 +102,7 @@ class _Rows:
 
 
 def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
-    """Fit on the driver; the rows are a bounded sample."""
+    """Fit in one process; the rows are a bounded sample."""
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         share = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
@@ -155,9 +155,22 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty
     """A model of at most `sample` labelled rows outside the held-out remainder (crc32 of the id modulo 4 is 2)."""
     chosen = labels.selectExpr("doc_id as __id", "cast(toxic as int) as __toxic").where("__id is not null and __toxic in (0, 1)").where(crc_mod("__id", 4) != 2)
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__toxic").limit(sample)
-    rows = documents.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "__id").collect()
-    rows.sort(key=lambda r: (r["__id"], r["__toxic"], r["__text"] or ""))
-    return fit([r["__text"] for r in rows], [r["__toxic"] for r in rows], penalty)
+    rows = documents.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
+    fitted = rows.select("__id", "__toxic", "__text").groupBy(F.lit(0).alias("__all")).applyInArrow(_fitting(penalty), "feature string, weight double").collect()
+    if not fitted:
+        return fit([], [])
+    return Model({r["feature"]: r["weight"] for r in fitted if r["feature"] is not None}, next(r["weight"] for r in fitted if r["feature"] is None))
+
+
+def _fitting(penalty: float):
+    """The fit as a task, which keeps the sample out of the driver's memory: a row for each weight, the bias without a feature."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("__id", "__toxic", "__text")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
+        model = fit([t for _, _, t in rows], [y for _, y, _ in rows], penalty)
+        return pa.table({"feature": pa.array([*model.weights, None], pa.string()), "weight": pa.array([*model.weights.values(), model.bias], pa.float64())})
+
+    return run
 
 
 def score(documents: DataFrame, model: Model, columns: list[str] | None = None, name: str = "score") -> DataFrame:
