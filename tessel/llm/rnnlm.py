@@ -8,10 +8,12 @@ Model. A GRU reads the previous token; the next one's probability is P(class | s
 being runs of WORDS words by frequency. A tail word's share within its class is (c + 0.1) / (N_tail + 0.1 * (V_tail + 1)).
 Output biases start at the logarithms of the counts.
 
-Training. Each training document gives a run of RUN tokens from a hashed place. The runs are dealt into shards of about
-SHARD documents; in each of ROUNDS rounds every shard starts from the shared parameters, takes Adam steps by truncated
-backpropagation over windows of WINDOW tokens with the state carried from window to window, at least LEAST_UPDATES of
-them, and the shards' parameters are averaged (by blocks, in two levels).
+Training. All tokens of all training documents are trained on, once in large tables. The documents are dealt by hash into
+shards of about SHARD documents (fewer if they are long) and each shard's into ROUNDS parts; in each round every shard starts
+from the shared parameters, takes Adam steps on the round's part and the shards' parameters are averaged (by blocks, in two
+levels). A part's documents are dealt to lanes that advance together by truncated backpropagation over windows of WINDOW
+tokens; the state is carried from window to window through the whole document and cleared at the next one's start. Small
+parts are passed over again until there are LEAST_UPDATES.
 
 Scoring. The documents of a chunk are dealt to lanes that advance together. The state is carried through the whole
 document and cleared at the next one's start; each token of each document adds to its log10 probability.
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod
 
 HEAD, WORDS, MID, EMBED, STATE = 4096, 64, 1 << 17, 24, 32
-RUN, WINDOW, LANES, SHARD, ROUNDS, LEAST_UPDATES, RATE = 48, 16, 128, 8192, 2, 300, 0.004
+WINDOW, LANES, SHARD, ROUNDS, LEAST_UPDATES, RATE = 16, 128, 8192, 2, 300, 0.004
+SHARD_TOKENS = 1 << 23  # what a task holds, at 2 bytes each
 CHUNK, SCORE_LANES, FLUSH = 1_500_000, 256, 400_000
 CLASSES = HEAD // WORDS
 END, TAIL, START = 0, HEAD, HEAD + 1
@@ -78,10 +81,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _loss_and_slope(x: np.ndarray, columns: np.ndarray, scale: np.float32) -> tuple[float, np.ndarray]:
+    """The loss of softmax rows at one column each, and its slope by the scores times scale, in place of x."""
+    at = (np.arange(len(x)), columns)
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    own = x[at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x *= (scale / total)[:, None]
+    x[at] -= scale
+    return float((np.log(total) - own).sum()), x
 
 
 def _log_share(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -143,14 +152,15 @@ class Trainer:
         p -= spare
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-        """One update from steps x lanes of tokens (targets -1: none); returns the loss a token and the state to carry."""
+        """One update from steps x lanes of tokens (targets -1: none; START clears the state); returns the loss a token and the state to carry."""
         p, steps = self.p, len(inputs)
         x = p["embed"][inputs]
         gx = x @ p["wx"] + p["b"]
         kept, states = [], []
+        going = inputs != START  # the state before a START is not its document's
         for t in range(steps):
-            before = h
-            h, r, z, n, ghn = _step(p, gx[t], h)
+            before = h if going[t].all() else h * going[t][:, None]
+            h, r, z, n, ghn = _step(p, gx[t], before)
             kept.append((before, r, z, n, ghn))
             states.append(h)
         g = self.g
@@ -159,26 +169,25 @@ class Trainer:
         have = np.flatnonzero(want >= 0)
         s, y = flat[have], want[have]
         classes, scale = y // WORDS, np.float32(1 / max(1, len(have)))
-        lp = _log_softmax(s @ p["class_w"] + p["class_b"])
-        loss = -lp[np.arange(len(y)), classes].sum()
-        d = np.exp(lp)
-        d[np.arange(len(y)), classes] -= 1
-        d *= scale
+        loss, d = _loss_and_slope(s @ p["class_w"] + p["class_b"], classes, scale)
         g["class_w"][:], g["class_b"][:] = s.T @ d, d.sum(axis=0)
         ds = d @ p["class_w"].T
         order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                lp = _log_softmax(s[rows] @ p["word_w"][c] + p["word_b"][c])
-                at = (np.arange(len(rows)), y[rows] - c * WORDS)
-                loss -= lp[at].sum()
-                d = np.exp(lp)
-                d[at] -= 1
-                d *= scale
-                g["word_w"][c], g["word_b"][c] = s[rows].T @ d, d.sum(axis=0)
-                ds[rows] += d @ p["word_w"][c].T
+        ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+        order = order[: ends[-1]]  # without the tail's
+        if len(order):
+            runs = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends))]
+            own, y = s[order], y[order]
+            x_own, back = p["word_b"][y // WORDS], np.empty_like(own)
+            for c, at in runs:
+                x_own[at] += own[at] @ p["word_w"][c]
+            more, d = _loss_and_slope(x_own, y % WORDS, scale)
+            loss += more
+            g["word_b"][[c for c, _ in runs]] = np.add.reduceat(d, [at.start for _, at in runs], axis=0)
+            for c, at in runs:
+                np.matmul(own[at].T, d[at], out=g["word_w"][c])
+                np.matmul(d[at], p["word_w"][c].T, out=back[at])
+            ds[order] += back
         dflat = np.zeros_like(flat)
         dflat[have] = ds
         dstates = dflat.reshape(steps, -1, STATE)
@@ -193,6 +202,8 @@ class Trainer:
             dgx[t, :, :STATE], dgx[t, :, STATE : 2 * STATE], dgx[t, :, 2 * STATE :] = dr, dz, dn
             g["u"] += before.T @ dgh
             carry = dh * z + dgh @ p["u"].T
+            if not going[t].all():
+                carry *= going[t][:, None]
         flat_gx = dgx.reshape(-1, 3 * STATE)
         g["wx"][:], g["b"][:] = x.reshape(-1, EMBED).T @ flat_gx, flat_gx.sum(axis=0)
         dx, ids = flat_gx @ p["wx"].T, inputs.ravel()
@@ -202,32 +213,44 @@ class Trainer:
         self._adam()
         return loss / max(1, len(have)), h
 
-    def run(self, runs: np.ndarray) -> None:
-        """runs: rows of RUN + 1 tokens (-1: past the end); the first is only read."""
-        batches = -(-len(runs) // LANES)
-        passes = max(1, -(-LEAST_UPDATES // max(1, batches * (RUN // WINDOW))))
+    def run(self, texts: list[np.ndarray]) -> None:
+        """texts: token numbers with the end token, each trained on from its first token to its last."""
         r = np.random.default_rng(11)
-        for _ in range(passes):
-            order = r.permutation(len(runs))
-            for b in range(batches):
-                part = runs[order[b * LANES : (b + 1) * LANES]].T
-                h = np.zeros((part.shape[1], STATE), np.float32)
-                for at in range(0, RUN, WINDOW):
-                    targets = part[at + 1 : at + 1 + WINDOW]
-                    if (targets >= 0).any():
-                        _, h = self.window(np.maximum(part[at : at + WINDOW], 0), targets, h)
+        lanes = max(1, min(LANES, sum(map(len, texts)) // max(map(len, texts))))
+        done = 0
+        while done < LEAST_UPDATES:
+            dealt = deal([len(x) for x in texts], lanes)
+            steps = max(sum(len(texts[i]) for i in mine) for mine in dealt)
+            inputs, targets = np.full((steps, lanes), END, np.int32), np.full((steps, lanes), -1, np.int32)
+            for k, mine in enumerate(dealt):
+                at = 0
+                for i in r.permutation(mine):
+                    x = texts[i]
+                    inputs[at, k], inputs[at + 1 : at + len(x), k] = START, x[:-1]
+                    targets[at : at + len(x), k] = x
+                    at += len(x)
+            h = np.zeros((lanes, STATE), np.float32)
+            for at in range(0, steps, WINDOW):
+                _, h = self.window(inputs[at : at + WINDOW], targets[at : at + WINDOW], h)
+                done += 1
+
+
+def deal(lengths: list[int], lanes: int) -> list[list[int]]:
+    """Numbers of texts by lane, about as many tokens in each."""
+    heap, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n, k = heapq.heappop(heap)
+        dealt[k].append(i)
+        heapq.heappush(heap, (n + lengths[i], k))
+    return dealt
 
 
 def score_texts(p: dict[str, np.ndarray], table: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text (token numbers with the end token). table: embed @ wx + b."""
     total, longest = sum(map(len, texts)), max(map(len, texts))
     lanes = max(1, min(SCORE_LANES, total // longest))
-    heap, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        n, k = heapq.heappop(heap)
-        dealt[k].append(i)
-        heapq.heappush(heap, (n + len(texts[i]), k))
-    steps = max(n for n, _ in heap)
+    dealt = deal([len(x) for x in texts], lanes)
+    steps = max(sum(len(texts[i]) for i in mine) for mine in dealt)
     inputs, targets, owner = np.full((steps, lanes), END, np.int32), np.full((steps, lanes), END, np.int32), np.full((steps, lanes), len(texts), np.int32)
     for k, mine in enumerate(dealt):
         at = 0
@@ -287,29 +310,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     ids = Ids(known.value)
     for batch in batches:
         made = []
-        for text, place in zip(batch.column("b"), batch.column("place").to_pylist(), strict=True):
+        for text in batch.column("b"):
             words = tokens(text.as_py())
-            start = place % max(1, len(words) + 1 - RUN + 1)
-            own = np.fromiter(map(ids.__getitem__, words[max(0, start - 1) : start + RUN]), dtype=np.int32)
+            own = np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words))
             own[(own < 0) | (own >= HEAD)] = TAIL
-            head = [] if start else [START]
-            run = [*head, *own.tolist()]
-            if start + RUN > len(words):
-                run.append(END)
-            made.append(np.array((run + [-1] * (RUN + 1))[: RUN + 1], dtype="<i2").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("place"), pa.array(made, pa.binary())], names=["shard", "place", "run"])
+            made.append(np.append(own, END).astype("<i2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("place"), pa.array(made, pa.binary())], names=["shard", "place", "tokens"])
 
 
 def _train(table: pa.Table, shared, blocks: int) -> pa.Table:
-    table = table.sort_by([("place", "ascending"), ("run", "ascending")])
+    table = table.sort_by([("place", "ascending"), ("tokens", "ascending")])
     trainer = Trainer(unpack(np.frombuffer(shared.value, dtype=np.float32)))
-    trainer.run(np.stack([np.frombuffer(x, dtype="<i2") for x in table.column("run").to_pylist()]).astype(np.int32))
+    texts = [np.frombuffer(x.as_py(), dtype="<i2") for x in table.column("tokens")]
+    trainer.run(texts)
     parts = np.array_split(pack(trainer.p).astype(np.float64), blocks)
-    n = len(table)
+    n = sum(map(len, texts))
     return pa.table({"block": pa.array(range(blocks), pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * blocks, pa.int32()), "n": pa.array([n] * blocks, pa.int64()), "sums": pa.array([(x * n).tobytes() for x in parts], pa.binary())})
 
 
@@ -383,17 +402,20 @@ def scored(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", te
     n_tail, v_tail = n - head_counts.sum(), v_words - len(mid[: HEAD - 1])
     known = sc.broadcast({w: i + 1 for i, (_, w) in enumerate(mid)})
     logs = sc.broadcast(np.log10(np.array([n_train, *(-c for c, _ in mid)], dtype=float) + 0.1).tobytes())
-    shards, blocks = max(1, -(-n_train // SHARD)), 16
+    shards, blocks = max(1, -(-n_train // SHARD), -(-n // SHARD_TOKENS)), 16
     placed = train.select("b", F.pmod(F.xxhash64(F.md5("b"), "__id"), F.lit(1 << 40)).alias("place")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
-    runs = scratch.write(placed.select("shard", (F.col("place") / shards).cast("bigint").alias("place"), "b").mapInArrow(lambda x: _runs(x, known), "shard int, place bigint, run binary"), "runs")
+    texts = scratch.write(placed.select("shard", (F.col("place") / shards).cast("bigint").alias("place"), "b").mapInArrow(lambda x: _texts(x, known), "shard int, place bigint, tokens binary"), "texts")
+    parts = ROUNDS if n_train > shards * LANES else 1  # documents that are too few for parts are trained on in every round
     params = pack(new_model(head_counts, n_tail))
-    for _ in range(ROUNDS if n_train else 0):
+    for k in range(ROUNDS if n_train else 0):
         shared = sc.broadcast(params.astype(np.float32).tobytes())
-        parts = runs.groupBy("shard").applyInArrow(_trains(shared, blocks), "block int, shard int, n bigint, sums binary")
-        parts = parts.withColumn("g", F.pmod("shard", F.lit(32))).groupBy("block", "g").applyInArrow(_add, "block int, shard int, n bigint, sums binary")
-        parts = parts.groupBy("block").applyInArrow(_add, "block int, shard int, n bigint, sums binary")
-        rows = sorted(parts.collect(), key=lambda r: r["block"])  # one set of parameters
-        params = np.concatenate([np.frombuffer(r["sums"], dtype=np.float64) / r["n"] for r in rows])
+        own = texts.where(F.pmod("place", F.lit(parts)) == k % parts)
+        sums = own.groupBy("shard").applyInArrow(_trains(shared, blocks), "block int, shard int, n bigint, sums binary")
+        sums = sums.withColumn("g", F.pmod("shard", F.lit(32))).groupBy("block", "g").applyInArrow(_add, "block int, shard int, n bigint, sums binary")
+        sums = sums.groupBy("block").applyInArrow(_add, "block int, shard int, n bigint, sums binary")
+        rows = sorted(sums.collect(), key=lambda r: r["block"])  # one set of parameters
+        if rows:
+            params = np.concatenate([np.frombuffer(r["sums"], dtype=np.float64) / r["n"] for r in rows])
     shared = sc.broadcast(params.astype(np.float32).tobytes())
     schema = f"row bigint, __id {kind}, held_out boolean, n_tokens bigint, n_known bigint, n_tail bigint, logs double, tail_logs double, words array<binary>, times array<int>, network double"
     each = scratch.write(docs.mapInArrow(lambda x: _score(x, known, shared, logs), schema), "scores")
