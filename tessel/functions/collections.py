@@ -165,6 +165,9 @@ def ltree_is_ancestor(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- plane geometry: points are struct<x, y>, polygons arrays of them
 
 
+EPSILON = 1e-6
+
+
 def box_of(poly: Column) -> Column:
     xs, ys = F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
@@ -174,12 +177,73 @@ def boxes_overlap(a: Column, b: Column) -> Column:
     return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
 
 
+def _edges(poly: Column) -> Column:
+    return F.arrays_zip(poly.alias("a"), F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1)).alias("b"))
+
+
 def polygon_has_point(poly: Column, x: Column, y: Column) -> Column:
     """Even-odd rule over the edges; points on an edge count as inside on lower and left edges."""
-    edges = F.arrays_zip(poly.alias("a"), F.concat(F.slice(poly, 2, F.size(poly)), F.slice(poly, 1, 1)).alias("b"))
-    crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
+    crossed = F.filter(_edges(poly), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]))
     return F.size(crossed) % 2 == 1
 
 
+def _distance(p: Column, e: Column) -> Column:
+    """Of a point from an edge."""
+    a, dx, dy = e["a"], e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+    along = ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)), F.lit(0.0))  # an edge of no length is a point
+    return F.hypot(p["x"] - a["x"] - t * dx, p["y"] - a["y"] - t * dy)
+
+
+def _in_ring(poly: Column, p: Column) -> Column:
+    """Inside or within EPSILON of an edge."""
+    return F.exists(_edges(poly), lambda e: _distance(p, e) <= EPSILON) | polygon_has_point(poly, p["x"], p["y"])
+
+
+def _edges_cross(p: Column, q: Column) -> Column:
+    """Whether an edge of p and one of q cross; touching is not crossing."""
+
+    def side(e: Column, c: Column) -> Column:
+        return F.signum((e["b"]["x"] - e["a"]["x"]) * (c["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (c["x"] - e["a"]["x"]))
+
+    def cross(e: Column, f: Column) -> Column:
+        apart = (_distance(f["a"], e) > EPSILON) & (_distance(f["b"], e) > EPSILON) & (_distance(e["a"], f) > EPSILON) & (_distance(e["b"], f) > EPSILON)
+        return apart & (side(e, f["a"]) * side(e, f["b"]) < 0) & (side(f, e["a"]) * side(f, e["b"]) < 0)
+
+    return F.exists(_edges(p), lambda e: F.exists(_edges(q), lambda f: cross(e, f)))
+
+
+def polygons_overlap(p: Column, q: Column) -> Column:
+    """p && q: a vertex of one in the other, or crossing edges; touching counts."""
+    return F.exists(p, lambda v: _in_ring(q, v)) | F.exists(q, lambda v: _in_ring(p, v)) | _edges_cross(p, q)
+
+
+def polygon_contains(outer: Column, inner: Column) -> Column:
+    """outer @> inner: all vertices inside and no crossing edges, as an edge can leave a concave polygon between two vertices."""
+    return F.forall(inner, lambda v: _in_ring(outer, v)) & ~_edges_cross(outer, inner)
+
+
+def same_point(a: Column, b: Column) -> Column:
+    """a ~= b, by coordinate within EPSILON; NaN is the same as anything."""
+    near = lambda d: F.isnan(d) | (F.abs(d) <= EPSILON)
+    return near(a["x"] - b["x"]) & near(a["y"] - b["y"])
+
+
+def same_points(p: Column, q: Column) -> Column:
+    """p ~= q of segments, boxes and paths: the same points in order."""
+    return (F.size(p) == F.size(q)) & F.forall(F.arrays_zip(p.alias("a"), q.alias("b")), lambda e: same_point(e["a"], e["b"]))
+
+
+def same_polygon(p: Column, q: Column) -> Column:
+    """p ~= q of polygons: q's ring may start anywhere and run either way."""
+    turned = lambda r, k: F.concat(F.slice(r, k + 1, F.size(r)), F.slice(r, F.lit(1), k))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(q) - 1, F.lit(0)))
+    return F.exists(starts, lambda k: same_points(p, turned(q, k)) | same_points(p, turned(F.reverse(q), k)))
+
+
 def is_closed(path: Column) -> Column:
     return path["closed"]
+
+
+def is_open(path: Column) -> Column:
+    return ~path["closed"]

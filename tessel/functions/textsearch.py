@@ -43,6 +43,21 @@ def tsvector_rows(df, id_column: str, text_column: str, config: str = "simple"):
     return out.groupBy(id_column, "lexeme").agg(F.array_sort(F.collect_list("p")).alias("positions"))
 
 
+#: What a position of each letter counts in a rank: ts_rank's weight.
+WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+
+
+def setweight(vector: Column, letter: str) -> Column:
+    """One weight over every position: map<lexeme, array<struct<position, weight>>>; positions() gives the vector again."""
+    if letter.upper() not in WEIGHTS:
+        raise ValueError(f"unrecognized weight: {letter!r}")
+    return F.transform_values(vector, lambda _, ps: F.transform(ps, lambda p: F.struct(p.alias("position"), F.lit(letter.upper()).alias("weight"))))
+
+
+def positions(weighted: Column) -> Column:
+    return F.transform_values(weighted, lambda _, ps: F.transform(ps, lambda p: p["position"]))
+
+
 def strip(vector: Column) -> Column:
     return F.map_keys(vector)
 

@@ -272,7 +272,7 @@ def _(t):
     poly = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))))
     other = F.array(F.struct((F.col("px") - 1).alias("x"), F.col("py").alias("y")), F.struct((F.col("px") + 1).alias("x"), (F.col("py") + 1).alias("y")))
     v = t.values("(1, 1.0D, 2.0D), (2, 9.0D, 2.0D)", "id, px, py")
-    return v.select("id", C.polygon_has_point(poly, F.col("px"), F.col("py")).alias("inside"), C.boxes_overlap(C.box_of(poly), C.box_of(other)).alias("overlap"))
+    return v.select("id", C.polygon_has_point(poly, F.col("px"), F.col("py")).alias("inside"), C.polygons_overlap(poly, other).alias("overlap"))
 
 
 # ---------------------------------------------------------------- identifiers and session
