@@ -203,7 +203,7 @@ def _(t):
 @query("streaming_deduplicate", "SELECT DISTINCT event_id, user_id FROM events")
 def _(t):
     events, folder = _stream(t)
-    return EV.run_once(EV.without_repeats(events).select("event_id", "user_id"), "tessel_dedup", folder, "append")
+    return EV.run_once(EV.distinct(events, ["event_id", "user_id"]), "tessel_dedup", folder, "append")
 
 
 @query("streaming_learner", "SELECT event_id AS k, user_id AS v FROM events WHERE event_type <> 'click'")

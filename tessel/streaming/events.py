@@ -22,7 +22,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
 
 
+def distinct(events: DataFrame, columns: list[str]) -> DataFrame:
+    """Whatever the files' order and however far apart the repeats: every key is kept as state, so for bounded reads."""
+    return events.select(*columns).dropDuplicates(columns)
+
+
 def without_repeats(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """For unbounded streams: rows older than the watermark are dropped, and repeats further apart than late stay."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
