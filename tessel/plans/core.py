@@ -169,6 +169,7 @@ def _(t):
 sql_query("join_natural", "SELECT doc_id, quality, source FROM {documents} NATURAL JOIN {labels}")
 sql_query("join_theta", "SELECT a.r_name AS a, b.r_name AS b FROM {region} AS a JOIN {region} AS b ON a.r_regionkey < b.r_regionkey")
 sql_query("join_self", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM {customer} AS a JOIN {customer} AS b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <= 200")
+sql_query("join_self_whole", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM {orders} AS a JOIN {orders} AS b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey")
 sql_query("join_n_way", "SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
 sql_query("join_null_keys", "SELECT x.i AS i, y.j AS j FROM (VALUES (1, 5), (2, NULL)) AS x(i, k) LEFT JOIN (VALUES (7, 5), (8, NULL)) AS y(j, k) ON x.k = y.k")
 sql_query("join_lateral_unnest", "SELECT v.id AS id, u.x AS x FROM (VALUES (1, array(1, 2)), (2, cast(array() as array<int>)), (3, NULL)) AS v(id, a) LATERAL VIEW explode(a) u AS x", "SELECT id, unnest(a) AS x FROM (VALUES (1, [1, 2]), (2, []), (3, NULL)) AS v(id, a)")
@@ -271,6 +272,8 @@ def _(t):
 
 sql_query("sort_nulls", "SELECT x, y FROM (VALUES (1, 'b'), (NULL, 'a'), (3, NULL), (2, 'c')) AS v(x, y) ORDER BY x DESC NULLS FIRST, y ASC NULLS LAST")
 sql_query("sort_alias_position", "SELECT c_custkey, c_acctbal * -1 AS minus FROM {customer} ORDER BY 2, c_custkey LIMIT 25")
+sql_query("sort_alias_position_whole", "SELECT c_custkey, c_acctbal * -1 AS minus FROM {customer} ORDER BY 2, c_custkey")
+sql_query("sort_alias_whole", "SELECT c_custkey, c_acctbal * -1 AS minus FROM {customer} ORDER BY minus DESC, c_custkey")
 sql_query("limit_offset", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 10 OFFSET 35")
 sql_query("top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
 sql_query("select_distinct", "SELECT DISTINCT c_nationkey, c_mktsegment FROM {customer}")

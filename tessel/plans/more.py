@@ -256,6 +256,11 @@ def _(t):
     return R.written(rows)  # RETURNING gives the rows as written
 
 
+@query("statement_insert_select_returning_whole", "SELECT o_orderkey * 10 AS id, o_orderstatus AS s FROM orders")
+def _(t):
+    return R.written(t.orders.selectExpr("o_orderkey * 10 AS id", "o_orderstatus AS s"))
+
+
 @query("statement_create_table_as", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def _(t):
     return R.written(t.customer.where("c_acctbal > 0").groupBy("c_mktsegment").agg(F.count("*").alias("n")))
