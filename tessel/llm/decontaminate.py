@@ -5,7 +5,7 @@ n-gram of the benchmark occurs. An item's seeds are its n-grams in at most RARE
 any case those in at most twice as many as the item's median n-gram, so an item copied everywhere keeps seeds, also those
 that edited copies have in common. In a second pass each seed found in a document opens a
 window of the item's length and half of it on either side; overlapping windows of an item merge. A window with SEEDS
-different seeds (one, for items with fewer than 3 * SEEDS n-grams) is aligned with the item (match +2, mismatch and gap
+different seeds (one, for items of up to SINGLE words) is aligned with the item (match +2, mismatch and gap
 -1); the score is the best local alignment over the item's score with itself.
 
 Both passes read the documents once, whole, and shuffle only counts. Items are sent to the tasks in blocks of at most
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, mix64
 
 N, RARE, FLOOR, SEEDS, THRESHOLD, BLOCK, BYTES, BATCH = 3, 0.0005, 50, 2, 0.5, 20_000, 16 << 20, 1024
+SINGLE = 23
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PUNCTUATION = string.punctuation.encode()
 _U = np.uint64
@@ -114,7 +115,7 @@ def windows_of(hits: np.ndarray, place: np.ndarray, m: int, n: int) -> list[tupl
             out[-1] = (out[-1][0], max(out[-1][1], e), out[-1][2] | {p})
         else:
             out.append((s, e, {p}))
-    need = SEEDS if m - N + 1 >= 3 * SEEDS else 1
+    need = SEEDS if m > SINGLE else 1
     whole = []
     for s, e in ((s, e) for s, e, seeds in out if len(seeds) >= need):  # a long run of windows is aligned in pieces that overlap by two items
         while e - s > 8 * m:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessel.llm import rnnlm
+from tessel.llm import decontaminate, rnnlm
 
 
 def test_every_token_is_trained_on_with_the_state_carried():
@@ -58,3 +58,11 @@ def test_gradients_stop_at_the_start_of_a_document():
             q[name][at] += sign * 1e-5
             kept.append(loss(q))
         assert trainer.m[name][at] == pytest.approx(0.1 * (kept[0] - kept[1]) / 2e-5, rel=1e-2, abs=1e-6)
+
+
+def test_a_short_item_with_one_seed_left_is_aligned(spark):
+    item = [f"word{i}" for i in range(12)]
+    copy = [f"other{i}" if i in (2, 5, 8) else w for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, "before it " + " ".join(copy) + " after it"), (2, "nothing of the kind is here")], "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in found] == [(1, 7, 0.625)]
