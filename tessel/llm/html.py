@@ -2,7 +2,7 @@
 
 First pass: every block of text (a maximal run of text between block-level tags) is decided by its own figures - share
 of stop words, length, share of characters inside links, and the role of the elements around it - as text, boilerplate,
-or, when it is short, undecided. Second pass: an undecided block takes the label of its nearest decided neighbour;
+or, when it is short or long with a middling share of stop words, undecided. Second pass: an undecided block takes the label of its nearest decided neighbour;
 inside an article element only neighbours of that article count, and between two equally near ones text wins there,
 boilerplate elsewhere. Without any decided neighbour a block is text inside an article and boilerplate outside.
 
@@ -32,7 +32,7 @@ STOP = set(
     "aber als am auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so um und uns vom von vor war wie wir wird zu zum zur über "
     "al como con de del el ella en entre era es esta este fue ha hay la las lo los más me mi muy no o para pero por porque que se ser si sin sobre son su sus también un una y ya".split()
 )
-SHORT, LONG, STOP_SOME, STOP_MANY, LINKS_MOST = 60, 200, 0.18, 0.30, 0.40
+SHORT, LONG, STOP_FEW, STOP_SOME, STOP_MANY, LINKS_MOST = 60, 200, 0.09, 0.18, 0.30, 0.40
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -161,7 +161,9 @@ def _decide(b: Block) -> str:
     if b.article:
         return "good" if stops >= STOP_SOME else "short"
     if len(b.text) >= LONG:
-        return "good" if stops >= STOP_SOME and not b.linked or stops >= STOP_MANY else "bad"
+        if stops >= STOP_SOME and not b.linked or stops >= STOP_MANY:
+            return "good"
+        return "short" if stops >= STOP_FEW else "bad"
     return "good" if stops >= STOP_MANY and not b.linked else "short"
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessel.llm import decontaminate, rnnlm
+from tessel.llm import decontaminate, html, rnnlm
 
 
 def test_every_token_is_trained_on_with_the_state_carried():
@@ -66,3 +66,11 @@ def test_a_short_item_with_one_seed_left_is_aligned(spark):
     docs = spark.createDataFrame([(1, "before it " + " ".join(copy) + " after it"), (2, "nothing of the kind is here")], "doc_id long, text string")
     found = decontaminate.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.score) for r in found] == [(1, 7, 0.625)]
+
+
+def test_long_blocks_of_middling_stop_words_follow_their_neighbours():
+    plain = "The house by the river was old and it had been there for as long as we could remember. " * 3
+    linked = 'Some <a href="/x">harvest figures</a> of northern valley farms show that grain prices rose sharply during dry summers, ' + "while the wool trade with coastal towns fell slowly and many mills closed. " * 2
+    listed = "Copper kettles, iron pans, glass bowls, wooden spoons, linen towels, paper lanterns, candles, matches. " * 3  # no stop words
+    text = html.main_text(f"<body><div>{plain}</div><div>{linked}</div><div>{plain}</div><div>{listed}</div></body>")
+    assert "harvest figures" in text and "kettles" not in text
