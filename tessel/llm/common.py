@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: reading tables, the shared work folder, word rules."""
+"""What the operators of this subpackage share: reading tables, the shared work folder, word rules, components."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WORD_SQL = "[^\\\\x20\\\\x09-\\\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 _TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -36,9 +35,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tessel-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -52,12 +53,19 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tessel/{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
+        """A written table; codec "none" also leaves out dictionaries, for columns of hashes that neither would make smaller."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).option("parquet.enable.dictionary", str(codec != "none").lower()).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, **sums) -> tuple[DataFrame, dict]:
+        """A written table and aggregates over its rows, taken while they are written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *(x.alias(k) for k, x in sums.items())), name)
+        return out, seen.get
+
     def drop(self, *dfs: DataFrame) -> None:
         """Delete the files behind tables that write() returned, then let Spark remove shuffle files of plans nobody holds."""
         jvm = self.spark._jvm
@@ -104,21 +112,20 @@ def mix64(h):
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node of its component, by alternating stars.
 
-    Every round halves the paths to the roots at least; rows stay at two an edge, and hubs are joined, not gathered.
+    Every round halves the paths to the roots at least; rows stay at two an edge, and hubs are joined, not gathered. The
+    rounds end when one leaves the edges as they are, told by their number and the sum of their hashes.
     """
-    now = scratch.write(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
+    mark = {"n": F.count("*"), "x": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, before = scratch.measured(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **mark)
+    while before["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
-        new = scratch.write(small.distinct(), "edges")
+        new, found = scratch.measured(small.distinct(), "edges", **mark)
         scratch.drop(now, large)
-        now = new
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
+        now, before, ended = new, found, found == before
+        if ended:
             break
-        mark = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

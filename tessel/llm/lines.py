@@ -2,19 +2,27 @@
 
 Two lines of at least SHORTEST characters are linked if their edit distance is at most TAU; linked lines form classes (by
 reachability), and of each class the first line stays (smallest doc_id, nulls last, then digest of the document, then line
-number). All other lines of the class, equal or edited, are removed; shorter lines always stay.
+number). All other lines of the class, equal or edited, are removed. Shorter lines form a class with their equals only;
+blank lines always stay.
 
 Join. A line of n characters is cut into TAU + 1 segments of n // (TAU + 1) characters or one more. Edits can touch at
 most TAU of them, so a longer or equally long line within the distance contains one segment unchanged, at a place that
 the numbers of edits left and right of it allow (multi-match-aware selection). Keys are hashes of length, segment number
 and substring, so lines meet only with fitting lengths; different lines alone are joined, copies are merged before.
 
-Verification. Candidates run through an automaton held in bits: for every number of errors a word whose bits are the
-2 * TAU + 1 diagonals of the band, advanced for a character at a time with shifts, ANDs and ORs.
+Hot segments. A key that over LIST lines have as their own segment gives no pairs. Its lines lose the segment they share,
+then the prefix and suffix that all lines of the key share, and what is left is cut and joined again within the key, until
+keys are short or at most 2 * TAU characters are left. Such rests are compared with their key's first line only; where the
+links found so far leave a key's lines in several components, the pairs across components follow. So templates with many
+fillings cost rows in proportion to their lines and to the levels, not pairs of all lines, and no link is lost.
+
+Verification. Candidates with fitting letter counts run through an automaton held in bits: for every number of errors a
+word whose bits are the 2 * TAU + 1 diagonals of the band, advanced for a character at a time with shifts, ANDs and ORs.
 
 A line is what split() by \\n gives; null or empty texts have no lines to remove. Lines are keyed by a 64-bit hash. Rows
 that agree in id and text are one document and keep or lose the same lines. Any number of copies costs one row a copy.
-Empty tables give empty results; further columns are kept.
+Very long lines and texts are read whole. Empty tables give empty results; further columns are kept, whatever their names
+(those that begin with two underscores apart).
 """
 
 from __future__ import annotations
@@ -24,33 +32,30 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected
 
-TAU, SHORTEST, LETTERS = 2, 20, "etaoinsrhldcumpg"
+TAU, SHORTEST, LIST, LETTERS = 2, 20, 128, "etaoinsrhldcumpg"
 
 
-def segments(n: Column, tau: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each segment of a line of n characters; the last ones are longer if it doesn't divide."""
-    parts = tau + 1
-    q, r = F.floor(n / parts).cast("int"), n % parts
-    return [((F.lit(i) * q + F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - r))).cast("int"), (q + (F.lit(i) >= F.lit(parts) - r).cast("int")).cast("int")) for i in range(parts)]
+def cut(rows: DataFrame, tau: int) -> DataFrame:
+    """rows (g, h, s) as (g, h, b, n, p<less>_<i>): b has four bytes a character, n is the number of characters, p the place where
+    segment i of a string of n - less characters begins. As columns they are computed once a row, and the code stays small."""
+    x = rows.select("g", "h", F.encode("s", "UTF-32").alias("b")).withColumn("n", F.shiftright(F.octet_length("b"), 2))
+    return x.select("g", "h", "b", "n", *(F.expr(f"cast({i} * (n - {less}) div {tau + 1} as int)").alias(f"p{less}_{i}") for less in range(tau + 1) for i in range(tau + 2)))
 
 
-def index_key(line: Column, n: Column, tau: int, i: int) -> Column:
-    start, size = segments(n, tau)[i]
-    return F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size))
+def places(tau: int, own: bool) -> list[tuple[int, int, int]]:
+    """(segment, how much shorter the other string is, shift): a string's own segments, or the substrings of it that may equal a
+    segment of a string up to tau shorter. Both ends of each are inside a string whose segments have a character at least.
+    Of two equally long strings up to three edits apart the one that is ahead of the other's segment finds it."""
+    if own:
+        return [(i, 0, 0) for i in range(tau + 1)]
+    every = [(i, less, shift) for less in range(tau + 1) for i in range(tau + 1) for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)]
+    return [(i, less, shift) for i, less, shift in every if less or shift > 0 or shift < 0 and tau > 3]
 
 
-def probe_keys(line: Column, n: Column, tau: int, i: int, shortest: int) -> Column:
-    """Keys of the substrings that may equal segment i of a line up to tau shorter, without the line's own segment."""
-    out = []
-    for less in range(tau + 1):
-        m = n - less
-        start, size = segments(m, tau)[i]
-        for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-            if less or shift:
-                at = start + shift
-                fits = (m >= shortest) & (at >= 0) & (at + size <= n)
-                out.append(F.when(fits, F.xxhash64(m, F.lit(i), F.substring(line, at + 1, size))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def key(i: int, less: int, shift: int, shortest: int) -> Column:
+    """A hash of group, length, segment number and substring; null for strings that are too short to have a partner."""
+    found = F.expr(f"xxhash64(g, n - {less}, {i}, substring(b, 4 * (p{less}_{i} + {shift}) + 1, 4 * (p{less}_{i + 1} - p{less}_{i})))")
+    return F.when(F.col("n") >= shortest + less, found)
 
 
 def letter_counts(line: Column) -> Column:
@@ -90,29 +95,90 @@ def within(x: str, y: str, tau: int) -> Column:
     return F.expr(f"get(transform(array(struct(split({x}, '') as a, split({y}, '') as b)), z -> {test}), 0)")
 
 
-def linked_lines(lines: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int = SHORTEST) -> DataFrame:
-    """(node, root) for every line hash with links. lines: (line), any number of copies."""
-    own = scratch.write(lines.where(F.char_length("line") >= shortest).select("line").distinct().select(F.xxhash64("line").alias("h"), F.char_length("line").alias("n"), letter_counts(F.col("line")).alias("c"), "line"), "lines")
-    scratch.sweep()
-    parts = []
-    for i in range(tau + 1):  # a segment at a time, so only one segment's keys are on disk
-        index = own.select("h", "c", index_key(F.col("line"), F.col("n"), tau, i).alias("key"))
-        probe = own.select("h", "c", F.explode(probe_keys(F.col("line"), F.col("n"), tau, i, shortest)).alias("key"))
-        right = index.select("key", F.col("h").alias("g"), F.col("c").alias("d"))
-        met = index.unionByName(probe).join(right, "key").where((F.col("h") != F.col("g")) & (counts_differ("c", "d") <= 2 * tau))
-        parts.append(scratch.write(met.select(F.least("h", "g").alias("u"), F.greatest("h", "g").alias("v")).distinct(), f"candidates{i}"))
-        scratch.sweep()
-    met = parts[0]
-    for x in parts[1:]:
-        met = met.unionByName(x)
-    met = scratch.write(met.distinct(), "candidates")
-    wanted = met.select(F.col("u").alias("h")).unionByName(met.select(F.col("v").alias("h"))).distinct()
-    texts = scratch.write(own.select("h", "line").join(wanted, "h"), "texts")
-    scratch.drop(own)
-    pairs = met.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
-    links = scratch.write(pairs.where(within("a", "b", tau)).select("u", "v"), "links")
-    scratch.drop(met, texts, *parts)
-    return connected(links, scratch)
+# ---------------------------------------------------------------- candidates
+
+
+def _met(rows: DataFrame, scratch: Scratch, tau: int, shortest: int, most: int) -> tuple[DataFrame, DataFrame, dict]:
+    """rows (g, h, s): pairs (u, v) of different strings' hashes with a key in common, and (key, h) where the key is hot."""
+    own_places, other = places(tau, True), places(tau, False)
+    named = [key(*x, shortest).alias(f"{c}{i}") for c, xs in (("i", own_places), ("o", other)) for i, x in enumerate(xs)]
+    keys = scratch.write(cut(rows, tau).where(F.col("n") >= shortest).select("h", *named), "keys", "none")
+    own_keys = keys.select("h", F.explode(F.array(*(f"i{i}" for i in range(len(own_places))))).alias("key"))
+    hot = scratch.write(own_keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > most).select("key"), "hot")
+    every = [f"i{i}" for i in range(len(own_places))] + [f"o{i}" for i in range(len(other))]
+    left = keys.select("h", F.explode(F.array(*every)).alias("key")).where("key is not null")
+    right = own_keys.join(hot, "key", "left_anti").select("key", F.col("h").alias("o")).unionByName(hot.select("key", F.lit(None).cast("bigint").alias("o")))
+    # at most LIST rows a key on the right: a hash table of them is bounded by the partition's size
+    met = left.join(right.hint("shuffle_hash"), "key").where("o is null or h != o")
+    met = met.select(F.when(F.col("o").isNull(), F.col("h")).otherwise(F.least("h", "o")).alias("u"), F.greatest("h", "o").alias("v"), F.when(F.col("o").isNull(), F.col("key")).alias("key"), F.col("o").isNull().alias("hot"))
+    met, seen = scratch.measured(met, "met", hot=F.count_if("hot"), pairs=F.count_if(~F.col("hot")))
+    scratch.drop(keys, hot)
+    return met, met.where("hot").select("key", F.col("u").alias("h")).distinct(), seen
+
+
+def _common(a: str, b: str) -> Column:
+    """The length of two strings' common prefix, by halving."""
+    step = "if(lo + shiftleft(1, 30 - k) <= least(char_length({a}), char_length({b})) and left({a}, lo + shiftleft(1, 30 - k)) = left({b}, lo + shiftleft(1, 30 - k)), lo + shiftleft(1, 30 - k), lo)"
+    return F.expr(f"aggregate(sequence(0, 30), 0, (lo, k) -> {step.format(a=a, b=b)})")
+
+
+def _rests(rows: DataFrame, members: DataFrame, scratch: Scratch, tau: int, shortest: int) -> DataFrame:
+    """The next level's rows: for each hot key its lines without the segment and without the prefix and suffix that all of them share."""
+    some = cut(rows.join(members.select("h").distinct(), "h", "left_semi"), tau)
+    each = [F.when(key(*x, shortest).isNotNull(), F.struct(key(*x, shortest).alias("key"), F.expr(f"4 * (p{x[1]}_{x[0]} + {x[2]})").alias("a"), F.expr(f"4 * (p{x[1]}_{x[0] + 1} + {x[2]})").alias("z"))) for x in places(tau, True) + places(tau, False)]
+    met = some.select("h", "b", F.explode(F.array(*each)).alias("x")).where("x is not null").select(F.col("x.key").alias("key"), "h", F.expr("decode(concat(substring(b, 1, x.a), substring(b, x.z + 1)), 'UTF-32')").alias("s"))
+    parts = scratch.write(met.join(members, ["key", "h"], "left_semi").distinct(), "cut")
+    ends = parts.withColumn("r", F.reverse("s")).groupBy("key").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min("r").alias("r1"), F.max("r").alias("r2"), F.min(F.char_length("s")).alias("least"))
+    ends = ends.select("key", _common("s1", "s2").alias("p"), _common("r1", "r2").alias("q"), "least").select("key", "p", F.least("q", F.col("least") - F.col("p")).alias("q"))
+    ends = scratch.write(ends, "ends")
+    trimmed = parts.join(ends, "key").select(F.col("key").alias("g"), "h", F.expr("substring(s, p + 1, char_length(s) - p - q)").alias("s"))
+    return scratch.write(trimmed, "rests")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    x = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
+    near = x.withColumns({"c": letter_counts(F.col("a")), "d": letter_counts(F.col("b"))}).where(counts_differ("c", "d") <= 2 * tau)
+    return near.where(within("a", "b", tau)).select("u", "v")
+
+
+def linked_lines(own: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int = SHORTEST, most: int = LIST) -> DataFrame:
+    """(node, root) for every line hash with links. own: (h, line), a row for each different line of at least `shortest` characters."""
+    rows, least = own.select(F.lit(0).cast("bigint").alias("g"), "h", F.col("line").alias("s")), shortest
+    pairs, ends = None, None
+    while True:
+        met, members, seen = _met(rows, scratch, tau, least, most)
+        now = met.where("not hot").select("u", "v")
+        pairs = now if pairs is None else pairs.unionByName(now)
+        if not seen["hot"]:
+            break
+        rows = _rests(rows, members, scratch, tau, least)
+        least = tau + 1
+        rest = rows.where(F.char_length("s") <= 2 * tau).select("g", "h").distinct()
+        ends = rest if ends is None else ends.unionByName(rest)
+    if ends is not None:
+        ends = scratch.write(ends, "rest")
+        stars = ends.join(ends.groupBy("g").agg(F.min("h").alias("p")), "g").where("h != p")
+        pairs = pairs.unionByName(stars.select(F.least("h", "p").alias("u"), F.greatest("h", "p").alias("v")))
+    pairs = scratch.write(pairs.distinct(), "candidates")
+    wanted = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h")))
+    if ends is not None:
+        wanted = wanted.unionByName(ends.select("h"))
+    texts = scratch.write(own.join(wanted.distinct(), "h"), "texts", "lz4")
+    links = scratch.write(_verified(pairs, texts, tau), "links")
+    roots = connected(links, scratch)
+    if ends is not None:
+        rooted = scratch.write(ends.join(roots.withColumnRenamed("node", "h"), "h", "left").select("g", "h", F.coalesce("root", "h").alias("root")), "rooted")
+        split = rooted.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("g")
+        left = scratch.write(rooted.join(split, "g"), "split")
+        across = left.alias("x").join(left.alias("y"), F.expr("x.g = y.g and x.root < y.root")).select(F.least("x.h", "y.h").alias("u"), F.greatest("x.h", "y.h").alias("v")).distinct()
+        more, seen = scratch.measured(_verified(across, texts, tau), "links", n=F.count("*"))
+        if seen["n"]:
+            roots = connected(links.unionByName(more), scratch)
+    scratch.drop(pairs, texts)
+    return roots
+
+
+# ---------------------------------------------------------------- the operator
 
 
 def _keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -121,35 +187,47 @@ def _keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def removed_lines(documents: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int = SHORTEST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(__k, removed): for each document's key the numbers (from 0) of its removed lines."""
+    """(__k, __gone): for each document's key the numbers (from 0) of its removed lines, in order."""
     keyed = _keyed(documents.select(id_column, text_column), id_column, text_column)
-    every = keyed.select(F.col(id_column).alias("__id"), "__k", F.posexplode(F.split(text_column, "\n")).alias("no", "line")).where(F.char_length("line") >= shortest)
-    roots = linked_lines(every.select("line"), scratch, tau, shortest)
-    at = every.select("__id", "__k", "no", F.xxhash64("line").alias("node")).join(roots, "node", "left")
-    at = at.select(F.struct(F.col("__id").isNull().alias("x"), "__id", "__k", "no").alias("at"), F.coalesce("root", "node").alias("root"))
-    at = scratch.write(at.distinct(), "occurrences")
-    first = at.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select("root", "first")
-    first = scratch.write(first, "first")  # joined from a table, so Spark can split a very common line's rows
-    gone = at.join(first, "root").where("at != first").groupBy("at.__k").agg(F.collect_list("at.no").alias("removed"))
+    split = F.split(text_column, "\n")
+    every = keyed.select(F.explode(split).alias("line")).where(F.col("line").rlike(r"\S")).groupBy("line").agg(F.count("*").alias("times"))
+    own = scratch.write(every.select(F.xxhash64("line").alias("h"), "times", "line"), "lines", "lz4")
+    scratch.sweep()
+    roots = linked_lines(own.where(F.char_length("line") >= shortest).select("h", "line"), scratch, tau, shortest)
+    copied = own.where("times > 1").select(F.col("h").alias("node"), F.col("h").alias("root"))
+    # a line's root is the smallest hash of its class, so never above its own
+    classes = scratch.write(roots.unionByName(copied).groupBy("node").agg(F.min("root").alias("root")), "classes")
+    scratch.drop(own)
+    places = keyed.select(F.col(id_column).alias("__id"), "__k", F.posexplode(split).alias("no", "line")).select("__id", "__k", "no", F.xxhash64("line").alias("node"))
+    at = places.join(classes, "node").select(F.struct(F.col("__id").isNull().alias("x"), "__id", "__k", "no").alias("at"), "root")
+    at = scratch.write(at, "occurrences")
+    first = scratch.write(at.groupBy("root").agg(F.min("at").alias("first")), "first")  # joined from a table, so Spark can split a very common line's rows
+    gone = at.join(first, "root").where("at != first").groupBy(F.col("at.__k").alias("__k")).agg(F.array_sort(F.collect_set("at.no")).alias("__gone"))
     out = scratch.write(gone, "removed")
-    scratch.drop(at, first, roots)
+    scratch.drop(at, first, classes)
     return out
 
 
+def without(lines: str, gone: str) -> Column:
+    """The lines that stay, from the runs between the removed numbers."""
+    start, end = f"if(j = 0, 0, get({gone}, j - 1) + 1)", f"if(j = size({gone}), size({lines}), get({gone}, j))"
+    return F.expr(f"flatten(transform(sequence(0, size({gone})), j -> slice({lines}, {start} + 1, {end} - {start})))")
+
+
 def dedup(documents: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int = SHORTEST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with their removed lines taken out of the text; __lines and __removed count each document's lines."""
     removed = removed_lines(documents, scratch, tau, shortest, id_column, text_column)
     # a row a document with removals: it grows with the corpus, so it is never broadcast
     x = _keyed(documents, id_column, text_column).join(removed.hint("merge"), "__k", "left")
-    lines = F.split(text_column, "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
-    counts = {"__lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "__removed": F.coalesce(F.size("removed"), F.lit(0)).cast("bigint")}
-    return x.withColumns(counts).withColumn(text_column, F.when(F.col("removed").isNull(), F.col(text_column)).otherwise(kept)).select(*documents.columns, *counts)
+    x = x.withColumn("__split", F.split(text_column, "\n"))
+    kept = F.array_join(without("__split", "__gone"), "\n")
+    counts = {"__lines": F.coalesce(F.size("__split"), F.lit(0)).cast("bigint"), "__removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")}
+    return x.withColumns(counts).withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(kept)).select(*documents.columns, *counts)
 
 
 def without_repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """Documents' own columns; those of which nothing but white space is left go, n_chars counts what is left."""
-    out = dedup(documents, scratch).where((F.col("__removed") == 0) | (F.trim("text") != ""))
+    out = dedup(documents, scratch).where((F.col("__removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -119,8 +119,8 @@ def edit_distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("tau", [1, 2, 3])
-def test_edit_join_against_brute_force(spark, tau):
+@pytest.mark.parametrize("tau,most", [(1, 64), (2, 64), (3, 64), (2, 1), (3, 2)])
+def test_edit_join_against_brute_force(spark, tau, most):
     r, every = random.Random(tau), set()
     for _ in range(40):
         s = [r.choice("abcdé ") for _ in range(r.randint(8, 24))]
@@ -135,7 +135,7 @@ def test_edit_join_against_brute_force(spark, tau):
             if a < b and edit_distance(a, b) <= tau:
                 x, y = root[a], root[b]
                 root = {k: y if v == x else v for k, v in root.items()}
-    got = lines.linked_lines(spark.createDataFrame([(x,) for x in every * 2], "line string"), Scratch(spark), tau, 8)
+    got = lines.linked_lines(spark.createDataFrame([(x,) for x in every], "line string").select(F.xxhash64("line").alias("h"), "line"), Scratch(spark), tau, 8, most)
     named = spark.createDataFrame([(x,) for x in every], "line string").join(got, F.xxhash64("line") == F.col("node"), "left").collect()
     classes, mine = {}, {}
     for x in every:
@@ -145,6 +145,37 @@ def test_edit_join_against_brute_force(spark, tau):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
 
 
+@pytest.mark.parametrize("digits", [3, 9])
+def test_a_template_with_many_fillings(spark, digits, monkeypatch):
+    """Dense (every number) and sparse (random ones): rows that meet stay linear in the lines, classes equal brute force."""
+    r, n, met = random.Random(digits), 600, []
+    fill = [f"{i:03d}" for i in range(n)] if digits == 3 else sorted({"".join(r.choice("abcdefgh") for _ in range(digits)) for _ in range(n)})
+    every = [f"Dear reader, the parcel with number {x} has been sent to the address that we hold for you." for x in fill]
+    real = lines._met
+    monkeypatch.setattr(lines, "_met", lambda *a: met.append(real(*a)) or met[-1])
+    own = spark.createDataFrame([(x,) for x in every], "line string").select(F.xxhash64("line").alias("h"), "line")
+    got = {x.node: x.root for x in lines.linked_lines(own, Scratch(spark), 2, 20, 16).collect()}
+    assert sum(seen["pairs"] + seen["hot"] for _, _, seen in met) < 120 * n
+    number = {x.line: x.h for x in own.collect()}
+    root = {x: x for x in every}
+    for a, x in zip(every, fill, strict=True):
+        for b, y in zip(every, fill, strict=True):
+            if a < b and root[a] != root[b] and edit_distance(x, y) <= 2:
+                one, two = root[a], root[b]
+                root = {k: two if v == one else v for k, v in root.items()}
+    classes, mine = {}, {}
+    for x in every:
+        classes.setdefault(root[x], set()).add(x)
+        mine.setdefault(got.get(number[x], x), set()).add(x)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_short_and_blank_lines(spark):
+    docs = spark.createDataFrame([(1, "Yes.\n\n   \nA line that is long enough to count"), (2, "Yes.\n\n   \nYess."), (2, "Yes.\n\n   \nYess."), (None, "Yes.")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r["__removed"]) for r in lines.dedup(docs, Scratch(spark)).collect()), key=str)
+    assert got == sorted([(1, "Yes.\n\n   \nA line that is long enough to count", 0), (2, "\n   \nYess.", 1), (2, "\n   \nYess.", 1), (None, "", 1)], key=str)
+
+
 def test_letter_counts_are_a_bound(spark):
     r = random.Random(7)
     rows = []

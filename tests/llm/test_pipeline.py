@@ -25,11 +25,11 @@ def folder(spark, tmp_path_factory):
 
 
 def brute_lines(rows, tau=2, shortest=20):
-    places = [(i, n, x) for i, t in sorted(rows) if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= shortest]
+    places = [(i, n, x) for i, t in sorted(rows) if t is not None for n, x in enumerate(t.split("\n")) if x.strip()]
     root = {x: x for _, _, x in places}
     for a in list(root):
         for b in list(root):
-            if a < b and abs(len(a) - len(b)) <= tau and edit_distance(a, b) <= tau:
+            if a < b and min(len(a), len(b)) >= shortest and abs(len(a) - len(b)) <= tau and edit_distance(a, b) <= tau:
                 x, y = root[a], root[b]
                 root = {k: y if v == x else v for k, v in root.items()}
     seen, gone = set(), set()
