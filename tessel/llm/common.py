@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -76,7 +77,8 @@ class Scratch:
         self.sweep()
 
     def sweep(self) -> None:
-        """Shuffle files go once the driver has collected the plans that made them."""
+        """Shuffle files go once the driver has collected the plans that made them, which Python's own garbage may still hold."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
 

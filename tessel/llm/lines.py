@@ -191,7 +191,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch, tau: int = TAU, shorte
     keyed = _keyed(documents.select(id_column, text_column), id_column, text_column)
     split = F.split(text_column, "\n")
     every = keyed.select(F.explode(split).alias("line")).where(F.col("line").rlike(r"\S")).groupBy("line").agg(F.count("*").alias("times"))
-    own = scratch.write(every.select(F.xxhash64("line").alias("h"), "times", "line"), "lines", "lz4")
+    own = scratch.write(every.select(F.xxhash64("line").alias("h"), "times", "line"), "lines")
     scratch.sweep()
     roots = linked_lines(own.where(F.char_length("line") >= shortest).select("h", "line"), scratch, tau, shortest)
     copied = own.where("times > 1").select(F.col("h").alias("node"), F.col("h").alias("root"))
