@@ -2,21 +2,25 @@
 
 A document's tokens are its distinct word shingles, as 64-bit hashes. A global order of all tokens gives each set a
 prefix: with Jaccard similarity at least NUM/DEN, two sets share a token of their prefixes under every order there is.
-ORDERS orders are used. All put tokens of rarely hit count buckets first (BUCKETS counters over the whole corpus, summed
-and scaled to a byte each, so the table that tasks receive has a fixed size) and differ in how they order the rest.
-
-Documents with equal sets are one node. For each order, tokens in the prefixes of at least two nodes make lists.
-- A list of up to LIST nodes gives its pairs of fitting size. A pair stays a candidate only if the other orders list it too.
+ORDERS orders are used. The first puts tokens of rarely hit count buckets first (BUCKETS counters over the whole corpus,
+summed and scaled to a byte each, so the table that tasks receive has a fixed size). The others deal the tokens into 16
+groups by hashes of their own and order by group before rarity, so their prefixes are other parts of the sets.
+
+Documents with equal sets are one node. Tokens in the first order's prefixes of at least two nodes make lists.
+- A list of up to LIST nodes gives its pairs of fitting size. A pair stays a candidate only if the prefixes under all the
+  other orders share a token too (by their lower 32 bits), and then only if its bitmaps allow it: each set's parity bitmap
+  (one bit for each bucket with an odd number of tokens) differs from another's in at most as many bits as the sets differ
+  in tokens.
 - A longer list joins the cluster of its smallest node, so all pairs of a list are inside one cluster and the rows stay
-  linear. A cluster is split into blocks of CLUSTER nodes, a task for each pair of blocks. A task goes through its nodes,
-  intersects the orders' lists locally, skips what is connected already and verifies the rest, giving only links.
-Candidates are checked with a bound first: each set's parity bitmap (one bit for each bucket with an odd number of
-tokens) differs from another's in at most as many bits as the sets differ in tokens. What passes is verified with the
-whole sets: first one pair for each node, then the pairs whose ends are still in different components. Links are exact;
-components come from alternating stars. Nothing is capped and no pair of a group is lost.
+  linear. STARS of its nodes, chosen by hash, are paired with all the others, by the same filters. Only clusters whose nodes
+  are still in several components after that are gone through: split into blocks of CLUSTER nodes, a task for each pair of
+  blocks, which intersects the orders' lists locally, skips what is connected already and verifies the rest, giving only links.
+Candidates are verified with the whole sets: first one pair for each node and the stars, then the pairs whose ends are still
+in different components. Links are exact; components come from alternating stars. Nothing is capped and no pair is lost.
 
 Null or empty texts have no tokens and link with nothing. Texts with fewer words than a shingle are one token. A null
-doc_id belongs to its component but never names it. Empty tables give empty results; further columns are ignored.
+doc_id belongs to its component but never names it. Equal sets, ties and repeated rows are one node. Very long texts are
+read whole. Empty tables give empty results; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHash, connected, mix64
 
-NUM, DEN, ORDERS, BUCKETS, LIST, CLUSTER, SLICES = 9, 10, 2, 1 << 20, 64, 4096, 64
+NUM, DEN, ORDERS, BUCKETS, LIST, STARS, CLUSTER, SLICES = 9, 10, 3, 1 << 20, 64, 4, 1024, 64
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -60,10 +64,13 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
 
 
 def prefix(tokens: np.ndarray, rank: np.ndarray, order: int, num: int, den: int) -> np.ndarray:
-    """The tokens of a set's prefix under an order: rare buckets first, then by a hash that differs with the order."""
+    """The tokens of a set's prefix under an order: rare buckets first, but in all orders except the first within hashed groups."""
     p = prefix_length(len(tokens), num, den)
-    key = (rank[(tokens & _U(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (mix64(tokens * _ODD[order]) >> _U(8))
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
+    if p >= len(tokens):
+        return tokens
+    rare, own = rank[(tokens & _U(len(rank) - 1)).astype(np.int64)].astype(np.uint64), mix64(tokens * _ODD[order])
+    key = (rare << _U(56)) | (own >> _U(8)) if order == 0 else ((own & _U(0xF)) << _U(60)) | (rare << _U(52)) | (own >> _U(12))
+    return tokens[np.argpartition(key, p - 1)[:p]]
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -126,9 +133,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, rank, num: int, den: i
             rows = []
             for text in batch.column("b"):
                 s = shingles(text.as_py(), size, words)
-                rows.append((len(s), hashlib.md5(s.tobytes()).digest() if len(s) else None, parity(s).tobytes() if len(s) else None, *((prefix(s, rank, o, num, den) if len(s) else s).view(np.int64) for o in range(ORDERS))))
-            n, key, bits, *orders = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("k"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), *(pa.array(o, pa.list_(pa.int64())) for o in orders)], names=["__id", "k", "n", "s", "bits", *(f"p{o}" for o in range(ORDERS))])
+                first, *others = (prefix(s, rank, o, num, den) for o in range(ORDERS))
+                rows.append((len(s), hashlib.md5(s.tobytes()).digest() if len(s) else None, parity(s).tobytes() if len(s) else None, first.view(np.int64), *(x.astype(np.uint32).view(np.int32) for x in others)))
+            n, key, bits, first, *others = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("k"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64())), *(pa.array(o, pa.list_(pa.int32())) for o in others)], names=["__id", "k", "n", "s", "bits", *(f"p{o}" for o in range(ORDERS))])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -149,7 +157,7 @@ def _by_bitmap(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
             x, y = (np.frombuffer(b, dtype=np.uint8) for b in (bu, bv))
             size = min(len(x), len(y))
             keep.append(may_link(nu, nv, int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()), num, den))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["u", "v", "star"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _by_sets(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -165,19 +173,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _cluster(key, table: pa.Table, rank, num: int, den: int) -> pa.Table:
-    """Links that connect a cluster's nodes as all its similar pairs would."""
+    """Links that connect a cluster's nodes as all its similar pairs would, given the components so far."""
     rank = np.frombuffer(rank.value, dtype=np.uint8)
-    names = table.column("s").to_pylist()
+    names, roots = table.column("s").to_pylist(), table.column("root").to_pylist()
     sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
     sizes = np.array([len(sets[i]) for i in order])
     bits = 1 << max(6, int(sizes.min() - 1).bit_length())
     maps = np.stack([fold(parity(sets[i]), bits // 8) for i in order])
     lists: list[dict[int, list[int]]] = [{} for _ in range(ORDERS)]
-    root = np.arange(len(order))
+    root = np.unique(np.array([roots[i] for i in order], dtype=object), return_inverse=True)[1]
     out = []
     for j, i in enumerate(order):
-        share = np.ones(j, dtype=bool)
+        share = (root[:j] != root[j]) & (den * sizes[:j] >= num * sizes[j])
         for o in range(ORDERS):
             mine = np.zeros(j, dtype=bool)
             for t in prefix(sets[i], rank, o, num, den).tolist():
@@ -186,10 +194,10 @@ def _cluster(key, table: pa.Table, rank, num: int, den: int) -> pa.Table:
                     mine[have] = True
                 have.append(j)
             share &= mine
-        diff = np.bitwise_count(maps[:j] ^ maps[j]).sum(axis=1, dtype=np.int64)
-        fits = share & (den * sizes[:j] >= num * sizes[j]) & (den * (sizes[:j] + sizes[j] - diff) >= num * (sizes[:j] + sizes[j] + diff))
-        todo = np.flatnonzero(fits & (root[:j] != root[j]))
-        todo = todo[np.argsort(diff[todo], kind="stable")]
+        todo = np.flatnonzero(share)
+        diff = np.bitwise_count(maps[todo] ^ maps[j]).sum(axis=1, dtype=np.int64)
+        fits = den * (sizes[todo] + sizes[j] - diff) >= num * (sizes[todo] + sizes[j] + diff)
+        todo = todo[fits][np.argsort(diff[fits], kind="stable")]
         while len(todo):
             a, todo = todo[0], todo[1:]
             if links(sets[order[a]], sets[i], num, den):
@@ -199,17 +207,17 @@ def _cluster(key, table: pa.Table, rank, num: int, den: int) -> pa.Table:
     return pa.table({"u": pa.array([x for x, _ in out], pa.binary()), "v": pa.array([y for _, y in out], pa.binary())})
 
 
-def _lists(sketch: DataFrame, order: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Of an order: rows (token, i, n) of short lists, clusters (pivot, i) of long ones, and what to drop later.
+def _lists(sketch: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Of the first order: rows (token, i, n) of short lists, clusters (pivot, i) of long ones, and what to drop later.
 
     Candidates are found by i, a 64-bit hash of the node's key; all nodes of a hash come back when the keys are joined again.
     Counts are summed before they are shuffled and written before they are joined, so Spark can split a hot token's rows.
     """
-    entries = sketch.where("n > 0").select(F.explode(f"p{order}").alias("token"), F.xxhash64("s").alias("i"), "n")
-    shared = scratch.write(entries.groupBy("token").agg(F.min("i").alias("a"), F.max("i").alias("b")).where("a != b").select("token"), f"shared{order}")
+    entries = sketch.where("n > 0").select(F.explode("p0").alias("token"), F.xxhash64("s").alias("i"), "n")
+    shared = scratch.write(entries.groupBy("token").agg(F.min("i").alias("a"), F.max("i").alias("b")).where("a != b").select("token"), "shared")
     scratch.sweep()
-    met = scratch.write(entries.join(shared, "token").distinct(), f"met{order}")
-    sizes = scratch.write(met.groupBy("token").agg(F.count("*").alias("size"), F.min("i").alias("pivot")), f"sizes{order}")
+    met = scratch.write(entries.join(shared, "token").distinct(), "met")
+    sizes = scratch.write(met.groupBy("token").agg(F.count("*").alias("size"), F.min("i").alias("pivot")), "sizes")
     scratch.drop(shared)
     sized = met.join(sizes, "token")
     return sized.where(F.col("size") <= LIST).select("token", "i", "n"), sized.where(F.col("size") > LIST).select("pivot", "i").distinct(), [met, sizes]
@@ -218,55 +226,66 @@ def _lists(sketch: DataFrame, order: int, scratch: Scratch) -> tuple[DataFrame,
 def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     a, b = (rows.select("token", F.col("i").alias(f"{x}i"), F.col("n").alias(f"n{x}")) for x in "uv")
     near = (den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")) & (F.col("ui") < F.col("vi"))
-    return a.join(b, "token").where(near).select("ui", "vi").distinct()
+    return a.join(b, "token").where(near).select("ui", "vi", F.lit(False).alias("star"))
 
 
-def components(documents: DataFrame, scratch: Scratch, size: int = 3, num: int = NUM, den: int = DEN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_nodes): component_id is the smallest id reachable by links, n_nodes the number of
-    different token sets in the component."""
+def _stars(clusters: DataFrame) -> DataFrame:
+    """Pairs of each cluster's STARS nodes of smallest hash with all its nodes."""
+    each = [F.min_by("i", F.xxhash64("i", F.lit(x))).alias(f"c{x}") for x in range(STARS)]
+    chosen = clusters.groupBy("pivot").agg(*each).select("pivot", F.explode(F.array_distinct(F.array(*(f"c{x}" for x in range(STARS))))).alias("c"))
+    met = clusters.join(chosen, "pivot").where("i != c")
+    return met.select(F.least("i", "c").alias("ui"), F.greatest("i", "c").alias("vi"), F.lit(True).alias("star"))
+
+
+def _rooted(documents: DataFrame, scratch: Scratch, size: int, num: int, den: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (__id, k, n, s) of all documents, k being the text's and s the set's digest, and (node, root) of the sets with links."""
     spark = documents.sparkSession
     b = F.coalesce(F.col(text_column).cast("string").cast("binary"), F.lit(b""))
     texts = documents.select(F.col(id_column).alias("__id"), b.alias("b"))
     kind = documents.schema[id_column].dataType.simpleString()
     rank = spark.sparkContext.broadcast(bucket_ranks(texts, size).tobytes())
     keyed = texts.select("__id", F.unhex(F.md5("b")).alias("k"), "b")
-    prefixes = ", ".join(f"p{o} array<bigint>" for o in range(ORDERS))
+    prefixes = ", ".join(f"p{o} array<{'int' if o else 'bigint'}>" for o in range(ORDERS))
     sketch = scratch.write(keyed.mapInArrow(lambda x: _sketch(x, size, rank, num, den), f"__id {kind}, k binary, n bigint, s binary, bits binary, {prefixes}"), "sketch")
-    pairs, clusters, met = [], [], []
-    for o in range(ORDERS):
-        short, long, own = _lists(sketch, o, scratch)
-        met += own
-        pairs.append(scratch.write(_pairs(short, num, den), f"pairs{o}"))
-        clusters.append(scratch.write(long, f"clusters{o}"))
-    scratch.drop(*met)
-    kept = pairs[0]
-    for o in range(1, ORDERS):
-        in_list = kept.join(pairs[o], ["ui", "vi"], "left_semi")
-        in_cluster = kept.join(clusters[o].withColumnRenamed("i", "ui"), "ui").join(clusters[o].withColumnRenamed("i", "vi"), ["pivot", "vi"]).select("ui", "vi")
-        kept = in_list.unionByName(in_cluster).distinct()
-    nodes = sketch.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.min("n").alias("n"), F.min("bits").alias("bits")).withColumn("i", F.xxhash64("s"))
-    with_bits = kept.join(nodes.select(F.col("i").alias("ui"), F.col("s").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "ui").join(nodes.select(F.col("i").alias("vi"), F.col("s").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "vi")
-    close = scratch.write(with_bits.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(lambda x: _by_bitmap(x, num, den), "u binary, v binary"), "close")
-    wanted = close.select(F.col("u").alias("s")).unionByName(close.select(F.col("v").alias("s"))).unionByName(clusters[0].join(nodes, "i").select("s")).distinct().join(nodes.select("s", "k"), "s")
+    short, long, own = _lists(sketch, scratch)
+    clusters = scratch.write(long, "clusters")
+    pairs = scratch.write(_pairs(short, num, den).unionByName(_stars(clusters)).groupBy("ui", "vi").agg(F.bool_or("star").alias("star")), "pairs")
+    scratch.drop(*own)
+    others = [f"p{o}" for o in range(1, ORDERS)]
+    ends = pairs.select(F.col("ui").alias("i")).unionByName(pairs.select(F.col("vi").alias("i"))).distinct()
+    nodes = sketch.where("n > 0").withColumn("i", F.xxhash64("s")).join(ends, "i", "left_semi")
+    known = scratch.write(nodes.groupBy("s", "i").agg(F.min(F.struct("k", "n", "bits", *others)).alias("x")).select("s", "i", "x.*"), "nodes")
+    u, v = (known.select(F.col("i").alias(f"{x}i"), F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"), *(F.col(p).alias(f"{p}{x}") for p in others)) for x in "uv")
+    shared = pairs.join(u, "ui").join(v, "vi").where(" and ".join(f"arrays_overlap({p}u, {p}v)" for p in others) or "true")
+    close = scratch.write(shared.select("u", "v", "star", "nu", "nv", "bu", "bv").mapInArrow(lambda x: _by_bitmap(x, num, den), "u binary, v binary, star boolean"), "close")
+    wanted = close.select(F.col("u").alias("s")).unionByName(close.select(F.col("v").alias("s"))).unionByName(known.join(clusters.select("i").distinct(), "i", "left_semi").select("s")).distinct().join(known.select("s", "k"), "s")
     # one text for each wanted set; texts of equal bytes bring it once each
     sets = scratch.write(keyed.select("k", "b").join(wanted, "k").mapInArrow(lambda x: _whole_sets(x, size), "s binary, tokens binary").groupBy("s").agg(F.min("tokens").alias("tokens")), "sets")
-    blocks = clusters[0].groupBy("pivot").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("blocks"))
-    placed = clusters[0].join(blocks, "pivot").withColumn("block", F.pmod(F.hash("i"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = placed.withColumn("other", other).select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "i")
-    dense = tasks.join(sets.withColumn("i", F.xxhash64("s")), "i").select("pivot", "x", "y", "s", "tokens").groupBy("pivot", "x", "y").applyInArrow(lambda k, t: _cluster(k, t, rank, num, den), "u binary, v binary")
-    first = close.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    found = scratch.write(dense.unionByName(_verified(first, sets, num, den)), "links")
+    first = close.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionByName(close.where("star").select("u", "v")).distinct()
+    found = scratch.write(_verified(first, sets, num, den), "links")
     roots = connected(found, scratch)
+    placed = scratch.write(known.select("i", "s").join(clusters, "i").join(roots.withColumnRenamed("node", "s"), "s", "left").select("pivot", "s", F.coalesce("root", "s").alias("root")), "placed")
+    blocks = placed.groupBy("pivot").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / CLUSTER).cast("int").alias("blocks")).where("a != b").select("pivot", "blocks")
+    dealt = placed.join(scratch.write(blocks, "blocks"), "pivot").withColumn("block", F.pmod(F.hash("s"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tasks = dealt.withColumn("other", other).select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "s", "root")
+    dense = tasks.join(sets, "s").select("pivot", "x", "y", "s", "root", "tokens").groupBy("pivot", "x", "y").applyInArrow(lambda k, t: _cluster(k, t, rank, num, den), "u binary, v binary")
     by_end = close.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
     apart = by_end.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v").join(first, ["u", "v"], "left_anti")
-    more = scratch.write(_verified(apart, sets, num, den), "links")
-    roots = connected(found.unionByName(more), scratch)
-    named = nodes_named(sketch, roots)
-    out = sketch.select("__id", "n", "s").join(named, "s", "left")
-    out = out.select(F.col("__id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"), F.coalesce("n_nodes", F.lit(1)).cast("bigint").alias("n_nodes"))
-    scratch.drop(*pairs, *clusters, close, sets)
-    return out
+    more, seen = scratch.measured(dense.unionByName(_verified(apart, sets, num, den)), "links", n=F.count("*"))
+    if seen["n"]:
+        roots = connected(found.unionByName(more), scratch)
+    rank.unpersist()
+    scratch.drop(pairs, clusters, known, close, sets, placed)
+    return sketch.select("__id", "k", "n", "s"), roots
+
+
+def components(documents: DataFrame, scratch: Scratch, size: int = 3, num: int = NUM, den: int = DEN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, n_nodes): component_id is the smallest id reachable by links, n_nodes the number of
+    different token sets in the component."""
+    sketch, roots = _rooted(documents, scratch, size, num, den, id_column, text_column)
+    out = sketch.select("__id", "n", "s").join(nodes_named(sketch, roots), "s", "left")
+    return out.select(F.col("__id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"), F.coalesce("n_nodes", F.lit(1)).cast("bigint").alias("n_nodes"))
 
 
 def nodes_named(sketch: DataFrame, roots: DataFrame) -> DataFrame:
@@ -277,8 +296,25 @@ def nodes_named(sketch: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.select("s", "root").join(whole, "root").select("s", "component_id", "n_nodes")
 
 
-def one_of_each(documents: DataFrame, scratch: Scratch, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Documents that name their component, all columns: of each group the one with the smallest id stays, once."""
-    found = components(documents, scratch, size, num, den)
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+def one_of_each(documents: DataFrame, scratch: Scratch, size: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, all columns: of each component one row stays, the one of the smallest id (nulls last), then of the
+    smallest digest of its text; of rows that agree in both any one. Documents without tokens stay, all of them.
+
+    Rows are told apart by id and text, so a row never goes for another one that has its id.
+    """
+    sketch, roots = _rooted(documents, scratch, size, num, den, id_column, text_column)
+    rows = sketch.where("s is not null").join(roots.withColumnRenamed("node", "s"), "s", "left").select("__id", "k", F.coalesce("root", "s").alias("root"))
+    rows = scratch.write(rows.groupBy("root", "__id", "k").agg(F.count("*").alias("c")), "rows")
+    at = F.struct(F.col("__id").isNull().alias("x"), "__id", "k")
+    first = scratch.write(rows.groupBy("root").agg(F.min(at).alias("first"), F.count("*").alias("keys")).where("keys > 1").select("root", "first"), "first")
+    gone = rows.join(first, "root").where(at != F.col("first")).select(F.col("__id").alias("__gone"), F.col("k").alias("__k"))
+    gone, seen = scratch.measured(gone, "gone", n=F.count("*"))
+    again = rows.where("c > 1").limit(1).count()
+    key = F.unhex(F.md5(F.coalesce(F.col(text_column).cast("string").cast("binary"), F.lit(b""))))
+    out = documents.withColumn("__d", key)
+    if seen["n"]:
+        out = out.join(gone, F.col(id_column).eqNullSafe(F.col("__gone")) & (F.col("__d") == F.col("__k")), "left_anti")
+    if again:  # repeated rows; those without tokens stay, each under a number of its own
+        tokens = F.col(text_column).rlike(r"[^ \t\n\x0B\f\r]")
+        out = out.where(tokens).dropDuplicates([id_column, "__d"]).unionByName(out.where(~F.coalesce(tokens, F.lit(False))))
+    return out.select(*documents.columns)

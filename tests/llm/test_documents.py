@@ -94,6 +94,44 @@ def test_jaccard(docs, texts, monkeypatch, size, num, den, longest):
     assert got == brute_components(texts, size, num, den)
 
 
+@pytest.mark.parametrize("cluster", [8, 1024])
+def test_jaccard_of_a_dense_cluster(spark, monkeypatch, cluster):
+    """Lists longer than LIST, in one block and in several: sixty copies, each edited in its own place, that link in part only."""
+    monkeypatch.setattr(jaccard, "LIST", 4)
+    monkeypatch.setattr(jaccard, "CLUSTER", cluster)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for k in r.sample(range(5, 60), r.randint(0, 3)):
+            own[k] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(base[:30]) + " " + " ".join(f"y{i}z{k}" for k in range(r.randint(0, 30)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x[0], x[1], x[2]) for x in jaccard.components(docs, Scratch(spark), 3, 9, 10).collect()), key=str)
+    assert got == brute_components(rows, 3, 9, 10)
+
+
+def test_orders_differ_in_their_prefixes():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    tokens, rank = np.unique(r.integers(0, 1 << 63, 3000, dtype=np.uint64)), r.integers(0, 30, 1 << 20).astype(np.uint8)
+    sets = [set(jaccard.prefix(tokens, rank, o, 9, 10).tolist()) for o in range(jaccard.ORDERS)]
+    assert all(len(a) == jaccard.prefix_length(len(tokens)) for a in sets)
+    assert all(len(a & b) < 0.3 * len(a) for k, a in enumerate(sets) for b in sets[:k])
+
+
+def test_one_of_each_keeps_rows_apart(spark):
+    """Rows are told apart by id and text: neither repeated ids nor null ids nor repeated rows lose or keep a row too many."""
+    a, b = "one two three four five six seven", "a text of its own that no other row is like at all"
+    rows = [(5, b, "x"), (5, a, "y"), (3, a, "z"), (3, a, "z"), (None, a, "n"), (7, "", "e"), (7, "", "e"), (8, None, "e"), (None, "some other words that are found once here", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    got = sorted(map(tuple, jaccard.one_of_each(docs, Scratch(spark)).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[5], rows[6], rows[7], rows[8]], key=str)
+
+
 def test_jaccard_on_nothing(none):
     assert jaccard.components(none, Scratch(none.sparkSession)).count() == 0
     assert jaccard.one_of_each(none, Scratch(none.sparkSession)).columns == none.columns
