@@ -6,13 +6,15 @@ any case those in at most twice as many as the item's median n-gram, so an item
 that edited copies have in common. In a second pass each seed found in a document opens a
 window of the item's length and half of it on either side; overlapping windows of an item merge. A window with SEEDS
 different seeds (one, for items of up to SINGLE words) is aligned with the item (match +2, mismatch and gap
--1); the score is the best local alignment over the item's score with itself.
+-1); the score is the best local alignment over the item's score with itself. Of a document's windows that score alike the
+first counts. An item of fewer than N words has no seeds; it is found in documents whose words are the item's and no more.
 
 Both passes read the documents once, whole, and shuffle only counts. Items are sent to the tasks in blocks of at most
 BLOCK items and BYTES of text, as many blocks as it takes; the results do not depend on the blocks.
 
-Null or empty texts match nothing; items of fewer than N words have no seeds. Repeated items or documents give a row each.
-Empty tables give empty results; further columns are ignored.
+Null or empty texts match nothing. Repeated items or documents give a row each. Very long texts are read whole, and long
+items are aligned a row of the matrix at a time, so memory grows with the window only. Empty tables give empty results;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WordHash, mix64
 
@@ -52,7 +55,7 @@ class Lookup:
     """Places of 64-bit keys in a sorted array; most absent keys are told by a bitmap."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = keys
+        self.keys = keys if len(keys) else np.zeros(1, dtype=np.uint64)
         self.mask = _U((1 << 20) - 1)
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(keys & self.mask).astype(np.int64)] = True
@@ -85,22 +88,24 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def _best_end(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """Score of the best local alignment, and how many words of the item and of the window come up to its end."""
+    slope = np.arange(len(window), dtype=np.int32) * -GAP
+    h, best = np.zeros(len(window) + 1, dtype=np.int32), (0, 0, 0)
+    for i, word in enumerate(item.tolist(), 1):
+        t = np.maximum(h[:-1] + np.where(window == word, MATCH, MISMATCH), h[1:] + GAP)
+        h[1:] = np.maximum.accumulate(np.maximum(t, 0) + slope) - slope
+        j = int(h.argmax())
+        if h[j] > best[0]:
+            best = (int(h[j]), i, j)
+    return best
+
+
 def span(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """First word and end of the window's part in a best local alignment."""
-    h = np.zeros((len(item) + 1, len(window) + 1), dtype=np.int32)
-    for i in range(1, len(item) + 1):
-        for j in range(1, len(window) + 1):
-            h[i, j] = max(0, h[i - 1, j - 1] + (MATCH if item[i - 1] == window[j - 1] else MISMATCH), h[i - 1, j] + GAP, h[i, j - 1] + GAP)
-    i, j = np.unravel_index(np.argmax(h), h.shape)
-    end = j
-    while h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if item[i - 1] == window[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return int(j), int(end)
+    """First word and end of the window's part in a best local alignment; the first is the end of the same read backwards."""
+    _, i, j = _best_end(item, window)
+    _, _, back = _best_end(item[:i][::-1], window[:j][::-1])
+    return j - back, j
 
 
 def windows_of(hits: np.ndarray, place: np.ndarray, m: int, n: int) -> list[tuple[int, int]]:
@@ -136,8 +141,14 @@ def _count(batches: Iterator[pa.RecordBatch], lookup: Lookup) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([docs, *counts[some]], pa.int64())], names=["gram", "n"])
 
 
-def _found(batches: Iterator[pa.RecordBatch], items: list[np.ndarray], lookup: Lookup, owners: list[np.ndarray], threshold: float, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    hashes: WordHash = WordHash()
+def _found(batches: Iterator[pa.RecordBatch], shared, threshold: float, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """shared: the items' words end to end with their bounds, the seeds, and the seeds' places (item, word) with their bounds."""
+    flat, bounds, keys, owner, place, starts = shared.value
+    items, lookup, hashes = np.split(flat, bounds[1:-1]), Lookup(keys), WordHash()
+    short: dict[bytes, list[int]] = {}
+    for i, x in enumerate(items):
+        if 0 < len(x) < N:
+            short.setdefault(x.tobytes(), []).append(i)
     waiting: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
@@ -163,15 +174,18 @@ def _found(batches: Iterator[pa.RecordBatch], items: list[np.ndarray], lookup: L
         for doc, text in zip(batch.column(0), batch.column(1), strict=True):
             row += 1
             w = words(text.as_py(), hashes)
+            if len(w) < N:
+                waiting += [(row, item, 0, w, doc.as_py()) for item in short.get(w.tobytes(), ())]
+                continue
             at, which = lookup.find(grams(w))
             if not len(at):
                 continue
-            lengths = [len(owners[k]) for k in which]
+            lengths = starts[which + 1] - starts[which]
             hits = np.repeat(at, lengths)
-            own = np.concatenate([owners[k] for k in which])  # (item, place) pairs
-            for item in np.unique(own[:, 0]).tolist():
-                mine = own[:, 0] == item
-                for s, e in windows_of(hits[mine], own[mine, 1], len(items[item]), len(w)):
+            own = np.repeat(starts[which] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(len(hits))
+            for item in np.unique(owner[own]).tolist():
+                mine = owner[own] == item
+                for s, e in windows_of(hits[mine], place[own[mine]], len(items[item]), len(w)):
                     waiting.append((row, item, s, w[s:e], doc.as_py()))
         if len(waiting) >= BATCH:
             yield flush()
@@ -187,33 +201,36 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, threshold: float = THRE
     bench = benchmark.select(F.col(item_id).alias("__item"), F.col(item_text).cast("string").cast("binary").alias("__t")).where("__t is not null")
     n_items, n_bytes = bench.agg(F.count("*"), F.coalesce(F.sum(F.length("__t")), F.lit(0))).first()
     blocks = max(1, -(-n_items // BLOCK), -(-n_bytes // BYTES))
-    out = None
+    out, id_type = None, to_arrow_type(documents.schema[id_column].dataType)
     for block in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("__item", "__t"), F.lit(blocks)) == block).collect() if n_items else []
+        rows = bench.where(F.pmod(F.xxhash64("__item", "__t"), F.lit(blocks)) == block).collect() if n_items else []  # at most BLOCK, or a few more
         rows.sort(key=lambda r: (str(r["__item"]), r["__t"]))
         hashes = WordHash()
         items = [words(bytes(r["__t"]), hashes) for r in rows]
         each = [grams(x) for x in items]
         keys = np.unique(np.concatenate([*each, np.empty(0, dtype=np.uint64)]))
-        if not len(keys):
+        if not any(map(len, items)):
             continue
-        everything = Lookup(keys)
-        got = docs.select("__b").mapInArrow(lambda x, e=everything: _count(x, e), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        df = np.zeros(len(keys), dtype=np.int64)
-        n_docs = next((r["n"] for r in got if r["gram"] < 0), 0)
-        for r in got:
-            if r["gram"] >= 0:
-                df[r["gram"]] = r["n"]
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        df, n_docs = np.zeros(len(keys), dtype=np.int64), 0
+        if len(keys):
+            everything = Lookup(keys)
+            for r in docs.select("__b").mapInArrow(lambda x, e=everything: _count(x, e), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+                if r["gram"] < 0:
+                    n_docs = r["n"]
+                else:
+                    df[r["gram"]] = r["n"]
+        item, at, seed = [], [], []
         for i, g in enumerate(each):
-            place = np.searchsorted(keys, g)
-            most = max(rare * n_docs, FLOOR, 2 * float(np.median(df[place])) if len(g) else 0)
-            for p in np.flatnonzero(df[place] <= most).tolist():
-                seeds.setdefault(int(place[p]), []).append((i, p))
-        chosen = sorted(seeds)
-        lookup, owners = Lookup(keys[chosen]), [np.array(seeds[k], dtype=np.int64) for k in chosen]
-        id_type = pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-        found = docs.mapInArrow(lambda x, i=items, k=lookup, o=owners: _found(x, i, k, o, threshold, id_type), f"__id {kind}, item int, score double, first_word int, end_word int")
+            own = np.searchsorted(keys, g)
+            most = max(rare * n_docs, FLOOR, 2 * float(np.median(df[own])) if len(g) else 0)
+            p = np.flatnonzero(df[own] <= most)
+            item.append(np.full(len(p), i, dtype=np.int64)), at.append(p), seed.append(own[p])
+        item, at, seed = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (item, at, seed))
+        order = np.argsort(seed, kind="stable")
+        chosen, starts = np.unique(seed[order], return_index=True)
+        # of BLOCK items and BYTES of text at most: a few numbers a word
+        shared = spark.sparkContext.broadcast((np.concatenate(items), np.cumsum([0, *map(len, items)]), keys[chosen], item[order], at[order], np.append(starts, len(order))))
+        found = docs.mapInArrow(lambda x, s=shared: _found(x, s, threshold, id_type), f"__id {kind}, item int, score double, first_word int, end_word int")
         names = spark.createDataFrame([(i, r["__item"]) for i, r in enumerate(rows)], f"item int, __item {item_kind}")
         part = found.join(F.broadcast(names), "item").select(F.col("__id").alias(id_column), F.col("__item").alias(item_id), "score", "first_word", "end_word")
         out = part if out is None else out.unionByName(part)
@@ -222,6 +239,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any overlap, all their columns."""
-    found = overlaps(documents, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(found, documents["doc_id"] == found["__bad"], "left_anti")
+    """The documents without any overlap, all their columns. Rows are told apart by id and text, so null or repeated ids do no harm."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = documents.withColumn("__key", F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)))
+    found = overlaps(keyed.select("__key", "text"), benchmark, id_column="__key").select("__key").distinct()
+    return keyed.join(found, "__key", "left_anti").select(*documents.columns)

@@ -253,6 +253,44 @@ def test_alignment_against_the_plain_recurrence():
         assert h.max() == score
 
 
+def test_spans_of_long_items():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    item = r.integers(1, 1 << 40, 3000, dtype=np.uint64)
+    window = np.concatenate([r.integers(1, 1 << 40, 500, dtype=np.uint64), item[100:1400], r.integers(1, 1 << 40, 3, dtype=np.uint64), item[1400:2900], r.integers(1, 1 << 40, 800, dtype=np.uint64)])
+    assert decontaminate.span(item, window) == (500, 500 + 1300 + 3 + 1500)
+
+
+def test_recall_over_edited_copies(spark):
+    """Every pair that reaches the threshold by the plain recurrence, over random edits of items of 8 to 60 words."""
+    import numpy as np
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 5)))
+    items = [[word() for _ in range(r.choice([8, 12, 20, 30, 60]))] for _ in range(40)]
+    rows = []
+    for i in range(160):
+        own = list(items[i % 40])
+        for _ in range(int(len(own) * r.choice([0, 0.1, 0.2, 0.3]))):
+            k = r.randrange(len(own))
+            own[k : k + 1] = r.choice([[], [word()], [own[k], word()]])
+        rows.append((i, " ".join([word() for _ in range(r.randint(0, 200))] + own + [word() for _ in range(r.randint(0, 200))])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    number = {}
+    code = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.uint64)
+    want = {(i, k) for i, t in rows for k, item in enumerate(items) if decontaminate._best_end(code(item), code(t.split()))[0] >= len(item)}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 100
+
+
+def test_items_of_one_or_two_words_and_rows_without_an_id(spark):
+    bench = spark.createDataFrame([(1, "yes"), (2, "Not now."), (3, "one two three four five six seven eight")], "item_id short, text string")
+    docs = spark.createDataFrame([(1, "Yes."), (2, "yes it is"), (None, "not, now"), (4, "not now then"), (None, "a b c one two three four five six seven eight d"), (None, "nothing"), (4, "one two three four five six seven eight")], "doc_id int, text string")
+    assert sorted((str(x.doc_id), x.item_id, x.first_word) for x in decontaminate.overlaps(docs, bench).collect()) == [("1", 1, 0), ("4", 3, 0), ("None", 2, 0), ("None", 3, 3)]
+    assert sorted((str(x.doc_id), x.text) for x in decontaminate.clean(docs, bench).collect()) == [("2", "yes it is"), ("4", "not now then"), ("None", "nothing")]
+
+
 def test_mixing(spark, docs, none, labels):
     labelled = labels.selectExpr("doc_id", "concat('d', cast(quality as string)) AS domain")
     out = mixing.mixed(docs, labelled, {"d0": 0.3, "d1": 0.7}, Scratch(spark))
