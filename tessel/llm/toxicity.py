@@ -5,11 +5,12 @@ sentence of those texts that names a group (IDENTITY) is also taken with its ide
 of the same group and for a neutral noun; the squared change of the model's logit between a sentence and its swapped
 forms is added to the loss, so that a mention of a group by itself moves the score as little as the data allow.
 
-The fit uses at most SAMPLE labelled rows, those with the smallest hash of their id; the model holds at most FEATURES
-features, so what executors receive is bounded. Scoring reads each text once, whole, without a shuffle.
+The fit uses at most SAMPLE labelled rows, those with the smallest hash of their id, in one task; the model holds at most
+FEATURES features (those that tell the classes apart best, by LEAST_Z at least), so what executors receive is bounded.
+Scoring reads each text once, whole and however long it is, without a shuffle.
 
-Null or empty text: the model's score without features. Unlabelled or null labels are not used; two labels for one id
-count as two rows. Without rows of both classes every score is the share of toxic rows (0 without rows). Documents with
+Null or empty text: the model's score without features. Unlabelled or null labels are not used; two different labels for one
+id count as two rows, and of documents with one id the smallest text trains. Without rows of both classes every score is the share of toxic rows (0 without rows). Documents with
 a null id are scored; repeated rows are scored each. Further columns of the inputs are ignored.
 """
 
@@ -153,9 +154,10 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
 
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
     """A model of at most `sample` labelled rows outside the held-out remainder (crc32 of the id modulo 4 is 2)."""
-    chosen = labels.selectExpr("doc_id as __id", "cast(toxic as int) as __toxic").where("__id is not null and __toxic in (0, 1)").where(crc_mod("__id", 4) != 2)
+    chosen = labels.selectExpr("doc_id as __id", "cast(toxic as int) as __toxic").where("__id is not null and __toxic in (0, 1)").where(crc_mod("__id", 4) != 2).distinct()
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__toxic").limit(sample)
     rows = documents.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = rows.groupBy("__id", "__toxic").agg(F.min("__text").alias("__text"))
     fitted = rows.select("__id", "__toxic", "__text").groupBy(F.lit(0).alias("__all")).applyInArrow(_fitting(penalty), "feature string, weight double").collect()
     if not fitted:
         return fit([], [])

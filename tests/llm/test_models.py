@@ -28,9 +28,20 @@ def test_identity_mentions_weigh_less_with_the_penalty():
             words.append(r.choice(["muslims", "women", "jews"]))
         texts.append(" ".join(words) + ".")
         labels.append(int(bad))
-    free, held = (toxicity.fit(texts, labels, penalty=x) for x in (0.0, 20.0))
+    free, shipped, held = (toxicity.fit(texts, labels, penalty=x) for x in (0.0, toxicity.PENALTY, 20.0))
     neutral = "we had lunch with muslims and women today"
     assert held.score(neutral) < free.score(neutral) and held.score("you idiot scum") > 0.5
+    assert shipped.score(neutral) < 0.5 * free.score(neutral) and shipped.score("you idiot scum") > 0.5
+
+
+def test_repeated_ids_train_once(spark):
+    r = random.Random(3)
+    say = lambda bad: " ".join(r.choice("lunch walked friends today morning garden".split()) for _ in range(6)) + (" idiot scum" if bad else "")
+    rows = [(i, say(i % 3 == 0)) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    once = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = toxicity.learn(spark.createDataFrame(rows + [(1, "zzz " + t) for _, t in rows], "doc_id long, text string"), labels.unionByName(labels))
+    assert once.weights and once.weights == pytest.approx(again.weights)
 
 
 def test_deep_shallow_order():
