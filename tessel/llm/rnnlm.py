@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod
 
 HEAD, WORDS, MID, EMBED, STATE = 4096, 64, 1 << 17, 24, 32
-WINDOW, LANES, SHARD, ROUNDS, LEAST_UPDATES, RATE = 16, 128, 8192, 2, 300, 0.004
+WINDOW, LANES, SHARD, ROUNDS, LEAST_UPDATES, RATE = 16, 256, 16384, 2, 300, 0.004
 SHARD_TOKENS = 1 << 23  # what a task holds, at 2 bytes each
 CHUNK, SCORE_LANES, FLUSH = 1_500_000, 256, 400_000
 CLASSES = HEAD // WORDS
@@ -381,6 +381,23 @@ def _score(batches: Iterator[pa.RecordBatch], known, shared, logs) -> Iterator[p
         yield flush()
 
 
+def least_count(counts: DataFrame, most: int, bound: int, bins: int = 1024) -> int:
+    """The smallest count that at most `bound` words reach, from the numbers of words in `bins` ranges of counts at a time."""
+    low, high, above = 1, most + 1, 0  # `above` words have a count of `high` or more
+    while low < high:
+        width = -(-(high - low) // bins)
+        found = counts.where(F.col("c").between(low, high - 1)).groupBy(F.floor((F.col("c") - low) / width).alias("bin")).agg(F.count("*").alias("n"))
+        n, at = {r["bin"]: r["n"] for r in found.collect()}, -(-(high - low) // width) - 1
+        while at >= 0 and above + n.get(at, 0) <= bound:
+            above, at = above + n.get(at, 0), at - 1
+        if at < 0:
+            return low
+        low, high = low + at * width, min(high, low + (at + 1) * width)
+        if width == 1:
+            return high
+    return high
+
+
 def scored(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     sc = documents.sparkSession.sparkContext
@@ -390,13 +407,9 @@ def scored(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", te
     train = docs.where("not held_out")
     n_train = train.count()
     counts = scratch.write(train.select("b").mapInArrow(_counts, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    levels = sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)  # a row for each different count
-    n_words, v_words, least, taken = sum(c * n for c, n in levels), sum(n for _, n in levels), None, 0
-    for c, n in levels:
-        if taken + n > MID:
-            break
-        least, taken = c, taken + n
-    mid = [] if least is None else sorted(((-r["c"], bytes(r["word"])) for r in counts.where(F.col("c") >= least).collect()))  # at most MID words
+    n_words, v_words, most = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max("c"), F.lit(0))).first()
+    least = least_count(counts, most, MID)
+    mid = sorted(((-r["c"], bytes(r["word"])) for r in counts.where(F.col("c") >= least).collect()))  # at most MID words
     n, v = n_words + n_train, v_words + (n_train > 0)
     head_counts = np.array([n_train, *(-c for c, _ in mid[: HEAD - 1])], dtype=float)
     n_tail, v_tail = n - head_counts.sum(), v_words - len(mid[: HEAD - 1])
@@ -408,7 +421,7 @@ def scored(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", te
     parts = ROUNDS if n_train > shards * LANES else 1  # documents that are too few for parts are trained on in every round
     params = pack(new_model(head_counts, n_tail))
     for k in range(ROUNDS if n_train else 0):
-        shared = sc.broadcast(params.astype(np.float32).tobytes())
+        shared = sc.broadcast(params.astype(np.float32).tobytes())  # one set of parameters
         own = texts.where(F.pmod("place", F.lit(parts)) == k % parts)
         sums = own.groupBy("shard").applyInArrow(_trains(shared, blocks), "block int, shard int, n bigint, sums binary")
         sums = sums.withColumn("g", F.pmod("shard", F.lit(32))).groupBy("block", "g").applyInArrow(_add, "block int, shard int, n bigint, sums binary")
@@ -419,8 +432,11 @@ def scored(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", te
     shared = sc.broadcast(params.astype(np.float32).tobytes())
     schema = f"row bigint, __id {kind}, held_out boolean, n_tokens bigint, n_known bigint, n_tail bigint, logs double, tail_logs double, words array<binary>, times array<int>, network double"
     each = scratch.write(docs.mapInArrow(lambda x: _score(x, known, shared, logs), schema), "scores")
+    scratch.drop(texts)
+    for x in (known, shared, logs):
+        x.unpersist()
     rare = each.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    few = counts.where(F.col("c") < least) if least is not None else counts
+    few = counts.where(F.col("c") < least)
     found = rare.join(few, "word", "left").select("row", (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("l"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("k"))
     sums = found.groupBy("row").agg(F.sum("l").alias("l"), F.sum("k").alias("k"))
     out = each.drop("words", "times").join(sums, "row", "left")

@@ -34,6 +34,47 @@ def test_every_token_is_trained_on_with_the_state_carried():
     assert sum(a is b for a, b in zip(carried[1::2], carried[2::2], strict=False)) == len(carried) // 2 - passes  # anew in each pass only
 
 
+@pytest.mark.parametrize("counts", [[], [1] * 9, [5] * 9, list(range(1, 4000)), [1] * 50 + [2] * 5 + [10**9, 10**9 + 1, 3 * 10**11]])
+def test_the_count_that_bounds_the_words(spark, counts):
+    table = spark.createDataFrame([(c,) for c in counts], "c long")
+    for bound in (0, 3, 8, 9, 60, 5000):
+        least = rnnlm.least_count(table, max(counts, default=0), bound, 16)
+        assert sum(c >= least for c in counts) <= bound and (least == 1 or sum(c >= least - 1 for c in counts) > bound)
+
+
+def test_score_beats_the_base_on_held_out_text(spark):
+    """Text with word order to learn: a first-order chain. The margin asked for is 0.1 log10 a token."""
+    import random
+
+    from tessel.llm.common import Scratch
+
+    r = random.Random(1)
+    after = {i: [r.randrange(60) for _ in range(4)] for i in range(60)}
+
+    def text():
+        at, out = r.randrange(60), []
+        for _ in range(r.randint(5, 60)):
+            out.append(f"w{at}")
+            at = r.choice(after[at])
+        return " ".join(out)
+
+    rows = rnnlm.scored(spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string"), Scratch(spark)).where("held_out").collect()
+    assert sum(x.score - x.base_score for x in rows) / sum(x.n_tokens for x in rows) > 0.1
+
+
+def test_scores_are_those_of_one_text_at_a_time():
+    r = np.random.default_rng(8)
+    p = rnnlm.new_model(np.arange(300, 0, -1.0), 50.0)
+    texts = [np.append(r.integers(1, 300, n), 0).astype(np.int32) for n in (0, 3, 700, 40, 41)]
+    table = p["embed"] @ p["wx"] + p["b"]
+    for x, got in zip(texts, rnnlm.score_texts(p, table, texts), strict=True):
+        h, total = np.zeros((1, rnnlm.STATE), np.float32), 0.0
+        for before, target in zip([rnnlm.START, *x[:-1]], x, strict=True):
+            h = rnnlm._step(p, table[[before]], h)[0]
+            total += float(rnnlm.log_probability(p, h, np.array([target]))[0])
+        assert got == pytest.approx(total / np.log(10), rel=1e-4)
+
+
 def test_gradients_stop_at_the_start_of_a_document():
     r = np.random.default_rng(3)
     p = {k: v.astype(np.float64) for k, v in rnnlm.new_model(np.arange(300, 0, -1.0), 50.0).items()}
