@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected
 
-TAU, SHORTEST, LIST, LETTERS = 2, 20, 128, "etaoinsrhldcumpg"
+TAU, SHORTEST, LIST, LETTERS = 2, 20, 32, "etaoinsrhldcumpg"
 
 
 def cut(rows: DataFrame, tau: int) -> DataFrame:
@@ -163,7 +163,8 @@ def linked_lines(own: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int
     wanted = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h")))
     if ends is not None:
         wanted = wanted.unionByName(ends.select("h"))
-    texts = scratch.write(own.join(wanted.distinct(), "h"), "texts", "lz4")
+    # grows with the corpus, so it is never broadcast
+    texts = scratch.write(own.join(wanted.distinct().hint("merge"), "h"), "texts", "lz4")
     links = scratch.write(_verified(pairs, texts, tau), "links")
     roots = connected(links, scratch)
     if ends is not None:
