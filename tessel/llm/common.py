@@ -7,6 +7,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -78,8 +79,10 @@ class Scratch:
 
     def sweep(self) -> None:
         """Shuffle files go once the driver has collected the plans that made them, which Python's own garbage may still hold."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first round frees what holds the plans
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.1)
 
 
 def crc_mod(column: str, n: int):
