@@ -2,41 +2,63 @@
 
 First pass: every block of text (a maximal run of text between block-level tags) is decided by its own figures - share
 of stop words, length, share of characters inside links, and the role of the elements around it - as text, boilerplate,
-or, when it is short or long with a middling share of stop words, undecided. Second pass: an undecided block takes the label of its nearest decided neighbour;
-inside an article element only neighbours of that article count, and between two equally near ones text wins there,
-boilerplate elsewhere. Without any decided neighbour a block is text inside an article and boilerplate outside.
+or, when it is short or long with a middling share of stop words, undecided. Second pass: an undecided block takes the label of
+its nearest decided neighbour; inside an article element only neighbours of that article count, and between two equally near
+ones text wins there, boilerplate elsewhere. Without any decided neighbour a block is text inside an article and boilerplate
+outside.
 
-Null or empty html: no text. Broken markup, unclosed elements and cut-off pages are read as far as they go. Rows are
-handled one by one, so ties, repeated rows, empty tables and further columns do not matter.
+Roles come in three strengths. Elements for navigation, forms and the like, their ARIA roles and hidden elements are
+boilerplate. So are class and id words for comments, adverts, notices and the like, on articles too; but a word that tells how
+a page is laid out (has-sidebar, content-sidebar-wrap) is no role, and where such words leave a page without any text, the one
+whose element has most prose is passed over (comments apart). Words that content carries as well (share, header, banner) are overruled by words for content beside them
+(share-story-body) and by long prose without links.
+
+Stop words are known for eight languages. Where a page has next to none of them, its language is another one, and length, links
+and sentence ends decide instead.
+
+Null or empty html: no text. Broken markup, unclosed elements and cut-off pages are read as far as they go; very long pages are
+read whole, in time that grows with their length. Rows are handled one by one, so ties, repeated rows, empty tables and
+further columns do not matter.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# --- fixed values: element names, role words and the commonest words of four languages
+# --- fixed values: element names, role words and the commonest words of eight languages
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title iframe noembed noframes noscript template xmp svg math canvas object audio video".split())
 BAD_TAGS = set("nav footer aside form button select dialog menu head legend fieldset optgroup option search label".split())
 BAD_ROLES = set("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
-BAD_WORDS = set("ad ads adv advert advertisement advertising adbox adslot sponsor sponsored promo promotion banner sidebar widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing sharebar related recommended recommendations comment comments discussion replies reply respond disqus breadcrumb breadcrumbs pagination pager menu nav navbar navigation topbar header masthead footer copyright toolbar disclaimer".split())
+BAD_WORDS = set("ad ads adv advert advertisement advertising adbox adslot sponsor sponsored promo promotion teaser sidebar cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login related recommended recommendations comment comments discussion replies reply respond disqus breadcrumb breadcrumbs pagination pager menu nav navbar navigation footer copyright disclaimer".split())
+WEAK_WORDS = set("alert banner header masthead share sharing sharebar social toolbar topbar widget".split())
+CONTENT_WORDS = set("article body content entry main post prose story text".split())
+COMMENT_WORDS = set("comment comments discussion replies reply respond disqus".split())
+LAYOUT_WORDS = set("container grid layout page row site wrap wrapper".split())
+STATE_WORDS = set("has hide is js no not show with without".split())
 STOP = set(
     "a an and are as at be been but by can for from had has have he her his i if in into is it its of on or our she so than that the their them then there these they this to was we were which who will with would you your "
     "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous "
     "aber als am auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so um und uns vom von vor war wie wir wird zu zum zur über "
+    "al alla anche che chi come con da dal dalla degli dei del della delle di dove e è era essere gli ha hanno i il in io la le lo ma mi nel nella non o per perché più quando quello questa questo se si sono sua suo sul sulla tra un una "
+    "a ao aos as com como da das de do dos e ela ele em entre era essa esse esta foi há isso mais mas me na não nas no nos o os ou para pela pelo por que quem se sem ser seu sua são também um uma "
+    "aan als bij dat de die dit door een en er had heb heeft het hij hoe hun ik in is je kan maar me met mijn naar niet nog of om ook op over te tot uit van voor was wat we wel werd wij worden zich zijn zo zou "
+    "att av de den det där då efter eller en ett från för ha hade han har hon i in inte jag kan man med men mot när och om på sig sin som så till under upp ut var vi vid är "
     "al como con de del el ella en entre era es esta este fue ha hay la las lo los más me mi muy no o para pero por porque que se ser si sin sobre son su sus también un una y ya".split()
 )
-SHORT, LONG, STOP_FEW, STOP_SOME, STOP_MANY, LINKS_MOST = 60, 200, 0.09, 0.18, 0.30, 0.40
+SHORT, LONG, STOP_NONE, STOP_FEW, STOP_SOME, STOP_MANY, LINKS_MOST = 60, 200, 0.05, 0.09, 0.18, 0.30, 0.40
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_SENTENCE = re.compile(r"[.!?…。！？।؟][\"'”’»)]*$")
 _TRIM = re.compile(r"^\W+|\W+$|\d+")
 
 
@@ -44,46 +66,62 @@ _TRIM = re.compile(r"^\W+|\W+$|\d+")
 class Block:
     text: str
     linked: int  # characters inside links
-    bad: bool  # inside an element whose role is boilerplate
+    bad: int  # the strongest role around it: 0 none, 1 weak word, 2 word, 3 element or comments
+    owner: int  # number of the outermost element whose word gave role 2, 0: none
     article: int  # number of the article or main element around it, 0: none
     heading: bool
     label: str = ""
     parts: list = field(default_factory=list)
 
 
-def _role_is_bad(tag: str, attrs: str, in_article: bool) -> bool:
+def _word_role(token: str, article: bool) -> int:
+    """The role that one class or id gives: 0 none, 1 weak, 2 strong, 3 comments. On articles the first of its words has to say so."""
+    words = [w for w in _SPLIT.split(token) if w]
+    if not words or words[0] in LAYOUT_WORDS or STATE_WORDS.intersection(words):
+        return 0
+    said = set(words[:1] if article else words)
+    if said & COMMENT_WORDS:
+        return 3
+    if words[0] in BAD_WORDS or said & BAD_WORDS and not said & LAYOUT_WORDS:
+        return 2
+    return int(not article and not said & CONTENT_WORDS and bool(said & WEAK_WORDS))
+
+
+def _role(tag: str, attrs: str, in_article: bool) -> int:
     if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
+        return 3
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    found = 0
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 3
         if name == "role" and value in BAD_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            return 3
+        if name in ("class", "id") and tag not in ("html", "body"):
             for one in value.split():
-                if not BAD_WORDS.isdisjoint(_SPLIT.split(one)) and not (in_article and one in ("header", "article-header", "post-header", "entry-header")):
-                    return True
-    return False
+                if not (in_article and one in ("header", "article-header", "post-header", "entry-header")):
+                    found = max(found, _word_role(one, tag in ("article", "main")))
+    return found
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of a page in order, with white space turned into single spaces; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # tag, bad, article, link
+    stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]  # tag, role, article, link, owner
+    depth: Counter = Counter()  # of each tag in the stack
     parts: list[str] = []
-    linked = articles = 0
+    linked = articles = owners = 0
     page = page or ""
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                _, bad, article, _ = stack[-1]
+                _, bad, article, _, owner = stack[-1]
                 heading = any(re.fullmatch("h[1-6]", x[0]) for x in stack[-3:])
-                out.append(Block(text, linked, bad, article, heading))
+                out.append(Block(text, linked, bad, owner, article, heading))
             parts.clear()
         linked = 0
 
@@ -107,10 +145,10 @@ def blocks_of(page: str | None) -> list[Block]:
         if closing:
             if tag in BLOCK or tag in ("br", "p"):
                 flush()
-            if any(x[0] == tag for x in stack):
+            if depth[tag]:
                 while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                    depth[stack.pop()[0]] -= 1
+                depth[stack.pop()[0]] -= 1
             continue
         if tag == "br":
             parts.append(" ")
@@ -129,32 +167,46 @@ def blocks_of(page: str | None) -> list[Block]:
                 while k and stack[k][0] not in BLOCK:
                     k -= 1
                 if stack[k][0] == tag:
+                    depth.subtract(x[0] for x in stack[k:])
                     del stack[k:]
             elif any(x[0] == "p" for x in stack[-4:]):
                 k = len(stack) - 1
                 while stack[k][0] != "p" and stack[k][0] not in BLOCK:
                     k -= 1
                 if stack[k][0] == "p":
+                    depth.subtract(x[0] for x in stack[k:])
                     del stack[k:]
         if tag in VOID:
             continue
-        _, bad, article, link = stack[-1]
-        if tag in ("article", "main") and not article and not bad:
+        _, bad, article, link, owner = stack[-1]
+        role = _role(tag, attrs, bool(article))
+        if tag in ("article", "main") and not article and max(bad, role) < 2:
             articles += 1
             article = articles
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        stack.append((tag, bad or _role_is_bad(tag, attrs, bool(article)), article, link or tag == "a"))
+        if role == 2 and not owner:
+            owners += 1
+            owner = owners
+        stack.append((tag, max(bad, role), article, link or tag == "a", owner))
+        depth[tag] += 1
     flush()
     return out
 
 
-def _decide(b: Block) -> str:
-    if b.bad or b.linked > LINKS_MOST * len(b.text):
+def _stops(text: str) -> tuple[int, int]:
+    """Numbers of stop words and of words."""
+    words = [w for w in (_TRIM.sub("", x) for x in text.lower().split()) if w]
+    return sum(w in STOP for w in words), len(words)
+
+
+def _decide(b: Block, stops: float, passed: int) -> str:
+    """The first pass; `passed` is the owner whose role is passed over."""
+    if b.bad >= 2 and not (b.bad == 2 and b.owner == passed) or b.linked > LINKS_MOST * len(b.text):
+        return "bad"
+    if b.bad == 1 and not (len(b.text) >= LONG and stops >= STOP_SOME and not b.linked):
         return "bad"
-    words = [w for w in (_TRIM.sub("", x) for x in b.text.lower().split()) if w]
-    stops = sum(w in STOP for w in words) / max(1, len(words))
-    if b.text.startswith("©") and len(b.text) < LONG:
+    if b.text.startswith("©") and len(b.text) < LONG and not b.article:
         return "bad"
     if len(b.text) < SHORT or b.heading:
         return "short"
@@ -167,10 +219,14 @@ def _decide(b: Block) -> str:
     return "good" if stops >= STOP_MANY and not b.linked else "short"
 
 
-def label(blocks: list[Block]) -> list[Block]:
+def label(blocks: list[Block], passed: int = 0) -> list[Block]:
     """Set every block's label to good or bad."""
-    for b in blocks:
-        b.label = _decide(b)
+    counts = [_stops(b.text) for b in blocks]
+    prose = [n for n, b in zip(counts, blocks, strict=True) if (b.bad < 2 or b.bad == 2 and b.owner == passed) and not b.linked and len(b.text) >= LONG]
+    known = not prose or sum(n for n, _ in prose) >= STOP_NONE * sum(n for _, n in prose)
+    for b, (n, words) in zip(blocks, counts, strict=True):
+        # of another language: what ends as a sentence counts as prose, what doesn't as a list
+        b.label = _decide(b, n / max(1, words) if known else float(bool(_SENTENCE.search(b.text))), passed)
     decided = [b.label for b in blocks]
     before: list[tuple[int, str] | None] = []
     last: dict[int, tuple[int, str]] = {}
@@ -198,7 +254,16 @@ def label(blocks: list[Block]) -> list[Block]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(b.text for b in label(blocks_of(page)) if b.label == "good")
+    blocks = blocks_of(page)
+    found = [b.text for b in label(blocks) if b.label == "good"]
+    if not found:  # without any text, the role word is passed over that has most of the prose
+        prose: Counter = Counter()
+        for b in blocks:
+            if b.bad == 2 and len(b.text) >= LONG:
+                prose[b.owner] += len(b.text) - b.linked
+        if prose:
+            found = [b.text for b in label(blocks, max(prose, key=lambda k: (prose[k], -k))) if b.label == "good"]
+    return "\n".join(found)
 
 
 def plain_text(page: str | None) -> str:

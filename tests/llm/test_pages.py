@@ -78,3 +78,39 @@ def test_checksum_by_the_book():
         return crc
 
     assert ogg.checksum(b"OggS and more\x00\xff") == slow(b"OggS and more\x00\xff")
+
+
+PROSE = {
+    "en": "The house by the river was old and it had been there for as long as we could remember, and the people who lived in it were not the ones who had built it. ",
+    "de": "Das Haus am Fluss war alt und es stand dort, so lange wir uns erinnern können, und die Leute, die darin wohnten, waren nicht die, die es gebaut hatten. ",
+    "it": "La casa sul fiume era vecchia ed era lì da quando abbiamo memoria, e le persone che ci abitavano non erano quelle che la avevano costruita per la famiglia. ",
+    "pt": "A casa junto ao rio era velha e estava ali desde que nos lembramos, e as pessoas que nela moravam não eram as que a tinham feito para a família. ",
+    "nl": "Het huis aan de rivier was oud en het stond er al zo lang als wij het ons kunnen herinneren, en de mensen die er woonden waren niet degenen die het hadden gebouwd. ",
+    "fi": "Joen varrella oleva talo oli vanha ja se oli ollut siellä niin kauan kuin muistamme, eivätkä siinä asuvat ihmiset olleet niitä, jotka sen olivat rakentaneet. ",
+    "zh": "河边的房子很旧，从我们记事起它就在那里，住在里面的人并不是当初建造它的人。每到春天，院子里的花都会开，孩子们就在树下玩耍。" * 3,
+}
+
+
+@pytest.mark.parametrize("wrap", ['<article class="post">{}</article>', "<div>{}</div>", '<div class="share-story-body">{}</div>', '<div class="page has-sidebar"><div class="content-sidebar-wrap">{}</div></div>', '<main class="site-main with-comments">{}</main>', '<div class="newsletter-issue">{}</div>'])
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_articles_and_their_surroundings(wrap, lang):
+    """Two paragraphs in eight wrappers and seven languages: both come out whole, and nothing of what surrounds them does."""
+    one, two = (PROSE[lang] * k for k in (2, 3))
+    around = [
+        '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>', f'<div class="cookie-notice">{PROSE["en"] * 2}</div>', f'<aside>{PROSE["en"] * 2}</aside>',
+        f'<article class="comment" id="c1"><p>{PROSE["en"] * 2}</p></article>', f'<section id="comments"><h3>Comments</h3><div class="comment-body"><p>{PROSE["en"] * 2}</p></div></section>',
+        f'<article id="related-posts" class="promo"><p>{PROSE["en"] * 2}</p></article>', '<form><input name="q"><button>Search here</button></form>', f'<div class="sponsored-box">{PROSE["en"] * 2}</div>', "<footer><p>© 2024 Example. All rights reserved.</p></footer>", "<script>var x = 'the of and';</script><style>p { color: red }</style>",
+    ]
+    page = "<html><body>" + around[0] + around[1] + wrap.format(f"<p>{one}</p><p>{two}</p>") + "".join(around[2:]) + "</body></html>"
+    assert html.main_text(page) == "\n".join(" ".join(x.split()) for x in (one, two))
+
+
+def test_deep_unclosed_markup_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        html.blocks_of("<div><span>x</b>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.5
