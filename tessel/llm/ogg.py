@@ -6,7 +6,9 @@ values to reassemble packets (which may run over several pages), separates the l
 derives each packet's time from its page's granule position; the times order the packets of all streams again.
 
 Nulls and empty texts give a payload of 64 zero bytes. Equal payloads give equal files: serial numbers are fixed.
-A damaged file raises OggError, which names the page.
+A damaged file raises OggError, which names the page. Very long texts are stored whole, in as many pages as it takes. Each row is
+handled for itself, so repeated rows, ties and null ids do not matter; empty tables give empty results; further columns are
+not read.
 """
 
 from __future__ import annotations

@@ -6,15 +6,22 @@ HTTP header fields and the digests). Both keep the response's target URI and dat
 its payload digest as WARC-Source-Payload-Digest; the metadata record also names the conversion in WARC-Concurrent-To.
 Record ids are derived from the response's id, so a task that runs again makes the same records.
 
+Records may be gzip members. Of an HTTP payload the chunked coding, gzip and deflate are undone, and the text is read in the
+charset that the header or a meta element names (UTF-8 where neither names a known one).
+
 Null or empty html: a response with an empty payload and a conversion with an empty block. Null url: no target URI.
-Equal pages under different ids give different records. A record that can't be parsed raises WarcError.
+Record ids are made from id, url and payload: equal rows give equal records, any others different ones. A null record gives no
+row; one that can't be parsed gives one row of type `error` with the reason, and all other rows are made. Very long pages are
+read whole. Empty tables give empty results; ties don't occur; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +31,7 @@ from .html import plain_text
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs (RFC 4122)
 DATE = "2024-01-01T00:00:00Z"
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
 
 
 class WarcError(ValueError):
@@ -61,12 +69,15 @@ def _fields(head: bytes) -> tuple[str, list[tuple[str, str]]]:
 
 def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (names in lower case) and block of one record, whose length and block digest must hold."""
+    if data[:2] == b"\x1f\x8b":
+        data = _inflated(data, 31)
     head, gap, rest = data.partition(b"\r\n\r\n")
     first, fields = _fields(head)
     if not first.startswith("WARC/1.") or not gap:
         raise WarcError("no WARC record")
     named = {k.lower(): v for k, v in fields}
-    n = int(named.get("content-length", "-1"))
+    length = named.get("content-length", "")
+    n = int(length) if length.isascii() and length.isdigit() else -1
     block = rest[: max(n, 0)]
     if n < 0 or len(block) < n:
         raise WarcError(f"{named.get('warc-record-id')}: cut off")
@@ -75,11 +86,61 @@ def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return named, block
 
 
+def _inflated(data: bytes, bits: int) -> bytes:
+    """All members of a zlib, gzip or raw stream."""
+    out = []
+    while data:
+        stream = zlib.decompressobj(bits)
+        try:
+            out.append(stream.decompress(data) + stream.flush())
+        except zlib.error as e:
+            raise WarcError(f"broken compressed data: {e}") from None
+        if not stream.eof:
+            raise WarcError("compressed data are cut off")
+        data = stream.unused_data if bits == 31 and stream.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(out)
+
+
+def _unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = data[at : max(end, at)].split(b";")[0].strip()
+        if end < 0 or not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise WarcError("broken chunked coding")
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+        if len(out[-1]) < n:
+            raise WarcError("chunked coding is cut off")
+
+
+def decoded(http: list[tuple[str, str]], payload: bytes) -> str:
+    """The text of an HTTP payload."""
+    named = {k.lower(): v for k, v in http}
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        payload = _unchunked(payload)
+    for coding in reversed([x.strip().lower() for x in named.get("content-encoding", "").split(",") if x.strip()]):
+        if coding in ("gzip", "x-gzip"):
+            payload = _inflated(payload, 31)
+        elif coding == "deflate":
+            payload = _inflated(payload, 15 if payload[:1] and payload[0] & 15 == 8 and len(payload) > 1 and (payload[0] * 256 + payload[1]) % 31 == 0 else -15)
+        elif coding != "identity":
+            raise WarcError(f"content coding {coding[:40]}")
+    found = _CHARSET.search(named.get("content-type", "").encode()) or _CHARSET.search(payload[:2048])
+    try:
+        return payload.decode(found[1].decode() if found else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
 def _response(key: str, url: str | None, html: str | None) -> bytes:
     payload = (html or "").encode("utf-8", "surrogatepass")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     target = [("WARC-Target-URI", url)] if url else []
-    return write_record("response", [("WARC-Record-ID", record_id(f"{key} {url or ''}")), *target, ("WARC-Date", DATE), ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")], block)
+    return write_record("response", [("WARC-Record-ID", record_id(f"{key} {url or ''} {digest(payload)}")), *target, ("WARC-Date", DATE), ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
 def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -107,24 +168,27 @@ def derivatives(response: bytes) -> list[dict]:
     found = digest(payload)
     if source.get("warc-payload-digest", found) != found:
         raise WarcError(f"{source.get('warc-record-id')}: payload digest differs")
+    if not source.get("warc-record-id"):
+        raise WarcError("no record id")
     refers, date, target = source["warc-record-id"], source.get("warc-date", ""), source.get("warc-target-uri")
     shared = [*([("WARC-Target-URI", target)] if target else []), ("WARC-Date", date), ("WARC-Refers-To", refers), *([("WARC-Refers-To-Target-URI", target)] if target else []), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", found)]
     ids = {k: record_id(f"{k} {refers}") for k in ("conversion", "metadata")}
-    text = plain_text(payload.decode("utf-8", "replace")).encode()
+    text = plain_text(decoded(http, payload)).encode("utf-8", "replace")
     facts = [("status", status), *((f"http-{k.lower()}", v) for k, v in http), ("source-block-digest", source.get("warc-block-digest", "")), ("source-payload-digest", found), ("source-length", str(len(payload))), ("conversion-id", ids["conversion"]), ("conversion-digest", digest(text)), ("conversion-length", str(len(text)))]
     meta = "".join(f"{k}: {_clean(v)}\r\n" for k, v in facts).encode()
     out = []
     for kind, mime, body, more in (("conversion", "text/plain; charset=utf-8", text, []), ("metadata", "application/warc-fields", meta, [("WARC-Concurrent-To", ids["conversion"])])):
         record = write_record(kind, [("WARC-Record-ID", ids[kind]), *shared, *more, ("Content-Type", mime)], body)
-        out.append({"record_type": kind, "record_id": ids[kind], "refers_to": refers, "target_uri": target, "warc_date": date, "source_payload_digest": found, "source_block_digest": source.get("warc-block-digest"), "block_digest": digest(body), "content_length": len(body), "record": record})
+        out.append({"record_type": kind, "record_id": ids[kind], "refers_to": refers, "target_uri": target, "warc_date": date, "source_payload_digest": found, "source_block_digest": source.get("warc-block-digest"), "block_digest": digest(body), "content_length": len(body), "error": None, "record": record})
     return out
 
 
-_DERIVED = pa.schema([(k, pa.string()) for k in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "source_block_digest", "block_digest")] + [("content_length", pa.int64()), ("record", pa.binary())])
+_DERIVED = pa.schema([(k, pa.string()) for k in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "source_block_digest", "block_digest")] + [("content_length", pa.int64()), ("error", pa.string()), ("record", pa.binary())])
 
 
 def derive(records: DataFrame, id_column: str = "page_id", record_column: str = "record") -> DataFrame:
-    """Two rows a response: its conversion and its metadata record, whole, with their main fields. Null records give none."""
+    """Two rows a response: its conversion and its metadata record, whole, with their main fields. Null records give none, broken
+    ones a row of type error."""
 
     def run(batches):
         for whole in batches:
@@ -133,8 +197,12 @@ def derive(records: DataFrame, id_column: str = "page_id", record_column: str =
                 rows, ids = [], []
                 for k, x in enumerate(batch.column(1).to_pylist()):
                     if x is not None:
-                        rows += derivatives(x)
-                        ids += [k, k]
+                        try:
+                            made = derivatives(x)
+                        except WarcError as e:
+                            made = [{"record_type": "error", "error": str(e)}]
+                        rows += made
+                        ids += [k] * len(made)
                 made = pa.RecordBatch.from_pylist(rows, schema=_DERIVED)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *made.columns], names=["__id", *_DERIVED.names])
 

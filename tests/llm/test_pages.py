@@ -114,3 +114,62 @@ def test_deep_unclosed_markup_takes_time_in_proportion():
         html.blocks_of("<div><span>x</b>" * n)
         took.append(time.process_time() - began)
     assert took[1] < 30 * took[0] + 0.5
+
+
+def http_record(payload, *headers):
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{h}\r\n" for h in headers) + "\r\n").encode() + payload
+    return warc.write_record("response", [("WARC-Record-ID", "<urn:x>"), ("WARC-Date", warc.DATE)], block)
+
+
+def text_of(record):
+    return warc.read_record(warc.derivatives(record)[0]["record"])[1].decode()
+
+
+def test_payload_codings_and_charsets():
+    import gzip
+    import zlib
+
+    page = "<p>Grüße aus Köln</p>"
+    raw = zlib.compressobj(wbits=-15)
+    chunked = b"5\r\n" + page.encode()[:5] + b"\r\n" + f"{len(page.encode()) - 5:x};x=y\r\n".encode() + page.encode()[5:] + b"\r\n0\r\n\r\n"
+    for record in (
+        http_record(page.encode()), http_record(gzip.compress(page.encode()), "Content-Encoding: gzip"), http_record(zlib.compress(page.encode()), "Content-Encoding: deflate"),
+        http_record(raw.compress(page.encode()) + raw.flush(), "Content-Encoding: deflate"), http_record(chunked, "Transfer-Encoding: chunked"), http_record(page.encode("latin-1"), "Content-Type: text/html; charset=ISO-8859-1"),
+        http_record(b"<meta charset='latin1'>" + page.encode("latin-1")), http_record(page.encode(), "Content-Type: text/html; charset=nonsense"), gzip.compress(http_record(page.encode())),
+    ):
+        assert text_of(record) == "Grüße aus Köln"
+
+
+def test_bad_records_are_rows(spark):
+    good = http_record(b"<p>fine</p>")
+    rows = [(1, good), (2, b"nonsense"), (3, good[:-30]), (4, http_record(b"x", "Content-Encoding: br")), (5, http_record(b"zz\r\n", "Transfer-Encoding: chunked")), (6, None), (7, b""), (8, b"\x1f\x8bxx")]
+    got = sorted((r.page_id, r.record_type, r.error is None) for r in warc.derive(spark.createDataFrame(rows, "page_id long, record binary")).collect())
+    assert got == [(1, "conversion", True), (1, "metadata", True), *((i, "error", False) for i in (2, 3, 4, 5, 7, 8))]
+
+
+def test_record_ids_tell_payloads_apart(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>one</p>"), (1, "http://a/", "<p>two</p>"), (1, "http://a/", "<p>two</p>"), (None, None, None)], "page_id long, url string, html string")
+    rows = warc.derived_digests(pages).collect()
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.record_id, set()).add(r.record_sha256)
+    assert len(rows) == 8 and len(by_id) == 6 and all(len(x) == 1 for x in by_id.values())
+
+
+def test_media_digests_against_a_plain_computation(spark):
+    import hashlib
+    import zlib
+
+    rows = [(1, "abc"), (2, "abc"), (3, None), (4, ""), (5, "x" * 64), (6, "é" * 5000), (None, "abc"), (1, "abc")]
+    got = ogg.media_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_text = {}
+    for r in got:
+        (text,) = {t for i, t in rows if i == r.doc_id}
+        data = (text or "").encode()
+        payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = ogg.encode(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert f"crc={zlib.crc32(payload):08x}" in r.feature and f"samples={len(payload)};" in r.feature
+        by_text.setdefault(text or "", set()).add((r.media_bytes, r.media_sha256, r.feature))
+    assert len(got) == len(rows) and all(len(x) == 1 for x in by_text.values())
