@@ -1,9 +1,10 @@
 """Operators on whole JSON documents. Nested documents have no built-in comparison in Spark, so these are Arrow-batched UDFs; for
-flat objects the built-in recipes in `collections` are faster."""
+flat objects the built-in recipes in `collections` are faster. Numbers are decimals with all their digits."""
 
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -44,15 +45,21 @@ def merge(a, b):
     return (a if isinstance(a, list) else [a]) + (b if isinstance(b, list) else [b])
 
 
+def read(document: str):
+    return json.loads(document, parse_float=Decimal, parse_int=Decimal)
+
+
 def text(x) -> str:
     """As jsonb is shown: members by length and bytes of their names, a space after : and ,."""
     if isinstance(x, dict):
         return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {text(x[k])}" for k in sorted(x, key=lambda k: (len(k.encode()), k))) + "}"
+    if isinstance(x, Decimal):
+        return format(x if x else abs(x), "f")
     return "[" + ", ".join(map(text, x)) + "]" if isinstance(x, list) else json.dumps(x, ensure_ascii=False)
 
 
 def _each(f, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else f(json.loads(x), json.loads(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+    return pd.Series([None if x is None or y is None else f(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())

@@ -50,7 +50,7 @@ def wide_sum(x: Column) -> Column:
 
 def exact_avg(x: Column) -> Column:
     """avg of integers is numeric: exact sum over count."""
-    return F.sum(x.cast("decimal(28,0)")) / F.count(x).cast("decimal(10,0)")
+    return F.sum(x.cast("decimal(28,0)")) / F.count(x).cast("decimal(20,0)")
 
 
 def nullif(a: Column, b: Column) -> Column:

@@ -8,9 +8,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def shown(x: Column) -> Column:
+    """A value as output functions show it: booleans as t and f (a cast to text spells them out)."""
+    return F.when(F.typeof(x) == "boolean", F.left(x.cast("string"), F.lit(1))).otherwise(x.cast("string"))
+
+
 def concat(*parts: Column) -> Column:
     """Nulls are skipped; all null gives the empty string (Spark's concat gives null)."""
-    return F.concat_ws("", *(p.cast("string") for p in parts))
+    return F.concat_ws("", *map(shown, parts))
+
+
+def float_to_text(x: Column) -> Column:
+    """double precision as text: no needless zeros, an exponent below 1e-4 and from 1e15 on, Infinity and NaN by name."""
+    plain = F.regexp_replace(F.regexp_replace(x.cast("string").try_cast("decimal(38,22)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    digits = F.regexp_replace(F.regexp_extract(x.cast("string"), r"^(-?\d+(?:\.\d+)?)E", 1), r"\.0$", "")
+    power = F.regexp_extract(x.cast("string"), r"E(-?\d+)$", 1)
+    signed = F.concat(F.when(F.startswith(power, F.lit("-")), F.lit("-")).otherwise(F.lit("+")), F.lpad(F.replace(power, F.lit("-"), F.lit("")), F.greatest(F.lit(2), F.char_length(F.replace(power, F.lit("-"), F.lit("")))), F.lit("0")))
+    size = F.abs(x)
+    special = F.when(F.isnan(x), F.lit("NaN")).when(size == float("inf"), F.when(x > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
+    return special.when(x == 0, F.when(F.startswith(x.cast("string"), F.lit("-")), F.lit("-0")).otherwise(F.lit("0"))).when((size >= 1e-4) & (size < 1e15), plain).otherwise(F.concat(digits, F.lit("e"), signed))
+
+
+def timestamp_to_text(x: Column, zone: bool = False) -> Column:
+    """Fractions of a second without needless zeros; with a time zone the session's offset (of whole hours) follows."""
+    whole = F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    part = F.regexp_replace(F.date_format(x, ".SSSSSS"), r"\.?0+$", "")
+    return F.concat(whole, part, F.replace(F.date_format(x, "xxx"), F.lit(":00"), F.lit(""))) if zone else F.concat(whole, part)
+
+
+def bytea_to_text(x: Column) -> Column:
+    return F.concat(F.lit("\\x"), F.lower(F.hex(x)))
+
+
+def to_text(x: Column, kind: str) -> Column:
+    """x::text for the named SQL type; types that Spark spells alike are cast."""
+    forms = {"double precision": float_to_text, "timestamp": timestamp_to_text, "timestamptz": lambda c: timestamp_to_text(c, True), "bytea": bytea_to_text, "bpchar": lambda c: F.rtrim(c.cast("string"), F.lit(" "))}
+    return forms.get(kind, lambda c: c.cast("string"))(x)
 
 
 def concat_strict(*parts: Column) -> Column:
@@ -117,6 +150,48 @@ def like_escape(text: Column, pattern: str, escape: str | None = None) -> Column
     return text.like(pattern) if escape is None else F.like(text, F.lit(pattern), F.lit(escape))
 
 
+#: Escapes and bracket expressions whose Java spelling differs.
+_ESCAPES = {"m": r"(?<!\w)(?=\w)", "M": r"(?<=\w)(?!\w)", "y": r"\b", "Y": r"\B", "A": r"\A", "Z": r"\z"}
+_CLASSES = {"alpha": r"\p{L}", "digit": r"\p{Nd}", "alnum": r"\p{L}\p{Nd}", "upper": r"\p{Lu}", "lower": r"\p{Ll}", "space": r"\s", "blank": r" \t", "punct": r"\p{Punct}", "cntrl": r"\p{Cntrl}", "graph": r"\p{Graph}", "print": r"\p{Print}", "xdigit": "0-9A-Fa-f"}
+
+
+def java_pattern(pattern: str) -> str:
+    """A POSIX (ARE) pattern in Java's dialect: $ is the very end, [:class:] and word escapes are translated, and [ and && inside
+    brackets are plain characters."""
+    out, at = [], 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\" and at + 1 < len(pattern):
+            out.append(_ESCAPES.get(pattern[at + 1], pattern[at : at + 2]))
+            at += 2
+        elif pattern.startswith(("[[:<:]]", "[[:>:]]"), at):
+            out.append(_ESCAPES["m" if pattern[at + 3] == "<" else "M"])
+            at += 7
+        elif c == "[":
+            end = at + 1 + pattern.startswith("^", at + 1)
+            end += pattern.startswith("]", end)  # a first ] is a member
+            inside = [pattern[at:end].replace("]", r"\]")]
+            while end < len(pattern) and pattern[end] != "]":
+                named = re.match(r"\[:(\w+):\]", pattern[end:])
+                if named:
+                    inside.append(_CLASSES[named[1]])
+                    end += named.end()
+                elif pattern[end] == "\\" and end + 1 < len(pattern):
+                    inside.append(pattern[end : end + 2])
+                    end += 2
+                else:
+                    inside.append("\\" + pattern[end] if pattern[end] in "[&" else pattern[end])
+                    end += 1
+            if end >= len(pattern):
+                raise ValueError("brackets [] not balanced")
+            out.append("".join(inside) + "]")
+            at = end + 1
+        else:
+            out.append(r"\z" if c == "$" else c)
+            at += 1
+    return "".join(out)
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """The ~ operator: a search in which . takes line breaks and ^ $ are the string's ends."""
-    return text.rlike(f"(?{'i' if ignore_case else ''}s){pattern}")
+    return text.rlike(f"(?{'i' if ignore_case else ''}s){java_pattern(pattern)}")

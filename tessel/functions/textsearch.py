@@ -1,36 +1,55 @@
 """Text search: lexemes with positions, queries parsed on the driver into Boolean expressions over a lexeme map.
 
-A vector is map<lexeme, array<position>>. The configuration `simple` lower-cases; `english` also drops stop words and strips
-the commonest endings (a light stemmer: plural, -ing, -ed, -ly), all by built-in functions.
+A vector is map<lexeme, array<position>>. The configuration `simple` lower-cases, by built-in functions; `english` also drops
+stop words and stems (Porter2), in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessel.functions.stemmer import stem
 
 #: English stop words.
 STOP = "i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been being have has had do does did a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
-_ENDINGS = [(r"(?<=[a-z]{3})ies$", "i"), (r"(?<=[^s])s$", ""), (r"(?<=[aeiouy][a-z]{0,8})ing$", ""), (r"(?<=[aeiouy][a-z]{0,8})ed$", ""), (r"(?<=[a-z]{3})ly$", "")]
+_STOP = frozenset(STOP)
 
 
-def lexeme(word: Column, config: str = "simple") -> Column:
-    word = F.lower(word)
-    if config == "english":
-        for ending, by in _ENDINGS:
-            word = F.regexp_replace(word, ending, by)
-    return word
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(lambda x: None if x is None else [stem(w) for w in x])
+
+
+def lexemes(words: Column, config: str = "simple") -> Column:
+    """An array of lower-case words as lexemes; the query side stems by the same function."""
+    return _stems(words) if config == "english" else words
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def _english(words: pd.Series) -> pd.Series:
+    def vector(row) -> dict | None:
+        if row is None:
+            return None
+        placed: dict[str, list[int]] = {}
+        for p, w in enumerate(row, 1):
+            if w not in _STOP:
+                placed.setdefault(stem(w), []).append(p)
+        return {w: placed[w] for w in sorted(placed)}
+
+    return words.map(vector)
 
 
 def to_tsvector(text: Column, config: str = "simple") -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))
     if config == "english":
-        placed = F.filter(placed, lambda x: ~x["w"].isin(STOP))
-    placed = F.transform(placed, lambda x: F.struct(lexeme(x["w"], config).alias("w"), x["p"].alias("p")))
-    keys = F.array_sort(F.array_distinct(F.transform(placed, lambda x: x["w"])))
+        return _english(words)
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))
+    keys = F.array_sort(F.array_distinct(words))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(placed, lambda x: x["w"] == k), lambda x: x["p"])))
 
 
@@ -39,7 +58,7 @@ def tsvector_rows(df, id_column: str, text_column: str, config: str = "simple"):
     words = df.select(id_column, F.posexplode(F.filter(F.split(F.lower(text_column), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("p", "w"))
     if config == "english":
         words = words.where(~F.col("w").isin(STOP))
-    out = words.select(id_column, lexeme(F.col("w"), config).alias("lexeme"), (F.col("p") + 1).alias("p"))
+    out = words.select(id_column, lexemes(F.array("w"), config)[0].alias("lexeme"), (F.col("p") + 1).alias("p"))
     return out.groupBy(id_column, "lexeme").agg(F.array_sort(F.collect_list("p")).alias("positions"))
 
 
@@ -64,17 +83,7 @@ def strip(vector: Column) -> Column:
 
 def _lexeme_of(word: str, config: str) -> str | None:
     word = word.lower()
-    if config == "english":
-        if word in STOP:
-            return None
-        for ending, by in _ENDINGS:
-            if "{0,8}" in ending:
-                tail = ending.rsplit(")", 1)[1].rstrip("$")
-                if word.endswith(tail) and re.search("[aeiouy]", word[: -len(tail)]):
-                    word = word[: -len(tail)]
-            else:
-                word = re.sub(ending, by, word)
-    return word
+    return word if config != "english" else None if word in STOP else stem(word)
 
 
 class Query:
@@ -87,6 +96,11 @@ class Query:
         count = lambda n: 0 if n is None else 1 if n[0] == "word" else 1 + sum(count(x) for x in n[1:] if isinstance(x, tuple))
         return count(self.node)
 
+    def words(self) -> list[str]:
+        """The lexemes of the query, in order."""
+        of = lambda n: [] if n is None else [n[1]] if n[0] == "word" else [w for x in n[1:] if isinstance(x, tuple) for w in of(x)]
+        return of(self.node)
+
     def matches_text(self, text: Column) -> Column:
         """The same answer without building a vector: one pass over the text's words (simple configuration, no phrases)."""
         words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
@@ -180,13 +194,48 @@ def websearch_to_tsquery(text: str, config: str = "simple") -> Query:
     return to_tsquery(" ".join(parts), config)
 
 
-def ts_rank(vector: Column, words: list[str], weight: float = 0.1) -> Column:
-    """Sum over the query's words of weight * (1 + 1/4 + 1/9 + ...) for their occurrences, over the number of words."""
+def _occurrences(vector: Column, word: str, weighted: bool) -> Column:
+    """(p, w) of each occurrence of a lexeme, in order."""
+    found = F.try_element_at(vector, F.lit(word))
+    if not weighted:
+        return F.transform(F.coalesce(found, F.array().cast("array<int>")), lambda p: F.struct(p.alias("p"), F.lit(WEIGHTS["D"]).alias("w")))
+    value = lambda x: F.coalesce(*(F.when(x["weight"] == k, F.lit(v)) for k, v in WEIGHTS.items()))
+    return F.transform(F.coalesce(found, F.array().cast("array<struct<position:int,weight:string>>")), lambda x: F.struct(x["position"].alias("p"), value(x).alias("w")))
+
+
+def _met(a: Column, b: Column) -> Column:
+    """(d, w): distance and product of weights of each occurrence of one word with each of another."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(F.abs(x["p"] - y["p"]).alias("d"), (x["w"] * y["w"]).alias("w")))))
+
+
+def _near(d: Column) -> Column:
+    return F.when(d > 100, F.lit(1e-30)).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+
+
+def ts_rank(vector: Column, query: Query | list[str], weighted: bool = False) -> Column:
+    """The rank of a vector for a query (or for any of some words). weighted: the vector is one of setweight's.
+
+    Words combined by & or <-> count by the distance of their occurrences, all others by their number: each word's weights over
+    the squares of their turns, the largest weight taken first, over pi^2 / 6.
+    """
+    words = list(dict.fromkeys(query if isinstance(query, list) else query.words()))
+    together = isinstance(query, Query) and query.node is not None and query.node[0] in ("and", "phrase") and len(words) > 1
+    if not words:
+        return F.lit(0.0)
+    seen = [_occurrences(vector, w, weighted) for w in words]
+    if together:
+        rest = F.lit(1.0)
+        for i, a in enumerate(seen):
+            for b in seen[:i]:
+                rest = rest * F.aggregate(F.filter(_met(a, b), lambda x: x["d"] > 0), F.lit(1.0), lambda acc, x: acc * (1 - F.sqrt(x["w"] * _near(x["d"]))))
+        return F.when(rest == 1.0, F.lit(1e-20)).otherwise(1 - rest)
     total = F.lit(0.0)
-    for w in words:
-        seen = F.coalesce(F.size(F.try_element_at(vector, F.lit(w))), F.lit(0))
-        total = total + F.when(seen > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(seen, F.lit(1))), F.lit(0.0), lambda acc, i: acc + weight / (i * i))).otherwise(0.0)
-    return total / max(1, len(words))
+    for own in seen:
+        top = F.array_max(F.transform(own, lambda x: x["w"]))
+        first = F.array_position(F.transform(own, lambda x: x["w"]), top)
+        squares = F.aggregate(F.transform(own, lambda x, i: x["w"] / ((i + 1) * (i + 1))), F.lit(0.0), lambda acc, x: acc + x)
+        total = total + F.when(F.size(own) > 0, (top + squares - top / (first * first)) / 1.64493406685).otherwise(0.0)
+    return total / len(words)
 
 
 def ts_headline(text: Column, words: list[str], start: str = "<b>", stop: str = "</b>") -> Column:

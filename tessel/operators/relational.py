@@ -5,15 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """spark.checkpoint.dir, or in local mode a temporary folder where that is unset."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessel-work").rstrip("/")
 
 
@@ -24,20 +25,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Checked by counting no further than the bound."""
-    return df.limit(rows + 1).count() <= rows
-
-
 # ---------------------------------------------------------------- subqueries
 
 
 def any_quantifier(x: Column, op: str, stats: DataFrame) -> tuple[Column, Column]:
     """(x op ANY (subquery), x op ALL (subquery)) from a one-row table of mn, mx, n and nn (nulls) that is cross joined.
 
-    op is one of < <= > >=; the answer is unknown when only a null could decide it.
+    The answer is unknown when only a null could decide it. = ANY and <> ALL need the rows themselves: see equals_any.
     """
     low, high = F.col("mn"), F.col("mx")
+    if op in ("=", "<>"):  # of these only = ALL and <> ANY can be told from the extremes
+        same = F.when(F.col("n") == 0, True).when(x.isNull(), F.lit(None).cast("boolean")).when((low != x) | (high != x), False).when(F.col("nn") > 0, F.lit(None).cast("boolean")).otherwise(True)
+        return (F.lit(None).cast("boolean"), same) if op == "=" else (~same, F.lit(None).cast("boolean"))
     test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
     easy, hard = (low, high) if op.startswith(">") else (high, low)
     unknown = F.lit(None).cast("boolean")
@@ -46,6 +45,16 @@ def any_quantifier(x: Column, op: str, stats: DataFrame) -> tuple[Column, Column
     return some, every
 
 
+def equals_any(outer: DataFrame, x: str, inner: DataFrame, column: str, name: str) -> DataFrame:
+    """outer with name: x = ANY (SELECT column FROM inner); its negation is x <> ALL. One join on the distinct values, and a row
+    of counts for emptiness and nulls."""
+    stats = inner.agg(F.count("*").alias("__n"), (F.count("*") - F.count(column)).alias("__nn"))
+    found = outer.join(inner.select(F.col(column).alias("__v")).where("__v is not null").distinct(), F.col(x) == F.col("__v"), "left").join(F.broadcast(stats))
+    unknown = F.lit(None).cast("boolean")
+    answer = F.when(F.col("__n") == 0, False).when(F.col(x).isNull(), unknown).when(F.col("__v").isNotNull(), True).when(F.col("__nn") > 0, unknown).otherwise(False)
+    return found.withColumn(name, answer).drop("__v", "__n", "__nn")
+
+
 def subquery_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("mn"), F.max(column).alias("mx"), F.count("*").alias("n"), (F.count("*") - F.count(column)).alias("nn"))
 
@@ -60,17 +69,47 @@ def array_subquery(outer: DataFrame, inner: DataFrame, on: str, value: str, name
 # ---------------------------------------------------------------- aggregates
 
 
-def array_agg(x: Column, *order: Column) -> Column:
-    """Keeps nulls, orders by the given keys (ascending, nulls last), is null for no rows; ties are ordered by the value."""
-    keyed = [k for key in order for k in (key.isNull(), key)]
-    whole = F.collect_list(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keyed)), x.alias("x")))
-    return F.when(F.count(F.lit(1)) > 0, F.transform(F.array_sort(whole) if order else whole, lambda s: s["x"]))
+@dataclass(frozen=True)
+class Key:
+    """A sort key inside an aggregate. Nulls come last, or first if descending, unless nulls_first says otherwise."""
+
+    column: Column
+    descending: bool = False
+    nulls_first: bool | None = None
+
+
+def _entry(x: Column, order: tuple[Column | Key, ...]) -> Column:
+    """(null flag, key) of each sort key, then the value."""
+    keys = [k if isinstance(k, Key) else Key(k) for k in order]
+    flags = [k.column.isNotNull() if (k.descending if k.nulls_first is None else k.nulls_first) else k.column.isNull() for k in keys]
+    return F.struct(*(c.alias(f"k{i}{n}") for i, (k, flag) in enumerate(zip(keys, flags, strict=True)) for n, c in (("n", flag), ("", k.column))), x.alias("x"))
 
 
-def string_agg(x: Column, delimiter: str, *order: Column) -> Column:
+def _in_order(whole: Column, order: tuple[Column | Key, ...]) -> Column:
+    down = [isinstance(k, Key) and k.descending for k in order]
+    if not any(down):
+        return F.array_sort(whole) if order else whole
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.when(F.lit(False), 0)
+        for i, desc in enumerate(down):
+            out = out.when(a[f"k{i}n"] != b[f"k{i}n"], F.when(b[f"k{i}n"], -1).otherwise(1))
+            less, more = (1, -1) if desc else (-1, 1)
+            out = out.when(a[f"k{i}"] < b[f"k{i}"], less).when(a[f"k{i}"] > b[f"k{i}"], more)
+        return out.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0)
+
+    return F.array_sort(whole, compare)
+
+
+def array_agg(x: Column, *order: Column | Key) -> Column:
+    """Keeps nulls, orders by the given keys, is null for no rows; ties are ordered by the value."""
+    return F.when(F.count(F.lit(1)) > 0, F.transform(_in_order(F.collect_list(_entry(x, order)), order), lambda s: s["x"]))
+
+
+def string_agg(x: Column, delimiter: str, *order: Column | Key) -> Column:
     """Nulls are skipped; null if nothing is left."""
-    whole = F.collect_list(F.when(x.isNotNull(), F.struct(*(k.alias(f"k{i}") for i, k in enumerate(order)), x.alias("x"))))
-    return F.when(F.count(x) > 0, F.array_join(F.transform(F.array_sort(whole) if order else whole, lambda s: s["x"]), delimiter))
+    whole = F.collect_list(F.when(x.isNotNull(), _entry(x, order)))
+    return F.when(F.count(x) > 0, F.array_join(F.transform(_in_order(whole, order), lambda s: s["x"]), delimiter))
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -96,16 +135,18 @@ def lockstep(df: DataFrame, **arrays: Column) -> DataFrame:
 
 def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000, every: int = 1, all_rows: bool = False) -> DataFrame:
     """WITH RECURSIVE by rounds: a step sees the rows that the last one added; UNION drops all rows seen before, UNION ALL none."""
-    done = written(seed if all_rows else seed.distinct())
-    fresh = done
-    for _ in range(rounds):
+    spark, root = seed.sparkSession, f"{shared_dir(seed.sparkSession)}/{uuid.uuid4().hex}"
+    rows = seed if all_rows else seed.distinct()
+    for n in range(rounds + 1):  # each round's rows are written once, to a folder of their own
+        rows.write.parquet(f"{root}/{n}")
+        fresh = spark.read.schema(seed.schema).parquet(f"{root}/{n}")
+        if fresh.isEmpty():
+            return spark.read.schema(seed.schema).parquet(*(f"{root}/{k}" for k in range(max(n, 1))))
         made = step(fresh)
         if not all_rows:
+            done = spark.read.schema(seed.schema).parquet(*(f"{root}/{k}" for k in range(n + 1)))
             made = made.distinct().exceptAll(made.distinct().intersect(done))
-        fresh = written(made)
-        if fresh.isEmpty():
-            return done
-        done = written(done.unionByName(fresh))
+        rows = made.select(*seed.columns)
     raise RuntimeError(f"recursion did not end within {rounds} rounds")
 
 

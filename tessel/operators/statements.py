@@ -40,9 +40,11 @@ def update(target: DataFrame, where: Column, assign: dict[str, Column]) -> DataF
 
 
 def update_from(target: DataFrame, source: DataFrame, key: list[str], assign: dict[str, Column]) -> DataFrame:
-    """UPDATE .. FROM: source rows by key (one a key is taken), its columns named source_<column>."""
+    """UPDATE .. FROM: source rows by key, its columns named source_<column>. Of several rows with one key the smallest is taken
+    (any one is allowed, and this one is the same each time)."""
     rest = [c for c in source.columns if c not in key]
-    one = source.dropDuplicates(key).select(*key, F.lit(True).alias("__hit"), *(F.col(c).alias(f"source_{c}") for c in rest))
+    one = source.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__one")) if rest else source.select(*key).distinct()
+    one = one.select(*key, F.lit(True).alias("__hit"), *(F.col(f"__one.{c}").alias(f"source_{c}") for c in rest))
     x = target.join(one, key, "left")
     return x.select(*(F.when(F.col("__hit"), assign[c].cast(t)).otherwise(F.col(c)).alias(c) if c in assign else F.col(c) for c, t in target.dtypes))
 
@@ -60,9 +62,12 @@ def truncate(target: DataFrame) -> DataFrame:
 
 
 def merge(target: DataFrame, source: DataFrame, key: list[str], matched: dict[str, Column] | None, insert_new: bool = True) -> DataFrame:
-    """MERGE with one matched and one not matched clause; matched None deletes."""
-    kept = delete_using(target, source, key) if matched is None else update_from(target, source, key, matched)
-    return kept.unionByName(source.join(target.select(*key), key, "left_anti").select(*target.columns)) if insert_new else kept
+    """MERGE with one matched and one not matched clause; matched None deletes. Two source rows for one row of the target are an error."""
+    twice = F.when(F.count("*").over(_by(key)) > 1, F.raise_error(F.lit("MERGE command cannot affect row a second time")).cast("boolean")).otherwise(F.lit(True))
+    met = source.join(target.select(*key).distinct(), key, "left_semi").withColumn("__once", twice).where("__once").drop("__once")
+    new = source.join(target.select(*key), key, "left_anti")
+    kept = delete_using(target, met, key) if matched is None else update_from(target, met, key, matched)
+    return kept.unionByName(new.select(*target.columns)) if insert_new else kept
 
 
 def violations(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (), checks: dict[str, Column] | None = None, references: tuple[str, DataFrame, str] | None = None) -> DataFrame:

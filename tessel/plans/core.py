@@ -205,6 +205,20 @@ def _(t):
     return t.values("(1), (3), (9), (NULL)", "x").crossJoin(F.broadcast(R.subquery_stats(t.values("(2), (5), (NULL)", "y"), "y"))).select("x", some.alias("some"), every.alias("every"))
 
 
+@query("subquery_equals_any", "SELECT x, x = ANY (SELECT y FROM (VALUES (2), (5), (NULL)) AS w(y)) AS some, x <> ALL (SELECT y FROM (VALUES (2), (5), (NULL)) AS w(y)) AS none, x = ANY (SELECT n_regionkey FROM nation WHERE n_nationkey > 99) AS empty, x <> ALL (SELECT n_regionkey FROM nation) AS lost FROM (VALUES (1), (5), (9), (NULL)) AS v(x)")
+def _(t):
+    x, y = t.values("(1), (5), (9), (NULL)", "x"), t.values("(2), (5), (NULL)", "y")
+    x = R.equals_any(R.equals_any(x, "x", y, "y", "some"), "x", t.nation.where("n_nationkey > 99"), "n_regionkey", "empty")
+    return R.equals_any(x, "x", t.nation, "n_regionkey", "found").select("x", "some", (~F.col("some")).alias("none"), "empty", (~F.col("found")).alias("lost"))
+
+
+@query("subquery_equals_all", "SELECT x, x = ALL (SELECT y FROM (VALUES (5), (5)) AS w(y)) AS every, x <> ANY (SELECT y FROM (VALUES (5), (NULL)) AS w(y)) AS other FROM (VALUES (1), (5), (NULL)) AS v(x)")
+def _(t):
+    x, one, two = t.values("(1), (5), (NULL)", "x"), R.subquery_stats(t.values("(5), (5)", "y"), "y"), R.subquery_stats(t.values("(5), (NULL)", "y"), "y")
+    every = x.crossJoin(F.broadcast(one)).select("x", R.any_quantifier(F.col("x"), "=", one)[1].alias("every"))
+    return every.crossJoin(F.broadcast(two)).select("x", "every", R.any_quantifier(F.col("x"), "<>", two)[0].alias("other"))
+
+
 sql_query("subquery_scalar", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM {orders})")
 sql_query("subquery_scalar_empty", "SELECT r_name, (SELECT n_name FROM {nation} WHERE n_nationkey = -1) AS missing FROM {region}")
 sql_query("subquery_correlated", "SELECT c_custkey, (SELECT count(*) FROM {orders} AS o WHERE o.o_custkey = c.c_custkey) AS n FROM {customer} AS c")
@@ -257,6 +271,12 @@ def _(t):
     return v.groupBy("g").agg(R.array_agg(F.col("x"), F.col("k")).alias("xs"))
 
 
+@query("aggregate_order_keys", "SELECT string_agg(x, ',' ORDER BY k NULLS LAST, x) AS up, string_agg(x, ',' ORDER BY k DESC NULLS FIRST, x) AS down, string_agg(x, ',' ORDER BY k DESC NULLS LAST, x) AS last, list(x ORDER BY k NULLS FIRST, x DESC) AS xs FROM (VALUES (1, 'a'), (NULL, 'b'), (0, 'c'), (1, 'd')) AS v(k, x)")
+def _(t):
+    v, k, x = t.values("(1, 'a'), (NULL, 'b'), (0, 'c'), (1, 'd')", "k, x"), F.col("k"), F.col("x")
+    return v.agg(R.string_agg(x, ",", k).alias("up"), R.string_agg(x, ",", R.Key(k, True)).alias("down"), R.string_agg(x, ",", R.Key(k, True, False)).alias("last"), R.array_agg(x, R.Key(k, nulls_first=True), R.Key(x, True)).alias("xs"))
+
+
 @query("aggregate_string_agg", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def _(t):
     return t.conversations.groupBy("conv_id").agg(R.string_agg(F.col("role"), ">", F.col("turn")).alias("roles"), F.sum(F.char_length("text")).alias("chars"))

@@ -254,7 +254,23 @@ def _(t):
     return v.select("id", TS.plainto_tsquery("quick brown").matches(v1).alias("plain"), TS.phraseto_tsquery("quick brown").matches(v1).alias("phrase"), TS.websearch_to_tsquery("quick -lazy").matches(v1).alias("web"), F.lit(TS.plainto_tsquery("quick brown").numnode()).alias("nodes"), english.matches(e).alias("english"))
 
 
-@query("text_search_rank_headline", "SELECT CAST(0.125 AS DOUBLE) AS rank, 'a <b>Fox</b> and a <b>fox</b>' AS head, ['a', 'and', 'fox'] AS lexemes")
+@query("text_search_rank", "SELECT id, CASE n WHEN 0 THEN 0 WHEN 1 THEN round(0.1 / 1.64493406685, 6) ELSE round(0.125 / 1.64493406685, 6) END AS one, CASE WHEN d IS NULL THEN 0 ELSE round(sqrt(0.01 / (1.005 + 0.05 * exp(d / 1.5 - 2))), 6) END AS both_, CASE n WHEN 0 THEN 0 WHEN 1 THEN round(1 / 1.64493406685, 6) ELSE round(1.25 / 1.64493406685, 6) END AS heavy FROM (VALUES (1, 2, NULL), (2, 1, 3), (3, 1, 1), (4, 0, NULL)) AS v(id, n, d)")
+def _(t):
+    """One word by its occurrences, two words by their distance, and the first again with weight A."""
+    v = t.values("(1, 'a Cat and a cat'), (2, 'fat cats and fat rats'), (3, 'rats, cats'), (4, 'dogs')", "id, s").select("id", TS.to_tsvector(F.col("s"), "english").alias("v"))
+    cat, both = TS.to_tsquery("cats", "english"), TS.to_tsquery("cats & rats", "english")
+    ranks = {"one": TS.ts_rank(F.col("v"), cat), "both_": TS.ts_rank(F.col("v"), both), "heavy": TS.ts_rank(TS.setweight(F.col("v"), "A"), cat, True)}
+    return v.select("id", *(F.round(x, 6).alias(n) for n, x in ranks.items()))
+
+
+@query("text_search_stems", "SELECT * FROM (VALUES ('consistency', 'consist'), ('generously', 'generous'), ('hoping', 'hope'), ('hopping', 'hop'), ('relational', 'relat'), ('skies', 'sky'), ('knightly', 'knight'), ('flies', 'fli')) AS v(word, stem)")
+def _(t):
+    """Words and stems from the stemmer's published vocabulary."""
+    v = t.values("('consistency'), ('generously'), ('hoping'), ('hopping'), ('relational'), ('skies'), ('knightly'), ('flies')", "word")
+    return v.select("word", F.map_keys(TS.to_tsvector(F.col("word"), "english"))[0].alias("stem"))
+
+
+@query("text_search_rank_headline", "SELECT CAST(0.075991 AS DOUBLE) AS rank, 'a <b>Fox</b> and a <b>fox</b>' AS head, ['a', 'and', 'fox'] AS lexemes")
 def _(t):
     s = F.lit("a Fox and a fox")
     v = TS.to_tsvector(s)
@@ -275,6 +291,28 @@ def _(t):
     return v.select("id", C.polygon_has_point(poly, F.col("px"), F.col("py")).alias("inside"), C.polygons_overlap(poly, other).alias("overlap"))
 
 
+# ---------------------------------------------------------------- output forms
+
+
+@query("text_of_floats", "SELECT * FROM (VALUES (1, '1'), (2, '0.5'), (3, '1e+15'), (4, '123456789012345'), (5, '1e-05'), (6, '0.0001'), (7, '-2.5e+20'), (8, 'NaN'), (9, 'Infinity'), (10, '-Infinity'), (11, '0'), (12, '12345678.25'), (13, NULL)) AS v(id, s)")
+def _(t):
+    v = t.values("(1, 1D), (2, 0.5D), (3, 1e15D), (4, 123456789012345D), (5, 1e-5D), (6, 1e-4D), (7, -2.5e20D), (8, double('NaN')), (9, double('Infinity')), (10, double('-Infinity')), (11, 0D), (12, 12345678.25D), (13, NULL)", "id, x")
+    return v.select("id", S.to_text(F.col("x"), "double precision").alias("s"))
+
+
+@query("text_of_columns", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS ts, regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), '\\.?0+$', '') AS price, '\\x' || lower(hex(encode(o_orderstatus))) AS bytes, CASE WHEN o_orderstatus = 'F' THEN 'tx' ELSE 'fx' END AS flag FROM orders")
+def _(t):
+    flag = S.concat(F.col("o_orderstatus") == "F", F.lit("x"))
+    return t.orders.select("o_orderkey", S.to_text(F.col("o_orderdate"), "timestamp").alias("ts"), S.to_text(F.col("o_totalprice"), "double precision").alias("price"), S.to_text(F.encode("o_orderstatus", "UTF-8"), "bytea").alias("bytes"), flag.alias("flag"))
+
+
+@query("regex_posix", "SELECT * FROM (VALUES ('ab', true, true, true, false), ('ab' || chr(10), false, true, true, false), ('a]b1', false, true, true, true), ('', false, false, false, false)) AS v(s, ends, alpha, word, bracket)")
+def _(t):
+    s = F.col("s")
+    v = t.values("('ab'), (concat('ab', char(10))), ('a]b1'), ('')", "s")
+    return v.select("s", S.matches(s, "b$").alias("ends"), S.matches(s, "^[[:alpha:]]").alias("alpha"), S.matches(s, r"\mA", True).alias("word"), S.matches(s, "[]x][^[:digit:]]").alias("bracket"))
+
+
 # ---------------------------------------------------------------- identifiers and session
 
 query("uuid_random")(lambda t: t.region.select("r_regionkey", F.uuid().rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4").alias("v4")))

@@ -189,21 +189,21 @@ def _stream(t):
 @query("streaming_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(t):
     events, folder = _stream(t)
-    out = EV.run_once(EV.windowed_counts(events), "tessel_tumbling", folder)
+    out = EV.run_once(EV.windowed_counts(events), folder)
     return out.select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("streaming_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, s")
 def _(t):
     events, folder = _stream(t)
-    out = EV.run_once(EV.sessions(events), "tessel_sessions", folder)
+    out = EV.run_once(EV.sessions(events), folder)
     return out.select("user_id", F.col("w.start").alias("start"), "n")
 
 
 @query("streaming_deduplicate", "SELECT DISTINCT event_id, user_id FROM events")
 def _(t):
     events, folder = _stream(t)
-    return EV.run_once(EV.distinct(events, ["event_id", "user_id"]), "tessel_dedup", folder, "append")
+    return EV.run_once(EV.distinct(events, ["event_id", "user_id"]), folder, "append")
 
 
 @query("streaming_learner", "SELECT event_id AS k, user_id AS v FROM events WHERE event_type <> 'click'")

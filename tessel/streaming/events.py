@@ -32,11 +32,22 @@ def without_repeats(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the streaming engine, into a table in memory (for tests and small results)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_once(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """All that is there now, through the streaming engine, into Parquet files of the folder, never through the driver.
+
+    In append mode each micro-batch is a part of its own, written anew if it is tried again. In complete mode a batch is the
+    whole result so far, so only the last one is read.
+    """
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        done.append(number)
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = df.sparkSession
+    paths = [f"{folder}/rows/batch={n}" for n in (sorted(set(done)) if mode == "append" else done[-1:])]
+    return spark.read.schema(df.schema).parquet(*paths) if paths else spark.createDataFrame([], df.schema)
 
 
 def apply_changes(changes: DataFrame, path: str, checkpoint: str):

@@ -98,3 +98,22 @@ def test_columnar_round_trip(spark, tmp_path):
     assert TB.read_csv(spark, str(tmp_path / "c"), "id long, p long, s string").count() == TB.read_json(spark, str(tmp_path / "j"), "id long").count() == TB.read_orc(spark, str(tmp_path / "o")).count() == 1000
     with pytest.raises(Exception, match="no partition"):
         TB.route(df, "p", lists={"a": [0, 1]}).collect()
+
+
+def test_merge_with_two_source_rows_for_one_target_is_an_error(spark):
+    from tessel.operators import statements as ST
+
+    target = spark.createDataFrame([(1, 1), (2, 2)], "k int, v int")
+    assign = {"v": F.col("source_v")}
+    with pytest.raises(Exception, match="second time"):
+        ST.merge(target, spark.createDataFrame([(1, 5), (1, 6)], "k int, v int"), ["k"], assign).collect()
+    new = spark.createDataFrame([(1, 5), (3, 6), (3, 7)], "k int, v int")
+    assert sorted(map(tuple, ST.merge(target, new, ["k"], assign).collect())) == [(1, 5), (2, 2), (3, 6), (3, 7)]
+
+
+def test_jsonb_keeps_digits(spark):
+    from tessel.functions import jsonb as J
+
+    v = spark.createDataFrame([("[12345678901234567890.123, 1e2, 1.50, -0.0]", '{"a": 100}')], "a string, b string")
+    assert v.select(J.jsonb_concat("a", "b")).first()[0] == '[12345678901234567890.123, 100, 1.50, 0.0, {"a": 100}]'
+    assert v.select(J.jsonb_contains("a", F.lit("[100.0]"))).first()[0]
