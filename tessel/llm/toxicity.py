@@ -47,7 +47,7 @@ def features_of(word: str) -> tuple[str, ...]:
 class _Features(dict):
     """The features that a white-space delimited token brings, remembered; forgets all beyond `most` tokens."""
 
-    def __init__(self, among=None, most: int = 400_000):
+    def __init__(self, among=None, most: int = 200_000):
         super().__init__()
         self.among, self.most = among, most
 
@@ -175,12 +175,19 @@ def _fitting(penalty: float):
     return run
 
 
+def _slices(batches, rows: int = 256):
+    """Batches in runs of a few rows, so that what is made from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def score(documents: DataFrame, model: Model, columns: list[str] | None = None, name: str = "score") -> DataFrame:
     """The given columns (by default doc_id) and each text's score."""
     columns = ["doc_id"] if columns is None else columns
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             made = [model.score(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64())], names=[*(f"__c{i}" for i in range(len(columns))), "__score"])
 
@@ -196,5 +203,10 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is below the threshold, all their columns."""
-    out = score(documents, learn(documents, labels), documents.columns, "__toxicity")
-    return out.where(F.col("__toxicity") < threshold).drop("__toxicity")
+    model, at = learn(documents, labels), documents.columns.index("text")
+
+    def run(batches):
+        for batch in _slices(batches):
+            yield batch.filter(pa.array([model.score(x) < threshold for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
