@@ -1,16 +1,16 @@
 """Suffix-array dedup: remove every byte covered by a LENGTH-byte string that also starts anywhere else.
 
 Candidates. Each LENGTH-byte window of a text is filed under its anchor, the leftmost GRAM-byte string inside it with the
-smallest hash. Equal windows have equal anchors at equal places, so equal windows always meet. Consecutive windows with
+smallest hash (of a fixed number of bits, whatever the text's length). Equal windows have equal anchors at equal places, so equal windows always meet. Consecutive windows with
 one anchor form a block; about one suffix in ninety bytes is an anchor, and only those suffixes are shuffled, as hashes.
 An anchor seen once is dropped; if all blocks of an anchor are equal, they are repeated as a whole.
 
 Sorting. Where an anchor has different blocks, their bytes are fetched once for each different block, and two suffix
-orders are made by deep-shallow sorting: of what follows the anchor, and of what precedes it read backwards. Multikey
-quicksort orders by eight-byte symbols down to a shallow depth; ranges that agree so far (and small ranges) go to a blind
-trie, which finds a suffix's place from branching bytes alone and one comparison. The window that starts u bytes before
+orders are made by deep-shallow sorting: of the anchor and what follows it, and of the anchor and what precedes it read
+backwards. Multikey quicksort orders by eight-byte symbols down to a shallow depth (SHALLOW of them, the anchor being the first
+three); ranges that agree so far (and small ranges) go to a blind trie, which finds a suffix's place from branching bytes alone and one comparison. The window that starts u bytes before
 the anchor is repeated if and only if another block is in the same run of both orders: longest common prefixes of at least
-LENGTH - u forwards and u backwards. Anchors with more than GROUP different blocks are spread by a digest of each window
+LENGTH - u forwards and u backwards. A task sorts some anchors at a time, so it holds no more than GROUP blocks twice. Anchors with more than GROUP different blocks are spread by a digest of each window
 instead (the same answer, by aggregation), so no group has to fit into a task.
 
 Texts are UTF-8 bytes, null is empty. Texts below LENGTH bytes keep all. Equal texts have equal results, so texts are
@@ -20,7 +20,6 @@ bounded by the longest text and the partition size. Empty tables give empty resu
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LENGTH, GRAM, GROUP, SHALLOW, SMALL, CHUNK = 200, 24, 20_000, 4, 24, 2 << 20
+LENGTH, GRAM, GROUP, SHALLOW, SMALL, CHUNK = 200, 24, 20_000, 8, 24, 2 << 20
+#: Anchors are ranked by the hash bits above these, which hold the place in the chunk: as many for short texts as for long ones.
+PLACE_BITS = 34
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -67,7 +68,7 @@ def blocks_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     np.cumsum(_LETTER[data] * down[:n], out=sums[1:])
     grams = (sums[gram:] - sums[:-gram]) * up[: n - gram + 1]
     key = _mix(grams)
-    bits = _U(max(22, int(n).bit_length()))
+    bits = _U(PLACE_BITS)
     order = (key >> bits << bits) | np.arange(len(key), dtype=np.uint64)
     w = length - gram + 1
     rows = -(-len(order) // w)
@@ -199,19 +200,19 @@ def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order, dtype=np.int64), np.array(lcps, dtype=np.int64)
 
 
-def repeated(grams: np.ndarray, counts: np.ndarray, offsets: np.ndarray, contents: list[bytes], length: int = LENGTH) -> np.ndarray:
+def repeated(counts: np.ndarray, offsets: np.ndarray, contents: list[bytes], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """For different blocks of any anchors, a table of blocks by windows: is the block's window w also in another block?"""
     n = len(contents)
     out = np.zeros((n, int(counts.max()) if n else 0), dtype=bool)
-    names = [int(g).to_bytes(8, "big", signed=True) for g in grams]
-    after, after_lcp = deep_shallow([g + c[o:] for g, c, o in zip(names, contents, offsets.tolist(), strict=True)])
-    before, before_lcp = deep_shallow([g + c[:o][::-1] for g, c, o in zip(names, contents, offsets.tolist(), strict=True)])
+    places = offsets.tolist()
+    after, after_lcp = deep_shallow([c[o:] for c, o in zip(contents, places, strict=True)])
+    before, before_lcp = deep_shallow([c[o : o + gram] + c[:o][::-1] for c, o in zip(contents, places, strict=True)])
     run = np.empty((2, n), dtype=np.int64)
     for u in range(length):
         have = np.flatnonzero((offsets >= u) & (offsets - u < counts))
         if len(have) > 1:
-            run[0, after] = np.cumsum(after_lcp < 8 + length - u)
-            run[1, before] = np.cumsum(before_lcp < 8 + u)
+            run[0, after] = np.cumsum(after_lcp < length - u)
+            run[1, before] = np.cumsum(before_lcp < gram + u)
             both = run[0, have] * (n + 1) + run[1, have]
             _, which, many = np.unique(both, return_inverse=True, return_counts=True)
             hit = have[many[which] > 1]
@@ -227,17 +228,30 @@ def _runs(row: np.ndarray) -> list[dict]:
 _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All anchors of a partition together: gram, whole, count, offset, times, content -> gram, whole, runs of repeated windows."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    gram, whole, count, offset, times = (t.column(c).to_numpy() for c in ("gram", "whole", "count", "offset", "times"))
-    found = repeated(gram, count.astype(np.int64), offset.astype(np.int64), t.column("content").to_pylist(), length)
-    found |= ((times > 1)[:, None]) & (np.arange(found.shape[1])[None, :] < count[:, None])
-    keep = np.flatnonzero(found.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(whole[keep]), pa.array([_runs(found[i]) for i in keep], _RUNS)], names=["gram", "whole", "runs"])
+def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, most: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """gram, whole, count, offset, times, content, in order of gram -> gram, whole, runs of repeated windows. Whole anchors are
+    taken until there are `most` blocks, so what is held stays small."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        gram, whole, count, offset, times = (t.column(c).to_numpy() for c in ("gram", "whole", "count", "offset", "times"))
+        found = repeated(count.astype(np.int64), offset.astype(np.int64), t.column("content").to_pylist(), length)
+        found |= ((times > 1)[:, None]) & (np.arange(found.shape[1])[None, :] < count[:, None])
+        keep = np.flatnonzero(found.any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(whole[keep]), pa.array([_runs(found[i]) for i in keep], _RUNS)], names=["gram", "whole", "runs"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if batch.num_rows:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            if held.num_rows >= most:
+                gram = held.column("gram").to_numpy()
+                last = int(np.searchsorted(gram, gram[-1]))  # where the anchor begins that may go on
+                if last:
+                    yield done(held.slice(0, last))
+                    held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield done(held)
 
 
 def _spread_groups(rows: DataFrame, length: int) -> DataFrame:
@@ -274,7 +288,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gro
     different = long.join(wanted, "k").select("k", "xs", "b")
     cut = different.select(F.explode("xs").alias("x"), "b").select("x.*", F.expr(f"substring(b, x.start + 1, x.count - 1 + {length})").alias("content"))
     cut = scratch.write(cut.groupBy("gram", "whole", "count", "offset", "times", "large").agg(F.min("content").alias("content")), "contents")
-    small = cut.where("not large").select("gram", "whole", "count", "offset", "times", "content").repartition("gram").mapInArrow(lambda x: _sorted_groups(x, length), "gram bigint, whole bigint, runs array<struct<a: int, b: int>>")
+    small = cut.where("not large").select("gram", "whole", "count", "offset", "times", "content").repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda x: _sorted_groups(x, length, group), "gram bigint, whole bigint, runs array<struct<a: int, b: int>>")
     runs = scratch.write(small.unionByName(_spread_groups(cut.where("large"), length)), "runs")
     partly = mixed.join(runs, ["gram", "whole"]).select("k", "start", F.explode("runs").alias("r")).select("k", (F.col("start") + F.col("r.a")).alias("start"), (F.col("start") + F.col("r.b") + length).alias("end"))
     spans = alike.unionByName(partly).distinct().groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -317,22 +331,3 @@ def removal_digests(documents: DataFrame) -> DataFrame:
     out = remove(documents, Scratch(documents.sparkSession))
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
     return out.select("doc_id", (F.length("kept") + gone).cast("bigint").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """The definition, for tests: (n_bytes, n_removed, n_spans, sha256 of the rest) of each text."""
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
-    out = []
-    for t in texts:
-        gone = np.zeros(len(t) + 2, dtype=np.int64)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                gone[i + 1] += 1
-                gone[i + length + 1] -= 1
-        mask = np.cumsum(gone)[1 : len(t) + 1] > 0
-        kept = bytes(b for b, m in zip(t, mask, strict=True) if not m)
-        out.append((len(t), int(mask.sum()), int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return out

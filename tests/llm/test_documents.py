@@ -1,8 +1,10 @@
 """Every document operator on awkward rows: nulls in any column, empty, blank and very long texts, repeated rows, no rows, and
 columns whose names clash with the operators' own."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,18 +58,48 @@ def test_toxicity(spark, docs, none, labels, texts):
     assert all(r.score == pytest.approx(1e-9) for r in empty) and toxicity.clean(docs, labels.limit(0)).columns == docs.columns
 
 
+def brute_force(texts: list[bytes], length: int = suffix.LENGTH) -> list[tuple[int, int, int, str]]:
+    """The definition, for tests: (n_bytes, n_removed, n_spans, sha256 of the rest) of each text."""
+    seen: dict[bytes, int] = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 2, dtype=np.int64)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i + 1] += 1
+                gone[i + length + 1] -= 1
+        mask = np.cumsum(gone)[1 : len(t) + 1] > 0
+        kept = bytes(b for b, m in zip(t, mask, strict=True) if not m)
+        out.append((len(t), int(mask.sum()), int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 def test_suffix(docs, none, texts):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removal_digests(docs).collect())
-    assert got == sorted(suffix.brute_force([(t or "").encode() for _, t in texts]))
+    assert got == sorted(brute_force([(t or "").encode() for _, t in texts]))
     assert suffix.removal_digests(none).count() == 0
 
 
 def test_suffix_hot_groups_are_spread(docs, texts):
     out = suffix.remove(docs, Scratch(docs.sparkSession), group=1)
-    want = sorted(n - gone for n, gone, _, _ in suffix.brute_force([(t or "").encode() for _, t in texts]))
+    want = sorted(n - gone for n, gone, _, _ in brute_force([(t or "").encode() for _, t in texts]))
     assert sorted(len(r.kept) for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("group", [1, 40, 20_000])
+def test_suffix_of_passages_in_many_surroundings(spark, group):
+    """Passages with edges of all kinds, periods and near repeats; groups spread, sorted a few anchors at a time, and at once."""
+    r = random.Random(14)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [say(260), say(199), say(200), say(201), "xy" * 150]
+    texts = [say(r.randint(0, 150)) + r.choice(passages) + say(r.randint(0, 150)) + r.choice(["", r.choice(passages)]) for _ in range(120)] + [say(900)] * 3
+    out = suffix.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), Scratch(spark), group=group)
+    assert [(sum(x.end - x.start for x in s.spans), len(s.spans)) for s in sorted(out.collect())] == [(gone, n) for _, gone, n, _ in brute_force([t.encode() for t in texts])]
+
+
 def brute_components(texts, size, num, den):
     sets = []
     for _, t in texts:
