@@ -7,6 +7,14 @@ written and read again before the next one starts.
 4. benchmark decontamination: documents with an aligned benchmark item go.
 5. mixing: documents get the rate that brings their domains to the target weights (mix_domain, mix_tokens, mix_rate);
    those with rate zero go.
+
+Every stage but the last returns the columns of its documents, further ones included; the last adds its three, in place of columns
+of their names. Null and empty texts: kept by stages 1 to 4 unless the model scores the empty text as toxic; they have no
+lines, no shingles and no seeds, and the prior's rate. Very long texts are handled whole. Repeated rows (equal id and text) lose
+the same lines and leave one row in stage 3 if they have words. Ties: the smallest id (nulls last), then the text's digest, wins.
+Null ids are kept like others. Empty tables pass through.
+
+Near copies of whole documents lose the lines they share with the first copy in stage 2 already; stage 3 then sees what is left.
 """
 
 from __future__ import annotations

@@ -244,6 +244,7 @@ def _(t):
 # ---------------------------------------------------------------- aggregates
 
 sql_query("aggregate_group", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS price, min(l_shipdate) AS first, max(l_shipdate) AS last FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
+sql_query("aggregate_many_groups", "SELECT l_partkey, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM {lineitem} GROUP BY l_partkey")
 sql_query("aggregate_ungrouped_empty", "SELECT count(*) AS n, count(r_name) AS c, min(r_name) AS m FROM {region} WHERE r_regionkey < 0")
 sql_query("aggregate_grouped_empty", "SELECT r_name, count(*) AS n FROM {region} WHERE r_regionkey < 0 GROUP BY r_name")
 sql_query("aggregate_group_position", "SELECT o_orderstatus AS s, CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM {orders} GROUP BY 1, 2")
