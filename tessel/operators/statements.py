@@ -87,6 +87,64 @@ def violations(df: DataFrame, not_null: list[str] = (), unique: list[list[str]]
     return out
 
 
+def enforce(df: DataFrame, not_null: list[str] = (), checks: dict[str, Column] | None = None, unique: list[list[str]] = ()) -> DataFrame:
+    """The rows, if all of them keep the constraints; else the first that is found to break one is an error with PostgreSQL's message."""
+    broken = [(F.col(c).isNull(), f'null value in column "{c}" violates not-null constraint') for c in not_null]
+    broken += [(~F.coalesce(c, F.lit(True)), f'new row violates check constraint "{n}"') for n, c in (checks or {}).items()]
+    broken += [((F.count("*").over(_by(key)) > 1) & F.concat(*(F.col(k).cast("string") for k in key)).isNotNull(), f"duplicate key value violates unique constraint on ({', '.join(key)})") for key in unique]
+    if not broken:
+        return df
+    ok = F.lit(True)
+    for test, message in broken:
+        ok = F.when(test, F.raise_error(F.lit(message)).cast("boolean")).otherwise(ok)
+    return df.withColumn("__ok", ok).where("__ok").drop("__ok")
+
+
+def delete_referenced(parent: DataFrame, child: DataFrame, gone: Column, key: str, foreign: str, action: str = "NO ACTION") -> tuple[DataFrame, DataFrame]:
+    """DELETE of parent rows under a foreign key with ON DELETE CASCADE, SET NULL, or NO ACTION / RESTRICT (an error if a child is left)."""
+    hit = parent.where(F.coalesce(gone, F.lit(False))).select(F.col(key).alias("__gone")).distinct()
+    left, met = delete(parent, gone), F.col(foreign) == F.col("__gone")
+    if action == "CASCADE":
+        return left, child.join(hit, met, "left_anti")
+    marked = child.join(hit, met, "left")
+    if action == "SET NULL":
+        return left, marked.withColumn(foreign, F.when(F.col("__gone").isNull(), F.col(foreign))).select(*child.columns)
+    error = F.when(F.col("__gone").isNotNull(), F.raise_error(F.lit("update or delete violates foreign key constraint")).cast("boolean")).otherwise(F.lit(True))
+    return left, marked.withColumn("__ok", error).where("__ok").select(*child.columns)
+
+
+def exclude(df: DataFrame, key: list[str], low: str, high: str) -> DataFrame:
+    """EXCLUDE (key WITH =, range WITH &&): rows whose half-open range overlaps an earlier one's of their key. Empty: it holds."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(*key).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+    return df.where(F.col(low) < F.col(high)).withColumn("__end", F.max(high).over(before)).where(F.col("__end") > F.col(low)).drop("__end")
+
+
+def alter(df: DataFrame, add: dict[str, Column] | None = None, drop: list[str] = (), rename: dict[str, str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
+    """ALTER TABLE: columns retyped (casts that fail are errors), dropped, renamed, and added with their defaults at the end."""
+    lost = [c for c in (*drop, *(rename or {}), *(types or {})) if c not in df.columns]
+    if lost:
+        raise ValueError(f'column "{lost[0]}" does not exist')
+    taken = [c for c in (add or {}) if c in df.columns and c not in drop]
+    if taken:
+        raise ValueError(f'column "{taken[0]}" of relation already exists')
+    kept = [F.col(c).cast((types or {})[c]).alias((rename or {}).get(c, c)) if c in (types or {}) else F.col(c).alias((rename or {}).get(c, c)) for c in df.columns if c not in drop]
+    return df.select(*kept, *(x.alias(c) for c, x in (add or {}).items()))
+
+
+class MaterializedView:
+    """A stored SELECT's rows; refresh() stores them anew in a folder of their own and then points to it."""
+
+    def __init__(self, plan, write):
+        self.plan, self.write = plan, write
+        self.rows = write(plan())
+
+    def refresh(self) -> DataFrame:
+        self.rows = self.write(self.plan())
+        return self.rows
+
+
 class Sequences:
     """nextval, currval, setval and lastval: counters of the driver's session."""
 

@@ -291,6 +291,48 @@ def _(t):
     return v.select("id", C.polygon_has_point(poly, F.col("px"), F.col("py")).alias("inside"), C.polygons_overlap(poly, other).alias("overlap"))
 
 
+# ---------------------------------------------------------------- zones, intervals, identifiers
+
+
+@query("date_trunc_zone", "SELECT event_id, date_trunc('day', timezone('America/New_York', CAST(ts AS TIMESTAMPTZ))) AS local_day, timezone('America/New_York', date_trunc('day', timezone('America/New_York', CAST(ts AS TIMESTAMPTZ)))) AT TIME ZONE 'UTC' AS day_start FROM events")
+def _(t):
+    ts = F.col("ts")
+    return t.events.select("event_id", D.date_trunc("day", D.at_time_zone(ts, "America/New_York")).alias("local_day"), D.trunc_in_zone("day", ts, "America/New_York").alias("day_start"))
+
+
+@query("interval_arithmetic", "SELECT o_orderkey, o_orderdate + INTERVAL 2 MONTH + INTERVAL 6 DAY + INTERVAL 90 MINUTE AS later FROM orders")
+def _(t):
+    step = D.interval_times(D.interval(1, 3, 45 * 60_000_000), 2)
+    return t.orders.select("o_orderkey", D.add(F.col("o_orderdate"), step).alias("later"))
+
+
+@query("interval_forms", "SELECT * FROM (VALUES (1, '1 year 2 mons 3 days 04:05:06', '1 year'), (2, '-00:00:01.5', '00:00:00'), (3, '1 mon', '00:00:00'), (4, '00:00:00', '00:00:00'), (5, '30:00:00', '00:00:00')) AS v(id, shown, year)")
+def _(t):
+    v = t.values("(1, 14, 3, 14706000000), (2, 0, 0, -1500000), (3, 1, 0, 0), (4, 0, 0, 0), (5, 0, 0, 108000000000)", "id, m, d, us").select("id", D.interval(F.col("m"), F.col("d"), F.col("us")).alias("i"))
+    return v.select("id", D.interval_text(F.col("i")).alias("shown"), D.interval_text(D.interval_trunc("year", F.col("i"))).alias("year"))
+
+
+@query("aggregate_interval_sum", "SELECT o_orderstatus, CAST(sum(o_custkey % 12) AS INTEGER) AS months, CAST(sum(o_custkey % 30) AS INTEGER) AS days FROM orders GROUP BY 1")
+def _(t):
+    x = t.orders.groupBy("o_orderstatus").agg(D.interval_sum(D.interval((F.col("o_custkey") % 12), (F.col("o_custkey") % 30))).alias("i"))
+    return x.select("o_orderstatus", F.col("i.months").alias("months"), F.col("i.days").alias("days"))
+
+
+@query("uuid_named", "SELECT r_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS v3 FROM (SELECT r_name, md5(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(r_name)) AS h FROM region) AS x")
+def _(t):
+    from tessel.functions import uuids as U
+
+    return t.region.select("r_name", U.uuid_generate_v3(U.uuid_ns("dns"), F.col("r_name")).alias("v3"))
+
+
+@query("uuid_versions", "SELECT r_regionkey, true AS v1, true AS v4, '00000000-0000-0000-0000-000000000000' AS nil FROM region")
+def _(t):
+    from tessel.functions import uuids as U
+
+    shape = "^[0-9a-f]{8}-[0-9a-f]{4}-%s[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return t.region.select("r_regionkey", U.uuid_generate_v1mc().rlike(shape % "1").alias("v1"), U.uuid_generate_v4().rlike(shape % "4").alias("v4"), U.uuid_nil().alias("nil"))
+
+
 # ---------------------------------------------------------------- output forms
 
 

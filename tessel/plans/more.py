@@ -304,3 +304,86 @@ def _(t):
 
 
 sql_query("unpivot", "SELECT c_custkey, k, v FROM {customer} LATERAL VIEW stack(2, 'nation', cast(c_nationkey as string), 'segment', c_mktsegment) s AS k, v", "SELECT c_custkey, 'nation' AS k, CAST(c_nationkey AS VARCHAR) AS v FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer")
+
+
+# ---------------------------------------------------------------- definitions, keys, catalog
+
+sql_query("join_using_chain", "SELECT c_custkey, n_name, r_name FROM (SELECT c_custkey, c_nationkey AS k FROM {customer}) AS c JOIN (SELECT n_nationkey AS k, n_name, n_regionkey AS g FROM {nation}) AS n USING (k) JOIN (SELECT r_regionkey AS g, r_name FROM {region}) AS r USING (g)")
+sql_query("scan_column_aliases", "SELECT a, b FROM {region} AS x(a, b) WHERE a > 1")
+
+
+@query("statement_alter_table", "SELECT r_regionkey::BIGINT AS k, 'none' AS note, CAST(7 AS INTEGER) AS n FROM region")
+def _(t):
+    return ST.alter(t.region, add={"note": F.lit("none"), "n": F.lit(7)}, drop=["r_name"], rename={"r_regionkey": "k"}, types={"r_regionkey": "bigint"})
+
+
+@query("statement_matview_refresh", "SELECT 'old' AS at, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'new', o_orderstatus, 2 * count(*) FROM orders GROUP BY 2")
+def _(t):
+    rows = [t.orders]
+    view = ST.MaterializedView(lambda: rows[0].groupBy(F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n")), R.written)
+    old = view.rows
+    rows[0] = rows[0].unionByName(rows[0])
+    return old.select(F.lit("old").alias("at"), "s", "n").unionByName(view.refresh().select(F.lit("new").alias("at"), "s", "n"))
+
+
+@query("statement_delete_cascade", "SELECT (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS customers, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) AS orders, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) AS nulls")
+def _(t):
+    gone = F.col("c_acctbal") < 0
+    left, orders = ST.delete_referenced(t.customer, t.orders, gone, "c_custkey", "o_custkey", "CASCADE")
+    _, blank = ST.delete_referenced(t.customer, t.orders, gone, "c_custkey", "o_custkey", "SET NULL")
+    return left.agg(F.count("*").alias("customers")).crossJoin(orders.agg(F.count("*").alias("orders"))).crossJoin(blank.where("o_custkey IS NULL").agg(F.count("*").alias("nulls")))
+
+
+@query("statement_enforced", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    return ST.enforce(rows, ["o_orderkey", "o_custkey"], {"positive": F.col("o_totalprice") >= 0}, [["o_orderkey"]])
+
+
+@query("statement_exclude", "SELECT id FROM (VALUES (2), (4)) AS v(id)")
+def _(t):
+    v = t.values("(1, 'a', 1, 5), (2, 'a', 4, 6), (3, 'a', 6, 9), (4, 'a', 2, 3), (5, 'b', 1, 9), (6, 'b', 9, 9)", "id, k, lo, hi")
+    return ST.exclude(v, ["k"], "lo", "hi").select("id")
+
+
+def _catalog(t):
+    from tessel.sources.catalog import Catalog, Constraint
+
+    keys = [Constraint("region_pkey", "region", "p", ("r_regionkey",)), Constraint("nation_fk", "nation", "f", ("n_regionkey",), target="region", target_columns=("r_regionkey",), on_delete="CASCADE"), Constraint("nation_ck", "nation", "c", check="n_nationkey >= 0")]
+    return Catalog({"region": t.region, "nation": t.nation}, {"names": "SELECT r_name FROM region"}, {"nation_name": ("nation", ["n_name"], True)}, keys, {("region", None): "five rows", ("region", "r_name"): "its name"}, {"region_seq": ("region", "r_regionkey")})
+
+
+@query("catalog_relations", "SELECT * FROM (VALUES ('nation', 'r', 3), ('region', 'r', 2), ('names', 'v', 0), ('nation_name', 'i', 0), ('region_seq', 'S', 0)) AS v(name, kind, columns)")
+def _(t):
+    c = _catalog(t)
+    own = c.relation(t.spark, "pg_class").join(c.relation(t.spark, "pg_namespace").withColumnRenamed("oid", "relnamespace"), "relnamespace")
+    return own.selectExpr("relname AS name", "relkind AS kind", "relnatts AS columns")
+
+
+@query("catalog_attributes", "SELECT * FROM (VALUES ('nation', 'n_name', 'text', 2), ('nation', 'n_nationkey', 'integer', 1), ('nation', 'n_regionkey', 'integer', 3), ('region', 'r_name', 'text', 2), ('region', 'r_regionkey', 'integer', 1)) AS v(rel, att, kind, num)")
+def _(t):
+    c = _catalog(t)
+    x = c.relation(t.spark, "pg_attribute").join(c.relation(t.spark, "pg_type").withColumnRenamed("oid", "atttypid"), "atttypid").join(c.relation(t.spark, "pg_class").withColumnRenamed("oid", "attrelid"), "attrelid")
+    return x.selectExpr("relname AS rel", "attname AS att", "typname AS kind", "attnum AS num")
+
+
+@query("catalog_definitions", "SELECT * FROM (VALUES ('region_pkey', 'PRIMARY KEY (r_regionkey)'), ('nation_fk', 'FOREIGN KEY (n_regionkey) REFERENCES region(r_regionkey) ON DELETE CASCADE'), ('nation_ck', 'CHECK ((n_nationkey >= 0))'), ('names', ' SELECT r_name FROM region;'), ('nation_name', 'CREATE UNIQUE INDEX nation_name ON public.nation USING btree (n_name)'), ('serial', 'public.region_seq'), ('column', 'its name'), ('table', 'five rows')) AS v(name, def)")
+def _(t):
+    c = _catalog(t)
+    rows = [(n, c.get_constraintdef(n)) for n in ("region_pkey", "nation_fk", "nation_ck")]
+    rows += [("names", c.get_viewdef("names")), ("nation_name", c.get_indexdef("nation_name")), ("serial", c.get_serial_sequence("region", "r_regionkey")), ("column", c.col_description("region", 2)), ("table", c.obj_description("region"))]
+    return t.spark.createDataFrame(rows, "name string, def string")
+
+
+@query("catalog_casts", "SELECT 'region' AS class, 'public' AS space, true AS missing, 'numeric(10,2)' AS num, 'character varying(5)' AS chars, 'timestamp(3) with time zone' AS ts, 'UTF8' AS enc")
+def _(t):
+    c = _catalog(t)
+    values = {"class": c.regclass_name(c.regclass("public.region")), "space": c.regnamespace_name(c.regnamespace("public")), "missing": c.to_regclass("nowhere") is None and c.to_regnamespace("nowhere") is None, "num": c.format_type(1700, (10 << 16) + 2 + 4), "chars": c.format_type(1043, 9), "ts": c.format_type(1184, 3), "enc": c.encoding_to_char(6)}
+    return t.spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
+
+
+@query("catalog_constraints", "SELECT * FROM (VALUES ('region_pkey', 'region', 'PRIMARY KEY', 'r_regionkey'), ('nation_fk', 'nation', 'FOREIGN KEY', 'n_regionkey'), ('nation_ck', 'nation', 'CHECK', NULL)) AS v(name, tab, kind, col)")
+def _(t):
+    c = _catalog(t)
+    a, b = c.relation(t.spark, "information_schema.table_constraints"), c.relation(t.spark, "information_schema.key_column_usage").drop("table_name", "ordinal_position")
+    return a.join(b, "constraint_name", "left").selectExpr("constraint_name AS name", "table_name AS tab", "constraint_type AS kind", "column_name AS col")

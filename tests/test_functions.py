@@ -117,3 +117,15 @@ def test_jsonb_keeps_digits(spark):
     v = spark.createDataFrame([("[12345678901234567890.123, 1e2, 1.50, -0.0]", '{"a": 100}')], "a string, b string")
     assert v.select(J.jsonb_concat("a", "b")).first()[0] == '[12345678901234567890.123, 100, 1.50, 0.0, {"a": 100}]'
     assert v.select(J.jsonb_contains("a", F.lit("[100.0]"))).first()[0]
+
+
+def test_constraints_raise(spark):
+    rows = spark.createDataFrame([(1, 1), (2, None), (2, 5)], "k int, v int")
+    for message, kwargs in (("not-null", {"not_null": ["v"]}), ("check", {"checks": {"c": F.col("v") > 3}}), ("duplicate key", {"unique": [["k"]]})):
+        with pytest.raises(Exception, match=message):
+            ST.enforce(rows, **kwargs).collect()
+    assert ST.enforce(rows.where("k = 1"), ["v"], {"c": F.col("v") > 0}, [["k"]]).count() == 1
+    with pytest.raises(Exception, match="foreign key"):
+        ST.delete_referenced(rows, rows.withColumnRenamed("k", "r"), F.col("k") == 1, "k", "r")[1].collect()
+    with pytest.raises(ValueError, match="does not exist"):
+        ST.alter(rows, drop=["x"])
