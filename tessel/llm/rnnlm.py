@@ -156,16 +156,25 @@ class Trainer:
         p, steps = self.p, len(inputs)
         x = p["embed"][inputs]
         gx = x @ p["wx"] + p["b"]
-        kept, states = [], []
         going = inputs != START  # the state before a START is not its document's
+        whole = going.all(axis=1)
+        lanes, kind = inputs.shape[1], gx.dtype
+        before, states, r, z, n, ghn = (np.empty((steps, lanes, STATE), kind) for _ in range(6))
         for t in range(steps):
-            before = h if going[t].all() else h * going[t][:, None]
-            h, r, z, n, ghn = _step(p, gx[t], before)
-            kept.append((before, r, z, n, ghn))
-            states.append(h)
+            before[t] = h if whole[t] else h * going[t][:, None]
+            gh = before[t] @ p["u"]
+            rz = _sigmoid(gx[t, :, : 2 * STATE] + gh[:, : 2 * STATE])
+            r[t], z[t], ghn[t] = rz[:, :STATE], rz[:, STATE:], gh[:, 2 * STATE :]
+            np.multiply(r[t], ghn[t], out=n[t])
+            n[t] += gx[t, :, 2 * STATE :]
+            np.tanh(n[t], out=n[t])
+            np.subtract(before[t], n[t], out=states[t])
+            states[t] *= z[t]
+            states[t] += n[t]
+            h = states[t]
         g = self.g
         self.flat[1].fill(0)
-        flat, want = np.concatenate(states), targets.ravel()
+        flat, want = states.reshape(-1, STATE), targets.ravel()
         have = np.flatnonzero(want >= 0)
         s, y = flat[have], want[have]
         classes, scale = y // WORDS, np.float32(1 / max(1, len(have)))
@@ -191,19 +200,29 @@ class Trainer:
         dflat = np.zeros_like(flat)
         dflat[have] = ds
         dstates = dflat.reshape(steps, -1, STATE)
-        dgx, carry = np.empty_like(gx), np.zeros_like(h)
+        # what multiplies the slope of the state, for all steps at once; a step's own work is then a few products
+        by_n = 1 - z
+        by_n *= 1 - n * n
+        by_z = before - n
+        by_z *= z * (1 - z)
+        by_r = ghn * r
+        by_r *= 1 - r
+        dgx, carry, back = np.empty_like(gx), np.zeros_like(h), np.ascontiguousarray(p["u"].T)
+        dgh = np.empty_like(gx)  # the slope by the state's product with u; its last part is n's times r
         for t in reversed(range(steps)):
-            before, r, z, n, ghn = kept[t]
             dh = dstates[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
-            dgh = np.concatenate([dr, dz, dn * r], axis=1)
-            dgx[t, :, :STATE], dgx[t, :, STATE : 2 * STATE], dgx[t, :, 2 * STATE :] = dr, dz, dn
-            g["u"] += before.T @ dgh
-            carry = dh * z + dgh @ p["u"].T
-            if not going[t].all():
+            dn = dgx[t, :, 2 * STATE :]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dn, by_r[t], out=dgh[t, :, :STATE])
+            np.multiply(dh, by_z[t], out=dgh[t, :, STATE : 2 * STATE])
+            np.multiply(dn, r[t], out=dgh[t, :, 2 * STATE :])
+            carry = dgh[t] @ back
+            dh *= z[t]
+            carry += dh
+            if not whole[t]:
                 carry *= going[t][:, None]
+        dgx[:, :, : 2 * STATE] = dgh[:, :, : 2 * STATE]
+        g["u"][:] = before.reshape(-1, STATE).T @ dgh.reshape(-1, 3 * STATE)
         flat_gx = dgx.reshape(-1, 3 * STATE)
         g["wx"][:], g["b"][:] = x.reshape(-1, EMBED).T @ flat_gx, flat_gx.sum(axis=0)
         dx, ids = flat_gx @ p["wx"].T, inputs.ravel()

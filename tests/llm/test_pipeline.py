@@ -77,3 +77,20 @@ def test_stages_and_run(spark, folder):
     assert {r.doc_id for r in last} == set(dict(kept[3])) and all(r.mix_rate > 0 for r in last)
     once = sorted(tuple(r) for r in P.run(spark, folder).drop("mix_rate").collect())
     assert once == sorted(tuple(r) for r in results[4].drop("mix_rate").collect())
+
+
+def test_stages_on_clashing_columns_nulls_and_no_rows(spark, folder):
+    import corpus_pipeline as P
+
+    names = "removed string, mix_rate double, mix_domain string, root long, node long, h long, k string, star boolean, rate double"
+    more = ("r", 0.5, "m", 1, 2, 3, "k", True, 0.25)
+    a, b = "some words that are said once and then once again here", "another text with words that nobody else has ever used"
+    rows = [(1, a, None, "s", None), (1, b, "en", None, 3), (1, a, None, "s", None), (None, a, "en", "s", 1), (None, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n ", "en", "s", 0), (4, "word " * 30_000, "en", "s", 1)]
+    docs = spark.createDataFrame([(*x, *more) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, " + names)
+    for docs_now, n in ((docs, 7), (docs.limit(0), 0)):
+        for _, stage in P.STAGES:
+            columns = docs_now.columns
+            docs_now = stage(spark, docs_now, folder).cache()
+            assert docs_now.columns[: len(columns)] == columns or stage is P.STAGES[-1][1] and set(columns) <= set(docs_now.columns)
+        kept = sorted(map(str, ((r.doc_id, (r.text or "")[:20]) for r in docs_now.collect())))
+        assert docs_now.count() <= n and (not n or str((1, a[:20])) in kept and str((1, b[:20])) in kept and str((None, a[:20])) not in kept and str((None, "")) in kept)
