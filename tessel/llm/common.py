@@ -83,6 +83,26 @@ class Scratch:
             gc.collect()
             self.spark._jvm.System.gc()
             time.sleep(0.1)
+        trim(self.spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Memory that the driver's C library keeps after its threads have freed it goes back to the system, by the JVM's diagnostic
+    command; JVMs that have no such command are left alone. Called by reflection, as the bean server's own class isn't public."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    of, text = jvm.java.lang.Class.forName, jvm.java.lang.String
+    bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+
+    def call(name: str, kinds: list[str], *values):
+        types, given = gateway.new_array(jvm.java.lang.Class, len(kinds)), gateway.new_array(jvm.java.lang.Object, len(kinds))
+        for i, (kind, value) in enumerate(zip(kinds, values, strict=True)):
+            types[i], given[i] = of(kind), value
+        return of("javax.management.MBeanServer").getMethod(name, types).invoke(server, given)
+
+    key = "javax.management.ObjectName"
+    if call("isRegistered", [key], bean) and any(x.getName() == "systemTrimNativeHeap" for x in call("getMBeanInfo", [key], bean).getOperations()):
+        call("invoke", [key, "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"], bean, "systemTrimNativeHeap", gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(text, 0))
 
 
 def crc_mod(column: str, n: int):
