@@ -11,10 +11,13 @@ the numbers of edits left and right of it allow (multi-match-aware selection). K
 and substring, so lines meet only with fitting lengths; different lines alone are joined, copies are merged before.
 
 Hot segments. A key that over LIST lines have as their own segment gives no pairs. Its lines lose the segment they share,
-then the prefix and suffix that all lines of the key share, and what is left is cut and joined again within the key, until
-keys are short or at most 2 * TAU characters are left. Such rests are compared with their key's first line only; where the
-links found so far leave a key's lines in several components, the pairs across components follow. So templates with many
-fillings cost rows in proportion to their lines and to the levels, not pairs of all lines, and no link is lost.
+then the prefix and suffix that all lines of the key share, and what is left is joined again within the key, by more segments:
+of PIECES pieces at most TAU hold the edits, so a key is all the others, those before the first edit in place, those after the
+last one at the same distance from the end, those between moved as far as the edits before them allow. Lines that share such a
+key are left with the pieces that may differ, and so on, until keys are short or at most 3 * TAU characters are left. Such
+rests are compared with their key's first line only; where the links found so far leave a key's lines in several components,
+the pairs across components follow. So templates with many fillings cost rows in proportion to their lines, not pairs of all
+lines, and no link is lost.
 
 Verification. Candidates with fitting letter counts run through an automaton held in bits: for every number of errors a
 word whose bits are the 2 * TAU + 1 diagonals of the band, advanced for a character at a time with shifts, ANDs and ORs.
@@ -27,12 +30,14 @@ Very long lines and texts are read whole. Empty tables give empty results; furth
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected
 
-TAU, SHORTEST, LIST, LETTERS = 2, 20, 32, "etaoinsrhldcumpg"
+TAU, SHORTEST, LIST, PIECES, LETTERS = 2, 20, 32, 5, "etaoinsrhldcumpg"
 
 
 def cut(rows: DataFrame, tau: int) -> DataFrame:
@@ -58,6 +63,34 @@ def key(i: int, less: int, shift: int, shortest: int) -> Column:
     return F.when(F.col("n") >= shortest + less, found)
 
 
+def opened(tau: int) -> Column:
+    """All keys of a rest as an array of structs: own (may others probe it), less (how much shorter the other string is), number of the
+    open pieces, the runs of pieces between them (from a to b, moved by s) and the open pieces (from a moved by s to b moved by e)."""
+    out, number = [], 0
+    listed = lambda names, xs: "array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, x, strict=True)) + ")" for x in xs) + ")"
+    for m in range(1, tau + 1):
+        for places in combinations(range(PIECES), m):
+            number += 1
+            for moved in product(range(-tau, tau + 1), repeat=m):
+                shifts = (0, *moved)
+                first = next((x for x in moved if x), 0)
+                if sum(max(1, abs(y - x)) for x, y in zip(shifts, moved, strict=False)) <= tau and (shifts[-1] > 0 or shifts[-1] == 0 and first >= 0):
+                    runs = zip((0, *(p + 1 for p in places)), (*places, PIECES), shifts, strict=True)
+                    opens = [(p, p + 1, x, y) for p, x, y in zip(places, shifts, moved, strict=False)]
+                    out.append((str(not any(shifts)).lower(), shifts[-1], number, listed("abs", runs), listed("abse", opens)))
+    return F.expr(listed(("own", "less", "number", "runs", "opens"), out))
+
+
+def rest_keys(rows: DataFrame, tau: int, least: int) -> DataFrame:
+    """rows (g, h, s) as (g, h, key, own, rest): a row for each way to leave pieces open; rest (UTF-32) is what is open."""
+    x = rows.select("g", "h", F.encode("s", "UTF-32").alias("b")).withColumn("n", F.shiftright(F.octet_length("b"), 2))
+    x = x.select("g", "h", "b", "n", F.explode(opened(tau)).alias("x")).withColumn("m", F.expr("n - x.less")).where(F.col("m") >= least)
+    at = lambda c: f"cast({c} * m div {PIECES} as int)"
+    runs = f"transform(x.runs, r -> substring(b, 4 * ({at('r.a')} + r.s) + 1, 4 * ({at('r.b')} - {at('r.a')})))"
+    opens = f"transform(x.opens, o -> substring(b, 4 * ({at('o.a')} + o.s) + 1, greatest(0, 4 * ({at('o.b')} + o.e - {at('o.a')} - o.s))))"
+    return x.select("g", "h", F.expr(f"xxhash64(g, m, x.number, {runs})").alias("key"), F.col("x.own").alias("own"), F.expr(f"aggregate({opens}, cast('' as binary), (done, y) -> concat(done, y))").alias("rest"))
+
+
 def letter_counts(line: Column) -> Column:
     """Sixteen counts of four bits."""
     out = F.lit(0).cast("bigint")
@@ -98,15 +131,22 @@ def within(x: str, y: str, tau: int) -> Column:
 # ---------------------------------------------------------------- candidates
 
 
-def _met(rows: DataFrame, scratch: Scratch, tau: int, shortest: int, most: int) -> tuple[DataFrame, DataFrame, dict]:
-    """rows (g, h, s): pairs (u, v) of different strings' hashes with a key in common, and (key, h) where the key is hot."""
-    own_places, other = places(tau, True), places(tau, False)
-    named = [key(*x, shortest).alias(f"{c}{i}") for c, xs in (("i", own_places), ("o", other)) for i, x in enumerate(xs)]
+def _keys(rows: DataFrame, scratch: Scratch, tau: int, shortest: int, deep: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (g, h, s): what is written, (h, key) of the own segments, and (h, key) of all."""
+    if deep:
+        keys = scratch.write(rest_keys(rows, tau, shortest).select("h", "key", "own").distinct(), "keys", "none")
+        return keys, keys.where("own").select("h", "key"), keys.select("h", "key")
+    own, other = places(tau, True), places(tau, False)
+    named = [key(*x, shortest).alias(f"{c}{i}") for c, xs in (("i", own), ("o", other)) for i, x in enumerate(xs)]
     keys = scratch.write(cut(rows, tau).where(F.col("n") >= shortest).select("h", *named), "keys", "none")
-    own_keys = keys.select("h", F.explode(F.array(*(f"i{i}" for i in range(len(own_places))))).alias("key"))
+    columns = [f"i{i}" for i in range(len(own))] + [f"o{i}" for i in range(len(other))]
+    return keys, keys.select("h", F.explode(F.array(*columns[: len(own)])).alias("key")), keys.select("h", F.explode(F.array(*columns)).alias("key")).where("key is not null")
+
+
+def _met(rows: DataFrame, scratch: Scratch, tau: int, shortest: int, most: int, deep: bool) -> tuple[DataFrame, DataFrame, dict]:
+    """rows (g, h, s): pairs (u, v) of different strings' hashes with a key in common, and (key, h) where the key is hot."""
+    keys, own_keys, left = _keys(rows, scratch, tau, shortest, deep)
     hot = scratch.write(own_keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > most).select("key"), "hot")
-    every = [f"i{i}" for i in range(len(own_places))] + [f"o{i}" for i in range(len(other))]
-    left = keys.select("h", F.explode(F.array(*every)).alias("key")).where("key is not null")
     right = own_keys.join(hot, "key", "left_anti").select("key", F.col("h").alias("o")).unionByName(hot.select("key", F.lit(None).cast("bigint").alias("o")))
     # at most LIST rows a key on the right: a hash table of them is bounded by the partition's size
     met = left.join(right.hint("shuffle_hash"), "key").where("o is null or h != o")
@@ -122,11 +162,16 @@ def _common(a: str, b: str) -> Column:
     return F.expr(f"aggregate(sequence(0, 30), 0, (lo, k) -> {step.format(a=a, b=b)})")
 
 
-def _rests(rows: DataFrame, members: DataFrame, scratch: Scratch, tau: int, shortest: int) -> DataFrame:
-    """The next level's rows: for each hot key its lines without the segment and without the prefix and suffix that all of them share."""
-    some = cut(rows.join(members.select("h").distinct(), "h", "left_semi"), tau)
-    each = [F.when(key(*x, shortest).isNotNull(), F.struct(key(*x, shortest).alias("key"), F.expr(f"4 * (p{x[1]}_{x[0]} + {x[2]})").alias("a"), F.expr(f"4 * (p{x[1]}_{x[0] + 1} + {x[2]})").alias("z"))) for x in places(tau, True) + places(tau, False)]
-    met = some.select("h", "b", F.explode(F.array(*each)).alias("x")).where("x is not null").select(F.col("x.key").alias("key"), "h", F.expr("decode(concat(substring(b, 1, x.a), substring(b, x.z + 1)), 'UTF-32')").alias("s"))
+def _rests(rows: DataFrame, members: DataFrame, scratch: Scratch, tau: int, shortest: int, deep: bool) -> DataFrame:
+    """The next level's rows: for each hot key its lines without what they share there and without the prefix and suffix that all of
+    them share in what is left."""
+    some = rows.join(members.select("h").distinct(), "h", "left_semi")
+    if deep:
+        met = rest_keys(some, tau, shortest).select("key", "h", F.decode("rest", "UTF-32").alias("s"))
+    else:
+        each = [F.when(key(*x, shortest).isNotNull(), F.struct(key(*x, shortest).alias("key"), F.expr(f"4 * (p{x[1]}_{x[0]} + {x[2]})").alias("a"), F.expr(f"4 * (p{x[1]}_{x[0] + 1} + {x[2]})").alias("z"))) for x in places(tau, True) + places(tau, False)]
+        met = cut(some, tau).select("h", "b", F.explode(F.array(*each)).alias("x")).where("x is not null")
+        met = met.select(F.col("x.key").alias("key"), "h", F.expr("decode(concat(substring(b, 1, x.a), substring(b, x.z + 1)), 'UTF-32')").alias("s"))
     parts = scratch.write(met.join(members, ["key", "h"], "left_semi").distinct(), "cut")
     ends = parts.withColumn("r", F.reverse("s")).groupBy("key").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min("r").alias("r1"), F.max("r").alias("r2"), F.min(F.char_length("s")).alias("least"))
     ends = ends.select("key", _common("s1", "s2").alias("p"), _common("r1", "r2").alias("q"), "least").select("key", "p", F.least("q", F.col("least") - F.col("p")).alias("q"))
@@ -144,16 +189,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 def linked_lines(own: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int = SHORTEST, most: int = LIST) -> DataFrame:
     """(node, root) for every line hash with links. own: (h, line), a row for each different line of at least `shortest` characters."""
     rows, least = own.select(F.lit(0).cast("bigint").alias("g"), "h", F.col("line").alias("s")), shortest
-    pairs, ends = None, None
+    pairs, ends, deep = None, None, False
     while True:
-        met, members, seen = _met(rows, scratch, tau, least, most)
+        met, members, seen = _met(rows, scratch, tau, least, most, deep)
         now = met.where("not hot").select("u", "v")
         pairs = now if pairs is None else pairs.unionByName(now)
         if not seen["hot"]:
             break
-        rows = _rests(rows, members, scratch, tau, least)
-        least = tau + 1
-        rest = rows.where(F.char_length("s") <= 2 * tau).select("g", "h").distinct()
+        rows = _rests(rows, members, scratch, tau, least, deep)
+        least, deep = 2 * tau + 1, True
+        rest = rows.where(F.char_length("s") <= 3 * tau).select("g", "h").distinct()
         ends = rest if ends is None else ends.unionByName(rest)
     if ends is not None:
         ends = scratch.write(ends, "rest")
