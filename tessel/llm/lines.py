@@ -10,7 +10,7 @@ most TAU of them, so a longer or equally long line within the distance contains
 the numbers of edits left and right of it allow (multi-match-aware selection). Keys are hashes of length, segment number
 and substring, so lines meet only with fitting lengths; different lines alone are joined, copies are merged before.
 
-Hot segments. A key that over LIST lines have as their own segment gives no pairs. Its lines lose the segment they share,
+Hot segments. A key that over LIST lines (8 * LIST for rests) have as their own segment gives no pairs. Its lines lose the segment they share,
 then the prefix and suffix that all lines of the key share, and what is left is joined again within the key, by more segments:
 of PIECES pieces at most TAU hold the edits, so a key is all the others, those before the first edit in place, those after the
 last one at the same distance from the end, those between moved as far as the edits before them allow. Lines that share such a
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected
 
-TAU, SHORTEST, LIST, PIECES, LETTERS = 2, 20, 32, 5, "etaoinsrhldcumpg"
+TAU, SHORTEST, LIST, PIECES, LETTERS = 2, 20, 16, 5, "etaoinsrhldcumpg"
 
 
 def cut(rows: DataFrame, tau: int) -> DataFrame:
@@ -82,13 +82,14 @@ def opened(tau: int) -> Column:
 
 
 def rest_keys(rows: DataFrame, tau: int, least: int) -> DataFrame:
-    """rows (g, h, s) as (g, h, key, own, rest): a row for each way to leave pieces open; rest (UTF-32) is what is open."""
-    x = rows.select("g", "h", F.encode("s", "UTF-32").alias("b")).withColumn("n", F.shiftright(F.octet_length("b"), 2))
-    x = x.select("g", "h", "b", "n", F.explode(opened(tau)).alias("x")).withColumn("m", F.expr("n - x.less")).where(F.col("m") >= least)
+    """rows (g, h, c, s) as (g, h, c, key, own, q0, q1, rest): a row for each way to leave pieces open; rest (UTF-32) is what is open,
+    q0 and q1 are hashes of its first two pieces (q1 null where there is one piece; q0 null for one way, which lets equals meet)."""
+    x = rows.select("g", "h", "c", F.encode("s", "UTF-32").alias("b")).withColumn("n", F.shiftright(F.octet_length("b"), 2))
+    x = x.select("g", "h", "c", "b", "n", F.explode(opened(tau)).alias("x")).withColumn("m", F.expr("n - x.less")).where(F.col("m") >= least)
     at = lambda c: f"cast({c} * m div {PIECES} as int)"
     runs = f"transform(x.runs, r -> substring(b, 4 * ({at('r.a')} + r.s) + 1, 4 * ({at('r.b')} - {at('r.a')})))"
     opens = f"transform(x.opens, o -> substring(b, 4 * ({at('o.a')} + o.s) + 1, greatest(0, 4 * ({at('o.b')} + o.e - {at('o.a')} - o.s))))"
-    return x.select("g", "h", F.expr(f"xxhash64(g, m, x.number, {runs})").alias("key"), F.col("x.own").alias("own"), F.expr(f"aggregate({opens}, cast('' as binary), (done, y) -> concat(done, y))").alias("rest"))
+    return x.select("g", "h", "c", F.expr(f"xxhash64(g, m, x.number, {runs})").alias("key"), F.col("x.own").alias("own"), F.expr(f"if(x.number = 1, null, xxhash64(get({opens}, 0)))").alias("q0"), F.expr(f"if(size(x.opens) = 1, null, xxhash64(get({opens}, 1)))").alias("q1"), F.expr(f"aggregate({opens}, cast('' as binary), (done, y) -> concat(done, y))").alias("rest"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -132,10 +133,10 @@ def within(x: str, y: str, tau: int) -> Column:
 
 
 def _keys(rows: DataFrame, scratch: Scratch, tau: int, shortest: int, deep: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows (g, h, s): what is written, (h, key) of the own segments, and (h, key) of all."""
+    """Of rows (g, h, s): what is written, (h, key) of the own segments, and (h, key) of all; of rests with the whole lines' letter counts c."""
     if deep:
-        keys = scratch.write(rest_keys(rows, tau, shortest).select("h", "key", "own").distinct(), "keys", "none")
-        return keys, keys.where("own").select("h", "key"), keys.select("h", "key")
+        keys = scratch.write(rest_keys(rows, tau, shortest).select("h", "c", "key", "own", "q0", "q1").distinct(), "keys", "none")
+        return keys, keys.where("own").drop("own"), keys
     own, other = places(tau, True), places(tau, False)
     named = [key(*x, shortest).alias(f"{c}{i}") for c, xs in (("i", own), ("o", other)) for i, x in enumerate(xs)]
     keys = scratch.write(cut(rows, tau).where(F.col("n") >= shortest).select("h", *named), "keys", "none")
@@ -147,9 +148,14 @@ def _met(rows: DataFrame, scratch: Scratch, tau: int, shortest: int, most: int,
     """rows (g, h, s): pairs (u, v) of different strings' hashes with a key in common, and (key, h) where the key is hot."""
     keys, own_keys, left = _keys(rows, scratch, tau, shortest, deep)
     hot = scratch.write(own_keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > most).select("key"), "hot")
-    right = own_keys.join(hot, "key", "left_anti").select("key", F.col("h").alias("o")).unionByName(hot.select("key", F.lit(None).cast("bigint").alias("o")))
-    # at most LIST rows a key on the right: a hash table of them is bounded by the partition's size
-    met = left.join(right.hint("shuffle_hash"), "key").where("o is null or h != o")
+    own = own_keys.join(hot, "key", "left_anti").withColumnsRenamed({"h": "o", "c": "d", "q0": "r0", "q1": "r1"})
+    right = own.unionByName(hot.select("key", F.lit(None).cast("bigint").alias("o")), allowMissingColumns=True)
+    # at most 8 * LIST rows a key on the right: a hash table of them is bounded by the partition's size
+    fits = F.col("h") != F.col("o")
+    if deep:  # two unmoved rests meet once, and only under the key that leaves open what differs
+        once = F.expr("NOT own OR h < o AND coalesce(q0 <> r0, true) AND coalesce(q1 <> r1, true)")
+        fits = fits & once & (counts_differ("c", "d") <= 2 * tau)
+    met = left.join(right.hint("shuffle_hash"), (left["key"] == right["key"]) & (F.col("o").isNull() | fits)).drop(right["key"])
     met = met.select(F.when(F.col("o").isNull(), F.col("h")).otherwise(F.least("h", "o")).alias("u"), F.greatest("h", "o").alias("v"), F.when(F.col("o").isNull(), F.col("key")).alias("key"), F.col("o").isNull().alias("hot"))
     met, seen = scratch.measured(met, "met", hot=F.count_if("hot"), pairs=F.count_if(~F.col("hot")))
     scratch.drop(keys, hot)
@@ -167,16 +173,16 @@ def _rests(rows: DataFrame, members: DataFrame, scratch: Scratch, tau: int, shor
     them share in what is left."""
     some = rows.join(members.select("h").distinct(), "h", "left_semi")
     if deep:
-        met = rest_keys(some, tau, shortest).select("key", "h", F.decode("rest", "UTF-32").alias("s"))
+        met = rest_keys(some, tau, shortest).select("key", "h", "c", F.decode("rest", "UTF-32").alias("s"))
     else:
         each = [F.when(key(*x, shortest).isNotNull(), F.struct(key(*x, shortest).alias("key"), F.expr(f"4 * (p{x[1]}_{x[0]} + {x[2]})").alias("a"), F.expr(f"4 * (p{x[1]}_{x[0] + 1} + {x[2]})").alias("z"))) for x in places(tau, True) + places(tau, False)]
         met = cut(some, tau).select("h", "b", F.explode(F.array(*each)).alias("x")).where("x is not null")
-        met = met.select(F.col("x.key").alias("key"), "h", F.expr("decode(concat(substring(b, 1, x.a), substring(b, x.z + 1)), 'UTF-32')").alias("s"))
+        met = met.select(F.col("x.key").alias("key"), "h", letter_counts(F.decode("b", "UTF-32")).alias("c"), F.expr("decode(concat(substring(b, 1, x.a), substring(b, x.z + 1)), 'UTF-32')").alias("s"))
     parts = scratch.write(met.join(members, ["key", "h"], "left_semi").distinct(), "cut")
     ends = parts.withColumn("r", F.reverse("s")).groupBy("key").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.min("r").alias("r1"), F.max("r").alias("r2"), F.min(F.char_length("s")).alias("least"))
     ends = ends.select("key", _common("s1", "s2").alias("p"), _common("r1", "r2").alias("q"), "least").select("key", "p", F.least("q", F.col("least") - F.col("p")).alias("q"))
     ends = scratch.write(ends, "ends")
-    trimmed = parts.join(ends, "key").select(F.col("key").alias("g"), "h", F.expr("substring(s, p + 1, char_length(s) - p - q)").alias("s"))
+    trimmed = parts.join(ends, "key").select(F.col("key").alias("g"), "h", "c", F.expr("substring(s, p + 1, char_length(s) - p - q)").alias("s"))
     return scratch.write(trimmed, "rests")
 
 
@@ -191,7 +197,7 @@ def linked_lines(own: DataFrame, scratch: Scratch, tau: int = TAU, shortest: int
     rows, least = own.select(F.lit(0).cast("bigint").alias("g"), "h", F.col("line").alias("s")), shortest
     pairs, ends, deep = None, None, False
     while True:
-        met, members, seen = _met(rows, scratch, tau, least, most, deep)
+        met, members, seen = _met(rows, scratch, tau, least, 8 * most if deep else most, deep)  # letter counts thin out the rests' pairs
         now = met.where("not hot").select("u", "v")
         pairs = now if pairs is None else pairs.unionByName(now)
         if not seen["hot"]:
