@@ -28,10 +28,10 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +46,15 @@ END, TAIL, START = 0, HEAD, HEAD + 1
 _NAMES = ("embed", "wx", "u", "b", "class_w", "class_b", "word_w", "word_b")
 
 
-class Ids(dict):
-    """Numbers of words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # bytes: A-Z and the six ASCII white-space characters only
 
 
+def numbers(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Numbers of words; -1 for others."""
+    return np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+
+
 # ---------------------------------------------------------------- the network
 
 
@@ -81,37 +79,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _softmax(x: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' exponentials, less one number, in place of x; their sums, and the logarithm of each row's share at one column."""
+    top = x.max(initial=-np.inf)
+    if top - x.min(initial=np.inf) > 80:  # one number for all rows would leave some of them nothing
+        top = x.max(axis=1, keepdims=True)
+    x -= top
+    own = x[np.arange(len(x)), columns]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    own -= np.log(total)
+    return total, own
+
+
 def _loss_and_slope(x: np.ndarray, columns: np.ndarray, scale: np.float32) -> tuple[float, np.ndarray]:
     """The loss of softmax rows at one column each, and its slope by the scores times scale, in place of x."""
-    at = (np.arange(len(x)), columns)
-    x -= x.max(axis=1, keepdims=True)
-    own = x[at]
-    np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total, own = _softmax(x, columns)
     x *= (scale / total)[:, None]
-    x[at] -= scale
-    return float((np.log(total) - own).sum()), x
+    x[np.arange(len(x)), columns] -= scale
+    return -float(own.sum()), x
 
 
-def _log_share(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row at one column."""
-    top = x.max(axis=1)
-    own = x[np.arange(len(x)), columns] - top
-    x -= top[:, None]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+def _scores(rows: np.ndarray, w: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    x = np.matmul(rows, w, out=out)
+    x += b
+    return x
 
 
 def log_probability(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of each target's probability after its state; a tail token's is that of the class."""
     classes = targets // WORDS  # TAIL is number CLASSES
-    out = np.concatenate([_log_share(states[at : at + 2048] @ p["class_w"] + p["class_b"], classes[at : at + 2048]) for at in range(0, len(targets), 2048)]) if len(targets) else np.zeros(0)
-    order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            out[rows] += _log_share(states[rows] @ p["word_w"][c] + p["word_b"][c], targets[rows] - c * WORDS)
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    classes, s, y = classes[order], states[order], targets[order]
+    found = [np.zeros(0, s.dtype), *(_softmax(_scores(s[at : at + 2048], p["class_w"], p["class_b"]), classes[at : at + 2048])[1] for at in range(0, len(y), 2048))]
+    by_class, bounds = np.concatenate(found), np.searchsorted(classes, np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(bounds)):
+        for at in range(bounds[c], bounds[c + 1], 2048):
+            own = slice(at, min(at + 2048, bounds[c + 1]))
+            by_class[own] += _softmax(_scores(s[own], p["word_w"][c], p["word_b"][c]), y[own] - c * WORDS)[1]
+    out = np.empty_like(by_class)
+    out[order] = by_class
     return out
 
 
@@ -123,6 +130,27 @@ def _step(p: dict[str, np.ndarray], gx: np.ndarray, h: np.ndarray) -> tuple:
     return n + z * (h - n), r, z, n, gh[:, 2 * STATE :]
 
 
+def _halved(x: np.ndarray) -> np.ndarray:
+    """What is added up for a gate, halved: its sigmoid is 0.5 + 0.5 * tanh of that."""
+    out = x.copy()
+    out[..., : 2 * STATE] *= 0.5
+    return out
+
+
+def _advance(gx: np.ndarray, gh: np.ndarray, h: np.ndarray, rz: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """_step for halved sums whose columns are the lanes, so that each part is one piece of memory; fills rz, n and out."""
+    np.add(gx[: 2 * STATE], gh[: 2 * STATE], out=rz)
+    np.tanh(rz, out=rz)
+    rz *= 0.5
+    rz += 0.5
+    np.multiply(rz[:STATE], gh[2 * STATE :], out=n)
+    n += gx[2 * STATE :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= rz[STATE:]
+    out += n
+
+
 class Trainer:
     """Parameters, gradients and Adam's moments as one array each, seen through p, g and m by name; updates allocate nothing."""
 
@@ -130,107 +158,111 @@ class Trainer:
         whole = pack(p)
         self.flat = [whole, *(np.zeros_like(whole) for _ in range(4))]
         self.p, self.g, self.m, _, _ = (unpack(x, copy=False) for x in self.flat)
-        self.t = 0
+        self.t, self.rooms = 0, {}
 
     def _adam(self) -> None:
-        p, g, m, v, spare = self.flat
-        kind = p.dtype.type
-        np.multiply(g, g, out=spare)
-        g *= kind(min(1.0, 1.0 / max(math.sqrt(float(spare.sum())), 1e-12)))
-        np.subtract(g, m, out=spare)
-        spare *= kind(0.1)
-        m += spare
-        np.multiply(g, g, out=spare)
-        spare -= v
-        spare *= kind(0.001)
-        v += spare
-        np.sqrt(v, out=spare)
-        spare += kind(1e-8)
-        np.divide(m, spare, out=spare)
+        kind = self.flat[0].dtype.type
+        clip = kind(min(1.0, 1.0 / max(math.sqrt(float(np.dot(self.flat[1], self.flat[1]))), 1e-12)))
         self.t += 1
-        spare *= kind(RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        p -= spare
+        rate = kind(RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        for at in range(0, len(self.flat[0]), 1 << 14):  # runs that stay in the processor's cache
+            p, g, m, v, spare = (x[at : at + (1 << 14)] for x in self.flat)
+            g *= clip
+            np.subtract(g, m, out=spare)
+            spare *= kind(0.1)
+            m += spare
+            np.multiply(g, g, out=spare)
+            spare -= v
+            spare *= kind(0.001)
+            v += spare
+            np.sqrt(v, out=spare)
+            spare += kind(1e-8)
+            np.divide(m, spare, out=spare)
+            spare *= rate
+            p -= spare
+
+    def _room(self, steps: int, lanes: int, kind: np.dtype) -> list[np.ndarray]:
+        """Arrays of steps x numbers x lanes for a window, made once."""
+        if (steps, lanes) not in self.rooms:
+            self.rooms = {(steps, lanes): [np.empty((steps, k * STATE, lanes), kind) for k in (1, 1, 2, 1, 3, 4)]}
+        return self.rooms[steps, lanes]
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
         """One update from steps x lanes of tokens (targets -1: none; START clears the state); returns the loss a token and the state to carry."""
-        p, steps = self.p, len(inputs)
-        x = p["embed"][inputs]
-        gx = x @ p["wx"] + p["b"]
+        p, g, (steps, lanes) = self.p, self.g, inputs.shape
+        x = p["embed"][inputs].transpose(0, 2, 1)
+        gx = np.matmul(_halved(p["wx"]).T, x)
+        gx += _halved(p["b"])[:, None]
         going = inputs != START  # the state before a START is not its document's
         whole = going.all(axis=1)
-        lanes, kind = inputs.shape[1], gx.dtype
-        before, states, r, z, n, ghn = (np.empty((steps, lanes, STATE), kind) for _ in range(6))
+        before, states, rz, n, gh, dg = self._room(steps, lanes, gx.dtype)
+        u, h = np.ascontiguousarray(_halved(p["u"]).T), h.T
         for t in range(steps):
-            before[t] = h if whole[t] else h * going[t][:, None]
-            gh = before[t] @ p["u"]
-            rz = _sigmoid(gx[t, :, : 2 * STATE] + gh[:, : 2 * STATE])
-            r[t], z[t], ghn[t] = rz[:, :STATE], rz[:, STATE:], gh[:, 2 * STATE :]
-            np.multiply(r[t], ghn[t], out=n[t])
-            n[t] += gx[t, :, 2 * STATE :]
-            np.tanh(n[t], out=n[t])
-            np.subtract(before[t], n[t], out=states[t])
-            states[t] *= z[t]
-            states[t] += n[t]
+            np.multiply(h, going[t], out=before[t]) if not whole[t] else np.copyto(before[t], h)
+            np.matmul(u, before[t], out=gh[t])
+            _advance(gx[t], gh[t], before[t], rz[t], n[t], states[t])
             h = states[t]
-        g = self.g
         self.flat[1].fill(0)
-        flat, want = states.reshape(-1, STATE), targets.ravel()
+        flat, want = states.transpose(0, 2, 1).reshape(-1, STATE), targets.ravel()
         have = np.flatnonzero(want >= 0)
+        have = have[np.argsort((want[have] // WORDS).astype(np.uint8), kind="stable")]  # by class, the tail's last
         s, y = flat[have], want[have]
         classes, scale = y // WORDS, np.float32(1 / max(1, len(have)))
-        loss, d = _loss_and_slope(s @ p["class_w"] + p["class_b"], classes, scale)
-        g["class_w"][:], g["class_b"][:] = s.T @ d, d.sum(axis=0)
+        loss, d = _loss_and_slope(_scores(s, p["class_w"], p["class_b"]), classes, scale)
+        g["class_w"][:], g["class_b"][:] = s.T @ d, np.ones(len(d), d.dtype) @ d
         ds = d @ p["class_w"].T
-        order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        order = order[: ends[-1]]  # without the tail's
-        if len(order):
+        ends = np.searchsorted(classes, np.arange(CLASSES + 1))
+        if ends[-1]:  # without the tail's
             runs = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends))]
-            own, y = s[order], y[order]
-            x_own, back = p["word_b"][y // WORDS], np.empty_like(own)
+            y, back = y[: ends[-1]], np.empty((ends[-1], STATE), s.dtype)
+            d = np.empty((ends[-1], WORDS), s.dtype)
             for c, at in runs:
-                x_own[at] += own[at] @ p["word_w"][c]
-            more, d = _loss_and_slope(x_own, y % WORDS, scale)
+                _scores(s[at], p["word_w"][c], p["word_b"][c], d[at])
+            more, d = _loss_and_slope(d, y % WORDS, scale)
             loss += more
             g["word_b"][[c for c, _ in runs]] = np.add.reduceat(d, [at.start for _, at in runs], axis=0)
             for c, at in runs:
-                np.matmul(own[at].T, d[at], out=g["word_w"][c])
+                np.matmul(s[at].T, d[at], out=g["word_w"][c])
                 np.matmul(d[at], p["word_w"][c].T, out=back[at])
-            ds[order] += back
+            ds[: ends[-1]] += back
         dflat = np.zeros_like(flat)
         dflat[have] = ds
-        dstates = dflat.reshape(steps, -1, STATE)
+        dstates = np.ascontiguousarray(dflat.reshape(steps, lanes, STATE).transpose(0, 2, 1))
         # what multiplies the slope of the state, for all steps at once; a step's own work is then a few products
+        r, z = rz[:, :STATE], rz[:, STATE:]
         by_n = 1 - z
-        by_n *= 1 - n * n
         by_z = before - n
-        by_z *= z * (1 - z)
-        by_r = ghn * r
+        by_z *= z
+        by_z *= by_n
+        n *= n
+        by_n *= np.subtract(1, n, out=n)
+        by_r = gh[:, 2 * STATE :] * r
         by_r *= 1 - r
-        dgx, carry, back = np.empty_like(gx), np.zeros_like(h), np.ascontiguousarray(p["u"].T)
-        dgh = np.empty_like(gx)  # the slope by the state's product with u; its last part is n's times r
+        carry, back = np.zeros_like(before[0]), np.ascontiguousarray(p["u"])
         for t in reversed(range(steps)):
-            dh = dstates[t] + carry
-            dn = dgx[t, :, 2 * STATE :]
+            dh, (dn, dr, dz, dm) = dstates[t], dg[t].reshape(4, STATE, lanes)  # dm: by the state's product with u, that is n's times r
+            dh += carry
             np.multiply(dh, by_n[t], out=dn)
-            np.multiply(dn, by_r[t], out=dgh[t, :, :STATE])
-            np.multiply(dh, by_z[t], out=dgh[t, :, STATE : 2 * STATE])
-            np.multiply(dn, r[t], out=dgh[t, :, 2 * STATE :])
-            carry = dgh[t] @ back
+            np.multiply(dn, by_r[t], out=dr)
+            np.multiply(dh, by_z[t], out=dz)
+            np.multiply(dn, r[t], out=dm)
+            np.matmul(back, dg[t, STATE:], out=carry)
             dh *= z[t]
             carry += dh
             if not whole[t]:
-                carry *= going[t][:, None]
-        dgx[:, :, : 2 * STATE] = dgh[:, :, : 2 * STATE]
-        g["u"][:] = before.reshape(-1, STATE).T @ dgh.reshape(-1, 3 * STATE)
-        flat_gx = dgx.reshape(-1, 3 * STATE)
-        g["wx"][:], g["b"][:] = x.reshape(-1, EMBED).T @ flat_gx, flat_gx.sum(axis=0)
-        dx, ids = flat_gx @ p["wx"].T, inputs.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["embed"][ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
+                carry *= going[t]
+        dgx = dg[:, : 3 * STATE]  # n's slopes before the gates'
+        g["u"][:] = np.matmul(before, dg[:, STATE:].transpose(0, 2, 1)).sum(axis=0)
+        for name, slope in (("wx", np.matmul(x, dgx.transpose(0, 2, 1)).sum(axis=0)), ("b", dgx.sum(axis=2).sum(axis=0))):
+            g[name][..., 2 * STATE :], g[name][..., : 2 * STATE] = slope[..., :STATE], slope[..., STATE:]
+        dx = np.matmul(dgx.transpose(0, 2, 1), np.concatenate([p["wx"][:, 2 * STATE :], p["wx"][:, : 2 * STATE]], axis=1).T).reshape(-1, EMBED)
+        ids = inputs.ravel()
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        g["embed"][ids[first]] = np.add.reduceat(dx[order], first, axis=0)
         self._adam()
-        return loss / max(1, len(have)), h
+        return loss / max(1, len(have)), np.array(h.T)
 
     def run(self, texts: list[np.ndarray]) -> None:
         """texts: token numbers with the end token, each trained on from its first token to its last."""
@@ -278,19 +310,24 @@ def score_texts(p: dict[str, np.ndarray], table: np.ndarray, texts: list[np.ndar
             inputs[at, k], inputs[at + 1 : at + len(x), k] = START, x[:-1]
             targets[at : at + len(x), k], owner[at : at + len(x), k] = x, i
             at += len(x)
-    out, h = np.zeros(len(texts) + 1), np.zeros((lanes, STATE), np.float32)
+    out, h = np.zeros(len(texts) + 1), np.zeros((STATE, lanes), np.float32)
+    u, table = np.ascontiguousarray(_halved(p["u"]).T), np.ascontiguousarray(_halved(table).T)
+    rz, n, gh = (np.empty((k * STATE, lanes), np.float32) for k in (2, 1, 3))
     window = max(1, 16384 // lanes)
     for at in range(0, steps, window):
-        states = []
-        for t in range(at, min(steps, at + window)):
-            fresh = inputs[t] == START
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            h = _step(p, table[inputs[t]], h)[0]
-            states.append(h)
+        ids = inputs[at : at + window]
+        gx, states = np.take(table, ids.ravel(), axis=1).reshape(3 * STATE, *ids.shape), np.empty((len(ids), STATE, lanes), np.float32)
+        going = ids != START
+        whole = going.all(axis=1)
+        for t in range(len(ids)):
+            if not whole[t]:
+                h = h * going[t]
+            np.matmul(u, h, out=gh)
+            _advance(gx[:, t], gh, h, rz, n, states[t])
+            h = states[t]
         own = owner[at : at + window].ravel()
         have = np.flatnonzero(own < len(texts))
-        got = log_probability(p, np.concatenate(states)[have], targets[at : at + window].ravel()[have])
+        got = log_probability(p, states.transpose(0, 2, 1).reshape(-1, STATE)[have], targets[at : at + window].ravel()[have])
         out += np.bincount(own[have], weights=got.astype(np.float64), minlength=len(out))
     return out[:-1] / math.log(10)
 
@@ -312,6 +349,9 @@ def unpack(x: np.ndarray, copy: bool = True) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------- passes
 
 
+_FACTS = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_tail", pa.int64()), ("logs", pa.float64()), ("tail_logs", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -329,16 +369,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
-    ids = Ids(known.value)
-    for batch in batches:
-        made = []
-        for text in batch.column("b"):
-            words = tokens(text.as_py())
-            own = np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words))
-            own[(own < 0) | (own >= HEAD)] = TAIL
-            made.append(np.append(own, END).astype("<i2").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("place"), pa.array(made, pa.binary())], names=["shard", "place", "tokens"])
+def _texts(batches: Iterator[pa.RecordBatch], known, logs=None) -> Iterator[pa.RecordBatch]:
+    """Each row's token numbers in place of its text b; given the logarithms of counts, also what they make of the text."""
+    counts = logs and np.frombuffer(logs.value, dtype=np.float64)
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1024):
+            batch, made, facts = whole.slice(start, 1024), [], []
+            for text in batch.column("b"):
+                words = tokens(text.as_py())
+                own = numbers(words, known.value)
+                tail = (own < 0) | (own >= HEAD)
+                made.append(np.append(np.where(tail, TAIL, own), END).astype("<i2").tobytes())
+                if logs:
+                    rare = Counter(words[i] for i in np.flatnonzero(own < 0))
+                    base = counts[np.append(own[own >= 0], END)]
+                    # logs: sum of log10(c + 0.1) over known tokens; the tail words' part again for the network
+                    facts.append((len(words) + 1, int(np.count_nonzero(base > -0.999)), int(np.count_nonzero(tail)), float(base.sum()), float(counts[own[own >= HEAD]].sum()), list(rare.keys()), list(rare.values())))
+            kept = [c for c in batch.schema.names if c != "b"]
+            more = [pa.array([x[k] for x in facts], kind) for k, (_, kind) in enumerate(_FACTS)] if logs else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.binary()), *more], names=[*kept, "tokens", *(c for c, _ in _FACTS[: len(more)])])
 
 
 def _train(table: pa.Table, shared, blocks: int) -> pa.Table:
@@ -360,42 +409,33 @@ def _add(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "shard": table.column("shard")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def _score(batches: Iterator[pa.RecordBatch], known, shared, logs) -> Iterator[pa.RecordBatch]:
-    ids, counts = Ids(known.value), np.frombuffer(logs.value, dtype=np.float64)
+def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Rows with token numbers: the network's log10 probability in place of them (the last column)."""
     p = unpack(np.frombuffer(shared.value, dtype=np.float32))
     table = p["embed"] @ p["wx"] + p["b"]
-    row = TaskContext.get().partitionId() << 36
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
+    texts: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal row, size
-        scores = score_texts(p, table, [x[2] for x in held])
-        kinds = {0: id_type, 1: pa.bool_(), 3: pa.int64(), 4: pa.int64(), 5: pa.int64(), 6: pa.float64(), 7: pa.float64(), 8: pa.list_(pa.binary()), 9: pa.list_(pa.int32())}
-        arrays = [pa.array([x[k] for x in held], t) for k, t in kinds.items()]
-        made = pa.RecordBatch.from_arrays([pa.array(range(row, row + len(held)), pa.int64()), *arrays, pa.array(scores, pa.float64())], names=["row", "__id", "held_out", "n_tokens", "n_known", "n_tail", "logs", "tail_logs", "words", "times", "network"])
-        row += len(held)
+        nonlocal size
+        rows, scores = pa.concat_batches(held), score_texts(p, table, texts)
         held.clear()
+        texts.clear()
         size = 0
-        return made
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], names=[*rows.schema.names, "network"])
 
-    id_type = None
     for batch in batches:
-        id_type = batch.column(0).type
-        for name, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            words = tokens(text.as_py())
-            own = np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words))
-            rare = Counter(words[i] for i in np.flatnonzero(own < 0))
-            known_ids = np.append(own[own >= 0], END)
-            tail = int(np.count_nonzero((own < 0) | (own >= HEAD)))
-            mid = own[own >= HEAD]
-            base = counts[known_ids]
-            net = np.append(np.where((own < 0) | (own >= HEAD), TAIL, own), END).astype(np.int32)
-            # logs: sum of log10(c + 0.1) over known tokens; the tail words' part again for the network
-            held.append((name, out, net, len(words) + 1, int(np.count_nonzero(base > -0.999)), tail, float(base.sum()), float(counts[mid].sum()), list(rare.keys()), list(rare.values())))
-            size += len(words) + 1
+        start, own = 0, batch.select(batch.schema.names[:-1])
+        for i, x in enumerate(batch.column(batch.num_columns - 1)):
+            texts.append(np.frombuffer(x.as_py(), dtype="<i2").astype(np.int32))
+            size += len(texts[-1])
             if size >= CHUNK:
+                held.append(own.slice(start, i + 1 - start))
+                start = i + 1
                 yield flush()
+        if start < batch.num_rows:
+            held.append(own.slice(start))
     if held:
         yield flush()
 
@@ -435,13 +475,16 @@ def scored(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", te
     known = sc.broadcast({w: i + 1 for i, (_, w) in enumerate(mid)})
     logs = sc.broadcast(np.log10(np.array([n_train, *(-c for c, _ in mid)], dtype=float) + 0.1).tobytes())
     shards, blocks = max(1, -(-n_train // SHARD), -(-n // SHARD_TOKENS)), 16
-    placed = train.select("b", F.pmod(F.xxhash64(F.md5("b"), "__id"), F.lit(1 << 40)).alias("place")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
-    texts = scratch.write(placed.select("shard", (F.col("place") / shards).cast("bigint").alias("place"), "b").mapInArrow(lambda x: _texts(x, known), "shard int, place bigint, tokens binary"), "texts")
+    placed = docs.withColumn("place", F.pmod(F.xxhash64(F.md5("b"), "__id"), F.lit(1 << 40))).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
+    placed = placed.select(F.monotonically_increasing_id().alias("row"), "__id", "held_out", "shard", (F.col("place") / shards).cast("bigint").alias("place"), "b")
+    schema = f"row bigint, __id {kind}, held_out boolean, shard int, place bigint, tokens binary, n_tokens bigint, n_known bigint, n_tail bigint, logs double, tail_logs double, words array<binary>, times array<int>"
+    texts = scratch.write(placed.mapInArrow(lambda x: _texts(x, known, logs), schema), "texts")  # for training and scoring, so texts are split into words once more only
+    learned = texts.where("not held_out").select("shard", "place", "tokens")
     parts = ROUNDS if n_train > shards * LANES else 1  # documents that are too few for parts are trained on in every round
     params = pack(new_model(head_counts, n_tail))
     for k in range(ROUNDS if n_train else 0):
         shared = sc.broadcast(params.astype(np.float32).tobytes())  # one set of parameters
-        own = texts.where(F.pmod("place", F.lit(parts)) == k % parts)
+        own = learned.where(F.pmod("place", F.lit(parts)) == k % parts)
         sums = own.groupBy("shard").applyInArrow(_trains(shared, blocks), "block int, shard int, n bigint, sums binary")
         sums = sums.withColumn("g", F.pmod("shard", F.lit(32))).groupBy("block", "g").applyInArrow(_add, "block int, shard int, n bigint, sums binary")
         sums = sums.groupBy("block").applyInArrow(_add, "block int, shard int, n bigint, sums binary")
@@ -449,16 +492,16 @@ def scored(documents: DataFrame, scratch: Scratch, id_column: str = "doc_id", te
         if rows:
             params = np.concatenate([np.frombuffer(r["sums"], dtype=np.float64) / r["n"] for r in rows])
     shared = sc.broadcast(params.astype(np.float32).tobytes())
-    schema = f"row bigint, __id {kind}, held_out boolean, n_tokens bigint, n_known bigint, n_tail bigint, logs double, tail_logs double, words array<binary>, times array<int>, network double"
-    each = scratch.write(docs.mapInArrow(lambda x: _score(x, known, shared, logs), schema), "scores")
-    scratch.drop(texts)
+    stated = texts.select("row", "__id", "held_out", "n_tokens", "n_known", "n_tail", "logs", "tail_logs", "tokens")
+    each = scratch.write(stated.mapInArrow(lambda x: _score(x, shared), f"row bigint, __id {kind}, held_out boolean, n_tokens bigint, n_known bigint, n_tail bigint, logs double, tail_logs double, network double"), "scores")
+    scratch.sweep()
     for x in (known, shared, logs):
         x.unpersist()
-    rare = each.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rare = texts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     few = counts.where(F.col("c") < least)
     found = rare.join(few, "word", "left").select("row", (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("l"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("k"))
     sums = found.groupBy("row").agg(F.sum("l").alias("l"), F.sum("k").alias("k"))
-    out = each.drop("words", "times").join(sums, "row", "left")
+    out = each.join(sums, "row", "left")
     extra = F.coalesce("l", F.lit(0.0))
     base = F.col("logs") + extra - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
     tail = F.col("tail_logs") + extra - F.col("n_tail") * math.log10(max(n_tail, 0) + 0.1 * (v_tail + 1))
