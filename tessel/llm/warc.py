@@ -143,19 +143,23 @@ def _response(key: str, url: str | None, html: str | None) -> bytes:
     return write_record("response", [("WARC-Record-ID", record_id(f"{key} {url or ''} {digest(payload)}")), *target, ("WARC-Date", DATE), ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(id, url, record): a response record of every page."""
+def _responses(batches):
+    """Batches of id, url, key and html: id, url and record."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            made = [_response(*x) for x in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["__id", "__url", "record"])
+
+
+def _pages(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
+    return pages.select(F.col(id_column).alias("__id"), F.col(url_column).cast("string").alias("__url"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("__key"), F.col(html_column).cast("string").alias("__html"))
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                made = [_response(*x) for x in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["__id", "__url", "record"])
 
+def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """(id, url, record): a response record of every page."""
     a = pages.schema[id_column].dataType.simpleString()
-    out = pages.select(F.col(id_column).alias("__id"), F.col(url_column).cast("string").alias("__url"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("__key"), F.col(html_column).cast("string").alias("__html"))
-    return out.mapInArrow(run, f"__id {a}, __url string, record binary").withColumnsRenamed({"__id": id_column, "__url": url_column})
+    return _pages(pages, id_column, url_column, html_column).mapInArrow(_responses, f"__id {a}, __url string, record binary").withColumnsRenamed({"__id": id_column, "__url": url_column})
 
 
 def derivatives(response: bytes) -> list[dict]:
@@ -186,32 +190,41 @@ def derivatives(response: bytes) -> list[dict]:
 _DERIVED = pa.schema([(k, pa.string()) for k in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "source_block_digest", "block_digest")] + [("content_length", pa.int64()), ("error", pa.string()), ("record", pa.binary())])
 
 
+_KINDS = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint' if f.type == pa.int64() else 'string'}" for f in _DERIVED)
+
+
+def _derive(batches):
+    """Batches whose first column is an id and whose last one is a record: the records made of them."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            rows, ids = [], []
+            for k, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if x is not None:
+                    try:
+                        made = derivatives(x)
+                    except WarcError as e:
+                        made = [{"record_type": "error", "error": str(e)}]
+                    rows += made
+                    ids += [k] * len(made)
+            made = pa.RecordBatch.from_pylist(rows, schema=_DERIVED)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *made.columns], names=["__id", *_DERIVED.names])
+
+
 def derive(records: DataFrame, id_column: str = "page_id", record_column: str = "record") -> DataFrame:
     """Two rows a response: its conversion and its metadata record, whole, with their main fields. Null records give none, broken
     ones a row of type error."""
+    a = records.schema[id_column].dataType.simpleString()
+    return records.selectExpr(f"`{id_column}` as __id", f"`{record_column}` as __record").mapInArrow(_derive, f"__id {a}, {_KINDS}").withColumnRenamed("__id", id_column)
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows, ids = [], []
-                for k, x in enumerate(batch.column(1).to_pylist()):
-                    if x is not None:
-                        try:
-                            made = derivatives(x)
-                        except WarcError as e:
-                            made = [{"record_type": "error", "error": str(e)}]
-                        rows += made
-                        ids += [k] * len(made)
-                made = pa.RecordBatch.from_pylist(rows, schema=_DERIVED)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *made.columns], names=["__id", *_DERIVED.names])
 
-    a = records.schema[id_column].dataType.simpleString()
-    kinds = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint' if f.type == pa.int64() else 'string'}" for f in _DERIVED)
-    return records.selectExpr(f"`{id_column}` as __id", f"`{record_column}` as __record").mapInArrow(run, f"__id {a}, {kinds}").withColumnRenamed("__id", id_column)
+def derive_pages(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """derive(responses(pages)) in one pass: the responses stay in the worker that made them, so a task has one worker, not two."""
+    a = pages.schema[id_column].dataType.simpleString()
+    return _pages(pages, id_column, url_column, html_column).mapInArrow(lambda batches: _derive(_responses(batches)), f"__id {a}, {_KINDS}").withColumnRenamed("__id", id_column)
 
 
 def derived_digests(pages: DataFrame) -> DataFrame:
     """Every derived record of every page, the record itself as its SHA-256."""
-    out = derive(responses(pages))
+    out = derive_pages(pages)
     return out.withColumn("record_bytes", F.octet_length("record").cast("bigint")).withColumn("record_sha256", F.sha2("record", 256)).drop("record")

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from tessel.llm import rnnlm
+from tessel.llm import rnnlm, warc
 
 
 def test_scoring_takes_the_numbers_that_training_took(monkeypatch):
@@ -28,3 +28,12 @@ def test_rows_far_below_the_others_keep_their_shares():
     x = np.array([[500.0, 499.0], [-500.0, -499.0], [0.0, 0.0]], np.float32)
     want = [np.log(1 / (1 + np.exp(-1.0))), np.log(1 / (1 + np.exp(1.0))), np.log(0.5)]
     assert np.allclose(rnnlm._softmax(x, np.zeros(3, int))[1], want, atol=1e-5)
+
+
+def test_derived_records_take_one_python_worker_a_task(spark, capsys):
+    rows = [(1, "http://a.example/", "<p>one</p>"), (2, None, None), (None, "http://b.example/x", "<h1>two</h1><p>three</p>"), (1, "http://a.example/", "<p>one</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(warc.derive_pages(pages)) == key(warc.derive(warc.responses(pages))) and warc.derive_pages(pages.limit(0)).count() == 0
+    warc.derived_digests(pages).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
