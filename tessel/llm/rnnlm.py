@@ -28,7 +28,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,11 @@ HEAD, WORDS, MID, EMBED, STATE = 4096, 64, 1 << 17, 24, 32
 WINDOW, LANES, SHARD, ROUNDS, LEAST_UPDATES, RATE = 16, 256, 16384, 2, 300, 0.004
 SHARD_TOKENS = 1 << 23  # what a task holds, at 2 bytes each
 CHUNK, SCORE_LANES, FLUSH = 1_500_000, 256, 400_000
+PORTION = 1 << 18  # bytes of texts that are split into words at a time, unless one text has more
+BLOCK = 512  # rows of softmax scores that are worked on while the processor's cache holds them
 CLASSES = HEAD // WORDS
 END, TAIL, START = 0, HEAD, HEAD + 1
-_NAMES = ("embed", "wx", "u", "b", "class_w", "class_b", "word_w", "word_b")
+_NAMES = ("embed", "wx", "u", "b", "class", "word")
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -79,44 +81,65 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _softmax(x: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' exponentials, less one number, in place of x; their sums, and the logarithm of each row's share at one column."""
-    top = x.max(initial=-np.inf)
-    if top - x.min(initial=np.inf) > 80:  # one number for all rows would leave some of them nothing
-        top = x.max(axis=1, keepdims=True)
-    x -= top
-    own = x[np.arange(len(x)), columns]
+def _softmax(x: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' exponentials, less a number where they need it, in place of x; their sums, the logarithm of each row's share at one column, and that
+    column's place in x."""
+    top, low = x.max(initial=-np.inf), x.min(initial=np.inf)
+    if top > 60 or low < -60:
+        x -= x.max(axis=1, keepdims=True) if top - low > 80 else top  # one number for all rows would leave some of them nothing
+    at = np.arange(0, x.size, x.shape[1])
+    at += columns
+    own = x.ravel().take(at)
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
     own -= np.log(total)
-    return total, own
+    return total, own, at
 
 
-def _loss_and_slope(x: np.ndarray, columns: np.ndarray, scale: np.float32) -> tuple[float, np.ndarray]:
-    """The loss of softmax rows at one column each, and its slope by the scores times scale, in place of x."""
-    total, own = _softmax(x, columns)
+def _loss_and_slope(x: np.ndarray, columns: np.ndarray, scale: np.float32) -> float:
+    """The loss of softmax rows at one column each; its slope by the scores times scale, in place of x (whose rows follow each other in memory)."""
+    total, own, at = _softmax(x, columns)
     x *= (scale / total)[:, None]
-    x[np.arange(len(x)), columns] -= scale
-    return -float(own.sum()), x
+    x.reshape(-1)[at] -= scale
+    return -float(own.sum())
 
 
-def _scores(rows: np.ndarray, w: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    x = np.matmul(rows, w, out=out)
-    x += b
-    return x
+def _blocks(classes: np.ndarray) -> list[list[tuple[int, slice]]]:
+    """Classes in order, cut into runs of one class; the runs of a block have at most BLOCK rows together."""
+    made, left = [], 0
+    ends = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
+    for c in range(CLASSES):
+        at = ends[c]
+        while at < ends[c + 1]:
+            if not left:
+                made.append([])
+                left = BLOCK
+            n = min(left, ends[c + 1] - at)
+            made[-1].append((c, slice(at, at + n)))
+            at, left = at + n, left - n
+    return made
+
+
+def _whole(p: dict[str, np.ndarray], kind: str) -> np.ndarray:
+    """A softmax's weights with the biases as the last row, for states that end with a one."""
+    return np.concatenate([p[f"{kind}_w"], p[f"{kind}_b"][..., None, :]], axis=-2)
 
 
 def log_probability(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of each target's probability after its state; a tail token's is that of the class."""
     classes = targets // WORDS  # TAIL is number CLASSES
     order = np.argsort(classes.astype(np.uint8), kind="stable")
-    classes, s, y = classes[order], states[order], targets[order]
-    found = [np.zeros(0, s.dtype), *(_softmax(_scores(s[at : at + 2048], p["class_w"], p["class_b"]), classes[at : at + 2048])[1] for at in range(0, len(y), 2048))]
-    by_class, bounds = np.concatenate(found), np.searchsorted(classes, np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        for at in range(bounds[c], bounds[c + 1], 2048):
-            own = slice(at, min(at + 2048, bounds[c + 1]))
-            by_class[own] += _softmax(_scores(s[own], p["word_w"][c], p["word_b"][c]), y[own] - c * WORDS)[1]
+    classes, columns, s = classes[order], targets[order] % WORDS, np.ones((len(order), STATE + 1), states.dtype)
+    s[:, :STATE] = states.take(order, axis=0)
+    class_w, word_w, by_class = _whole(p, "class"), _whole(p, "word"), np.empty(len(order), s.dtype)
+    for at in range(0, len(s), BLOCK):
+        by_class[at : at + BLOCK] = _softmax(s[at : at + BLOCK] @ class_w, classes[at : at + BLOCK])[1]
+    room = np.empty((BLOCK, WORDS), s.dtype)
+    for block in _blocks(classes):
+        first, end = block[0][1].start, block[-1][1].stop
+        for c, at in block:
+            np.matmul(s[at], word_w[c], out=room[at.start - first : at.stop - first])
+        by_class[first:end] += _softmax(room[: end - first], columns[first:end])[1]
     out = np.empty_like(by_class)
     out[order] = by_class
     return out
@@ -130,22 +153,26 @@ def _step(p: dict[str, np.ndarray], gx: np.ndarray, h: np.ndarray) -> tuple:
     return n + z * (h - n), r, z, n, gh[:, 2 * STATE :]
 
 
-def _halved(x: np.ndarray) -> np.ndarray:
-    """What is added up for a gate, halved: its sigmoid is 0.5 + 0.5 * tanh of that."""
-    out = x.copy()
-    out[..., : 2 * STATE] *= 0.5
+def _turned(x: np.ndarray) -> np.ndarray:
+    """What is added up for the exponentials of _advance: a gate's sum by -1, n's by 2."""
+    out = 2 * x
+    out[..., : 2 * STATE] *= -0.5
     return out
 
 
 def _advance(gx: np.ndarray, gh: np.ndarray, h: np.ndarray, rz: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
-    """_step for halved sums whose columns are the lanes, so that each part is one piece of memory; fills rz, n and out."""
+    """_step for turned sums whose columns are the lanes, so that each part is one piece of memory; fills rz, n and out. A gate is 1 / (1 + exp(-x)),
+    tanh(x) is 1 - 2 / (1 + exp(2x)); both are right where exp is infinite."""
     np.add(gx[: 2 * STATE], gh[: 2 * STATE], out=rz)
-    np.tanh(rz, out=rz)
-    rz *= 0.5
-    rz += 0.5
+    np.exp(rz, out=rz)
+    rz += 1
+    np.reciprocal(rz, out=rz)
     np.multiply(rz[:STATE], gh[2 * STATE :], out=n)
     n += gx[2 * STATE :]
-    np.tanh(n, out=n)
+    np.exp(n, out=n)
+    n += 1
+    np.divide(-2, n, out=n)
+    n += 1
     np.subtract(h, n, out=out)
     out *= rz[STATE:]
     out += n
@@ -156,89 +183,110 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray]):
         whole = pack(p)
-        self.flat = [whole, *(np.zeros_like(whole) for _ in range(4))]
-        self.p, self.g, self.m, _, _ = (unpack(x, copy=False) for x in self.flat)
+        self.flat = [whole, *(np.zeros_like(whole) for _ in range(3))]
+        self.p, self.g, self.m, _ = (unpack(x, copy=False) for x in self.flat)
         self.t, self.rooms = 0, {}
 
     def _adam(self) -> None:
         kind = self.flat[0].dtype.type
-        clip = kind(min(1.0, 1.0 / max(math.sqrt(float(np.dot(self.flat[1], self.flat[1]))), 1e-12)))
+        clip = kind(0.1 * min(1.0, 1.0 / max(math.sqrt(float(np.dot(self.flat[1], self.flat[1]))), 1e-12)))
         self.t += 1
-        rate = kind(RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        for at in range(0, len(self.flat[0]), 1 << 14):  # runs that stay in the processor's cache
-            p, g, m, v, spare = (x[at : at + (1 << 14)] for x in self.flat)
+        # v is ten times Adam's, as it is made of the tenths of slopes that m takes; the root of ten is in rate and in what keeps the quotient finite
+        rate, least = kind(math.sqrt(10) * RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)), kind(math.sqrt(10) * 1e-8)
+        for at in range(0, len(self.flat[0]), 1 << 13):  # runs that stay in the processor's cache
+            p, g, m, v = (x[at : at + (1 << 13)] for x in self.flat)
             g *= clip
-            np.subtract(g, m, out=spare)
-            spare *= kind(0.1)
-            m += spare
-            np.multiply(g, g, out=spare)
-            spare -= v
-            spare *= kind(0.001)
-            v += spare
-            np.sqrt(v, out=spare)
-            spare += kind(1e-8)
-            np.divide(m, spare, out=spare)
-            spare *= rate
-            p -= spare
+            m *= kind(0.9)
+            m += g
+            v *= kind(0.999)
+            g *= g
+            v += g
+            np.sqrt(v, out=g)
+            g += least
+            np.divide(m, g, out=g)
+            g *= rate
+            p -= g
 
     def _room(self, steps: int, lanes: int, kind: np.dtype) -> list[np.ndarray]:
-        """Arrays of steps x numbers x lanes for a window, made once."""
+        """Arrays for a window, made once: by steps, numbers and lanes, then by tokens, then for a block; the first's and the states' last number is one."""
         if (steps, lanes) not in self.rooms:
-            self.rooms = {(steps, lanes): [np.empty((steps, k * STATE, lanes), kind) for k in (1, 1, 2, 1, 3, 4)]}
+            by_step = [np.empty((steps, n, lanes), kind) for n in (STATE + EMBED + 1, 3 * STATE, STATE, 2 * STATE, STATE, 3 * STATE, 4 * STATE, STATE, STATE, STATE)]
+            by_step[0][:, -1] = 1
+            by_token = [np.ones((steps * lanes, n), kind) for n in (STATE + 1, STATE + 1, STATE, STATE)]
+            self.rooms = {(steps, lanes): [*by_step, *by_token, *(np.empty((BLOCK, n), kind) for n in (CLASSES + 1, WORDS, STATE))]}
         return self.rooms[steps, lanes]
 
+    def _softmaxes(self, s: np.ndarray, y: np.ndarray, scale: np.float32, ds: np.ndarray, rooms: list[np.ndarray]) -> float:
+        """The loss of targets y (by class, the tail's last) after the states s; fills the softmax weights' gradients and ds, the slopes of s."""
+        p, g, classes, columns, loss, last = self.p, self.g, y // WORDS, y % WORDS, 0.0, -1
+        for at in range(0, len(y), BLOCK):
+            own = s[at : at + BLOCK]
+            d = np.matmul(own, p["class"], out=rooms[0][: len(own)])
+            loss += _loss_and_slope(d, classes[at : at + BLOCK], scale)
+            g["class"] += own.T @ d
+            np.matmul(d, p["class_w"].T, out=ds[at : at + BLOCK])
+        words, word_w, slopes = p["word"], p["word_w"].transpose(0, 2, 1), g["word"]
+        for block in _blocks(classes):  # without the tail's
+            first, end = block[0][1].start, block[-1][1].stop
+            d, back = rooms[1][: end - first], rooms[2][: end - first]
+            runs = [(c, s[at], d[at.start - first : at.stop - first], back[at.start - first : at.stop - first]) for c, at in block]
+            for c, own, x, _ in runs:
+                np.matmul(own, words[c], out=x)
+            loss += _loss_and_slope(d, columns[first:end], scale)
+            for c, own, x, out in runs:
+                if c == last:  # began in the block before
+                    slopes[c] += own.T @ x
+                else:
+                    np.matmul(own.T, x, out=slopes[c])
+                np.matmul(x, word_w[c], out=out)
+                last = c
+            ds[first:end] += back
+        return loss
+
     def window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
         """One update from steps x lanes of tokens (targets -1: none; START clears the state); returns the loss a token and the state to carry."""
         p, g, (steps, lanes) = self.p, self.g, inputs.shape
-        x = p["embed"][inputs].transpose(0, 2, 1)
-        gx = np.matmul(_halved(p["wx"]).T, x)
-        gx += _halved(p["b"])[:, None]
+        both, gx, states, rz, n, gh, dg, by_n, by_z, by_r, flat, s, ds, dflat, *rooms = self._room(steps, lanes, self.flat[0].dtype)
+        before, x = both[:, :STATE], both[:, STATE:]  # x: with the ones
+        ids = inputs.ravel()
+        x[:, :EMBED] = p["embed"].take(ids, axis=0).reshape(steps, lanes, EMBED).transpose(0, 2, 1)
+        np.matmul(_turned(np.concatenate([p["wx"], p["b"][None]])).T, x, out=gx)
         going = inputs != START  # the state before a START is not its document's
         whole = going.all(axis=1)
-        before, states, rz, n, gh, dg = self._room(steps, lanes, gx.dtype)
-        u, h = np.ascontiguousarray(_halved(p["u"]).T), h.T
-        for t in range(steps):
-            np.multiply(h, going[t], out=before[t]) if not whole[t] else np.copyto(before[t], h)
-            np.matmul(u, before[t], out=gh[t])
-            _advance(gx[t], gh[t], before[t], rz[t], n[t], states[t])
-            h = states[t]
+        u, h = np.ascontiguousarray(_turned(p["u"]).T), h.T
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.multiply(h, going[t], out=before[t]) if not whole[t] else np.copyto(before[t], h)
+                np.matmul(u, before[t], out=gh[t])
+                _advance(gx[t], gh[t], before[t], rz[t], n[t], states[t])
+                h = states[t]
+        h = np.array(h.T)
         self.flat[1].fill(0)
-        flat, want = states.transpose(0, 2, 1).reshape(-1, STATE), targets.ravel()
+        flat.reshape(steps, lanes, STATE + 1)[..., :STATE] = states.transpose(0, 2, 1)
+        want = targets.ravel()
         have = np.flatnonzero(want >= 0)
         have = have[np.argsort((want[have] // WORDS).astype(np.uint8), kind="stable")]  # by class, the tail's last
-        s, y = flat[have], want[have]
-        classes, scale = y // WORDS, np.float32(1 / max(1, len(have)))
-        loss, d = _loss_and_slope(_scores(s, p["class_w"], p["class_b"]), classes, scale)
-        g["class_w"][:], g["class_b"][:] = s.T @ d, np.ones(len(d), d.dtype) @ d
-        ds = d @ p["class_w"].T
-        ends = np.searchsorted(classes, np.arange(CLASSES + 1))
-        if ends[-1]:  # without the tail's
-            runs = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends))]
-            y, back = y[: ends[-1]], np.empty((ends[-1], STATE), s.dtype)
-            d = np.empty((ends[-1], WORDS), s.dtype)
-            for c, at in runs:
-                _scores(s[at], p["word_w"][c], p["word_b"][c], d[at])
-            more, d = _loss_and_slope(d, y % WORDS, scale)
-            loss += more
-            g["word_b"][[c for c, _ in runs]] = np.add.reduceat(d, [at.start for _, at in runs], axis=0)
-            for c, at in runs:
-                np.matmul(s[at].T, d[at], out=g["word_w"][c])
-                np.matmul(d[at], p["word_w"][c].T, out=back[at])
-            ds[: ends[-1]] += back
-        dflat = np.zeros_like(flat)
+        s, ds = s[: len(have)], ds[: len(have)]
+        np.take(flat, have, axis=0, out=s, mode="clip")
+        loss = self._softmaxes(s, want[have], np.float32(1 / max(1, len(have))), ds, rooms)
+        if len(have) < len(want):
+            dflat.fill(0)
         dflat[have] = ds
-        dstates = np.ascontiguousarray(dflat.reshape(steps, lanes, STATE).transpose(0, 2, 1))
+        dstates = states
+        dstates[:] = dflat.reshape(steps, lanes, STATE).transpose(0, 2, 1)
         # what multiplies the slope of the state, for all steps at once; a step's own work is then a few products
         r, z = rz[:, :STATE], rz[:, STATE:]
-        by_n = 1 - z
-        by_z = before - n
+        np.subtract(1, z, out=by_n)
+        np.subtract(before, n, out=by_z)
         by_z *= z
         by_z *= by_n
         n *= n
         by_n *= np.subtract(1, n, out=n)
-        by_r = gh[:, 2 * STATE :] * r
-        by_r *= 1 - r
-        carry, back = np.zeros_like(before[0]), np.ascontiguousarray(p["u"])
+        np.subtract(1, r, out=by_r)
+        by_r *= r
+        by_r *= gh[:, 2 * STATE :]
+        by_r *= 0.5  # gh is n's, doubled
+        carry, back = np.zeros((STATE, lanes), dg.dtype), np.ascontiguousarray(p["u"])
         for t in reversed(range(steps)):
             dh, (dn, dr, dz, dm) = dstates[t], dg[t].reshape(4, STATE, lanes)  # dm: by the state's product with u, that is n's times r
             dh += carry
@@ -251,18 +299,17 @@ class Trainer:
             carry += dh
             if not whole[t]:
                 carry *= going[t]
-        dgx = dg[:, : 3 * STATE]  # n's slopes before the gates'
-        g["u"][:] = np.matmul(before, dg[:, STATE:].transpose(0, 2, 1)).sum(axis=0)
-        for name, slope in (("wx", np.matmul(x, dgx.transpose(0, 2, 1)).sum(axis=0)), ("b", dgx.sum(axis=2).sum(axis=0))):
-            g[name][..., 2 * STATE :], g[name][..., : 2 * STATE] = slope[..., :STATE], slope[..., STATE:]
-        dx = np.matmul(dgx.transpose(0, 2, 1), np.concatenate([p["wx"][:, 2 * STATE :], p["wx"][:, : 2 * STATE]], axis=1).T).reshape(-1, EMBED)
-        ids = inputs.ravel()
+        slopes = np.matmul(both, dg.transpose(0, 2, 1)).sum(axis=0)  # of u in the state's rows, of wx in the embedding's, of b in the ones'; n's columns first, and last for u
+        g["u"][:] = slopes[:STATE, STATE:]
+        for name, slope in (("wx", slopes[STATE:-1]), ("b", slopes[-1])):
+            g[name][..., 2 * STATE :], g[name][..., : 2 * STATE] = slope[..., :STATE], slope[..., STATE : 3 * STATE]
+        dx = np.matmul(dg[:, : 3 * STATE].transpose(0, 2, 1), np.concatenate([p["wx"][:, 2 * STATE :], p["wx"][:, : 2 * STATE]], axis=1).T).reshape(-1, EMBED)
         order = np.argsort(ids.astype(np.uint16), kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.diff(ids, prepend=-1))
-        g["embed"][ids[first]] = np.add.reduceat(dx[order], first, axis=0)
+        g["embed"][ids[first]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
         self._adam()
-        return loss / max(1, len(have)), np.array(h.T)
+        return loss / max(1, len(have)), h
 
     def run(self, texts: list[np.ndarray]) -> None:
         """texts: token numbers with the end token, each trained on from its first token to its last."""
@@ -311,7 +358,7 @@ def score_texts(p: dict[str, np.ndarray], table: np.ndarray, texts: list[np.ndar
             targets[at : at + len(x), k], owner[at : at + len(x), k] = x, i
             at += len(x)
     out, h = np.zeros(len(texts) + 1), np.zeros((STATE, lanes), np.float32)
-    u, table = np.ascontiguousarray(_halved(p["u"]).T), np.ascontiguousarray(_halved(table).T)
+    u, table = np.ascontiguousarray(_turned(p["u"]).T), np.ascontiguousarray(_turned(table).T)
     rz, n, gh = (np.empty((k * STATE, lanes), np.float32) for k in (2, 1, 3))
     window = max(1, 16384 // lanes)
     for at in range(0, steps, window):
@@ -319,12 +366,13 @@ def score_texts(p: dict[str, np.ndarray], table: np.ndarray, texts: list[np.ndar
         gx, states = np.take(table, ids.ravel(), axis=1).reshape(3 * STATE, *ids.shape), np.empty((len(ids), STATE, lanes), np.float32)
         going = ids != START
         whole = going.all(axis=1)
-        for t in range(len(ids)):
-            if not whole[t]:
-                h = h * going[t]
-            np.matmul(u, h, out=gh)
-            _advance(gx[:, t], gh, h, rz, n, states[t])
-            h = states[t]
+        with np.errstate(over="ignore"):
+            for t in range(len(ids)):
+                if not whole[t]:
+                    h = h * going[t]
+                np.matmul(u, h, out=gh)
+                _advance(gx[:, t], gh, h, rz, n, states[t])
+                h = states[t]
         own = owner[at : at + window].ravel()
         have = np.flatnonzero(own < len(texts))
         got = log_probability(p, states.transpose(0, 2, 1).reshape(-1, STATE)[have], targets[at : at + window].ravel()[have])
@@ -333,16 +381,20 @@ def score_texts(p: dict[str, np.ndarray], table: np.ndarray, texts: list[np.ndar
 
 
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in _NAMES])
+    whole = p | {kind: _whole(p, kind) for kind in ("class", "word")}
+    return np.concatenate([whole[k].ravel() for k in _NAMES])
 
 
 def unpack(x: np.ndarray, copy: bool = True) -> dict[str, np.ndarray]:
-    shapes = {"embed": (HEAD + 2, EMBED), "wx": (EMBED, 3 * STATE), "u": (STATE, 3 * STATE), "b": (3 * STATE,), "class_w": (STATE, CLASSES + 1), "class_b": (CLASSES + 1,), "word_w": (CLASSES, STATE, WORDS), "word_b": (CLASSES, WORDS)}
+    """Parameters by name; those of the softmaxes also with the biases as the last row, in the same memory."""
+    shapes = {"embed": (HEAD + 2, EMBED), "wx": (EMBED, 3 * STATE), "u": (STATE, 3 * STATE), "b": (3 * STATE,), "class": (STATE + 1, CLASSES + 1), "word": (CLASSES, STATE + 1, WORDS)}
     out, at = {}, 0
     for k in _NAMES:
         n = math.prod(shapes[k])
         out[k] = np.array(x[at : at + n], dtype=np.float32).reshape(shapes[k]) if copy else x[at : at + n].reshape(shapes[k])
         at += n
+    for k in ("class", "word"):
+        out[f"{k}_w"], out[f"{k}_b"] = out[k][..., :STATE, :], out[k][..., STATE, :]
     return out
 
 
@@ -369,25 +421,49 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about PORTION bytes, at least one text each and at most 1024."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and (size + len(text) > PORTION or i - start == 1024):
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if texts:
+        yield start, len(texts)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], known, logs=None) -> Iterator[pa.RecordBatch]:
     """Each row's token numbers in place of its text b; given the logarithms of counts, also what they make of the text."""
-    counts = logs and np.frombuffer(logs.value, dtype=np.float64)
+    counts = logs and np.append(np.frombuffer(logs.value, dtype=np.float64), 0.0)  # the last for number -1
     for whole in batches:
-        for start in range(0, whole.num_rows, 1024):
-            batch, made, facts = whole.slice(start, 1024), [], []
-            for text in batch.column("b"):
-                words = tokens(text.as_py())
-                own = numbers(words, known.value)
-                tail = (own < 0) | (own >= HEAD)
-                made.append(np.append(np.where(tail, TAIL, own), END).astype("<i2").tobytes())
-                if logs:
-                    rare = Counter(words[i] for i in np.flatnonzero(own < 0))
-                    base = counts[np.append(own[own >= 0], END)]
-                    # logs: sum of log10(c + 0.1) over known tokens; the tail words' part again for the network
-                    facts.append((len(words) + 1, int(np.count_nonzero(base > -0.999)), int(np.count_nonzero(tail)), float(base.sum()), float(counts[own[own >= HEAD]].sum()), list(rare.keys()), list(rare.values())))
+        texts = [x or b"" for x in whole.column("b").to_pylist()]
+        for start, end in _portions(texts):
+            batch, split = whole.slice(start, end - start), [tokens(x) for x in texts[start:end]]
+            lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+            ends = np.cumsum(lengths + 1) - 1
+            starts, words = ends - lengths, list(chain.from_iterable(split))
+            own = np.full(ends[-1] + 1, END, np.int32)
+            is_word = np.ones(len(own), bool)
+            is_word[ends] = False
+            own[is_word] = numbers(words, known.value)
+            tail = (own < 0) | (own >= HEAD)
+            made = np.where(tail, TAIL, own).astype("<i2")
+            bounds = np.append(starts, len(own)).astype(np.int32) * np.int32(2)
+            more = []
+            if logs:
+                base, of = counts[own], np.add.reduceat
+                places = np.flatnonzero(own < 0)
+                cuts = np.searchsorted(places, np.append(starts, len(own)))
+                places -= np.repeat(np.arange(len(split)), np.diff(cuts))  # among the words, which have no end tokens
+                left, cuts = [words[i] for i in places.tolist()], cuts.tolist()
+                rare = [Counter(left[at:to]) for at, to in zip(cuts, cuts[1:], strict=False)]
+                # logs: sum of log10(c + 0.1) over known tokens; the tail words' part again for the network
+                facts = lengths + 1, of((own >= 0) & (base > -0.999), starts, dtype=np.int64), of(tail, starts, dtype=np.int64), of(base, starts), of(np.where(tail, base, 0.0), starts), [list(x.keys()) for x in rare], [list(x.values()) for x in rare]
+                more = [pa.array(x, kind) for x, (_, kind) in zip(facts, _FACTS, strict=True)]
             kept = [c for c in batch.schema.names if c != "b"]
-            more = [pa.array([x[k] for x in facts], kind) for k, (_, kind) in enumerate(_FACTS)] if logs else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.binary()), *more], names=[*kept, "tokens", *(c for c, _ in _FACTS[: len(more)])])
+            numbered = pa.Array.from_buffers(pa.binary(), len(split), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(made.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), numbered, *more], names=[*kept, "tokens", *(c for c, _ in _FACTS[: len(more)])])
 
 
 def _train(table: pa.Table, shared, blocks: int) -> pa.Table:
