@@ -55,6 +55,18 @@ def equals_any(outer: DataFrame, x: str, inner: DataFrame, column: str, name: st
     return found.withColumn(name, answer).drop("__v", "__n", "__nn")
 
 
+def in_joined(outer: DataFrame, pair: tuple[str, str], left: DataFrame, right: DataFrame, on: tuple[str, str]) -> DataFrame:
+    """outer's rows with pair IN (SELECT x, y FROM left JOIN right ON u = v), left being (x, u), right (y, v) and on (u, v). The join
+    can have as many rows as the product of its tables, so each row of outer asks for its own pair: an x's values of u, a y's of v.
+    Those are merged with outer: a file of 10 MB can hold more of them than the driver could send to all."""
+    (a, b), (u, v) = pair, on
+    x, y = (next(c for c in df.columns if c != o) for df, o in ((left, u), (right, v)))
+    us = left.groupBy(F.col(x).alias("__x")).agg(F.collect_set(u).alias("__us"))
+    vs = right.groupBy(F.col(y).alias("__y")).agg(F.collect_set(v).alias("__vs"))
+    found = outer.join(us.hint("merge"), F.col(a) == F.col("__x")).join(vs.hint("merge"), F.col(b) == F.col("__y"))
+    return found.where(F.arrays_overlap("__us", "__vs")).select(*outer.columns)
+
+
 def subquery_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("mn"), F.max(column).alias("mx"), F.count("*").alias("n"), (F.count("*") - F.count(column)).alias("nn"))
 

@@ -148,7 +148,13 @@ def _(t):
     return t.spark.sql("SELECT count(*) AS n FROM {o} WHERE o_custkey = :k OR o_orderstatus = :s", args={"k": 42, "s": "P"}, o=t.orders)
 
 
-sql_query("predicate_row_value_in", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE (l_partkey, l_suppkey) IN (SELECT p_partkey, s_suppkey FROM {part} JOIN {supplier} ON p_size = s_nationkey)")
+
+@query("predicate_row_value_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size = s_nationkey)")
+def _(t):
+    part, supplier = t.part.select("p_partkey", "p_size"), t.supplier.select("s_suppkey", "s_nationkey")
+    return R.in_joined(t.lineitem, ("l_partkey", "l_suppkey"), part, supplier, ("p_size", "s_nationkey")).select("l_orderkey", "l_linenumber")
+
+
 sql_query("expression_collate", "SELECT n_name FROM {nation} WHERE n_name COLLATE UTF8_BINARY < 'G'", "SELECT n_name FROM nation WHERE n_name < 'G'")
 
 # ---------------------------------------------------------------- joins
