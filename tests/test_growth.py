@@ -30,3 +30,14 @@ def test_row_values_are_sought_without_the_subquerys_product(spark, tmp_path):
     df = plans.QUERIES["predicate_row_value_in"](spark, sf)
     assert not compare.differences(df, compare.connect(sf), plans.ORACLE_SQL["predicate_row_value_in"])
     assert 0 < df.count() < 2 * n
+
+
+def test_a_sketch_is_of_the_table_not_of_each_value(spark, tmp_path, capsys):
+    sf = str(tmp_path)
+    spark.range(30_000).selectExpr("nullif(id % 9001, 5) AS o_custkey").write.parquet(f"{sf}/orders.parquet")
+    df = plans.QUERIES["approx_distinct"](spark, sf)
+    capsys.readouterr()
+    df.explain()
+    steps = [x for x in capsys.readouterr().out.splitlines() if "approx_count_distinct" in x and "Aggregate" in x]
+    assert steps and all("keys=[]" in x for x in steps)
+    assert df.columns == ["close"] and [tuple(r) for r in df.collect()] == [(True,)]
